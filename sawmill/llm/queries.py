@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import ann, bpe, chat, embedding_dedup, token_files
+from sawmill.llm import ann, bpe, chat, embedding_dedup, simhash, token_files
 from sawmill.llm.common import shared_path, table
 
 
@@ -65,7 +65,12 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_chat, op5_ann, op6_token_files, op7_embedding_dedup)
+    f.__name__: f for f in (op1_bpe, op3_chat, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
