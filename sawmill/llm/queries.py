@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import ann, bpe, chat, embedding_dedup, simhash, token_files
+from sawmill.llm import ann, bpe, chat, embedding_dedup, simhash, token_files, toxicity
 from sawmill.llm.common import shared_path, table
 
 
@@ -70,7 +70,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_chat, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash)
+    f.__name__: f for f in (op1_bpe, op3_chat, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash, op9_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
