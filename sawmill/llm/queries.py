@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import ann, bpe, chat, embedding_dedup, simhash, token_files, toxicity
+from sawmill.llm import ann, bpe, chat, embedding_dedup, mixing, recompression, simhash, suffix_dedup, token_files, toxicity
 from sawmill.llm.common import shared_path, table
 
 
@@ -26,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
+
+
 def _digest(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, "").cast("binary"), 256)
 
@@ -45,6 +50,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -76,7 +86,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_chat, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash, op9_toxicity)
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_mixing, op3_chat, op4_suffix_dedup, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash,
+        op9_toxicity, op10_recompression,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
