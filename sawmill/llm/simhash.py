@@ -11,10 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import complete_groups, local_roots, materialize, ranges, runs, split_pairs, with_fields, put_columns
-from sawmill.llm.components import connected_components
 from pyspark.sql import types as T
 
+from sawmill.llm.common import complete_groups, local_roots, materialize, put_columns, ranges, runs, split_pairs, with_fields
+from sawmill.llm.components import connected_components
+
 #: Seed of the shingles' XXH64.
 SEED = 42
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
@@ -80,7 +81,7 @@ def lanes(fps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = row.reshape(-1, 64)
     held = np.where(row >= 0, fps[row], np.uint64(0))
     bits = np.unpackbits(held.view(np.uint8).reshape(len(row), 64, 8), axis=2, bitorder="little")  # word, lane, bit
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     return planes, row, ends
 
 
