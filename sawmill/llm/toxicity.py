@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import put_columns, with_fields
+from sawmill.llm.common import materialize, put_columns, with_fields
 
 #: Labelled rows of each class that the examples are taken from, at most (those of least hash).
 EXAMPLES = 2000
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     several labels of a document: the largest). Terms are those whose presence goes with the label in
     it by chi-square, and their document frequencies are counted over all of ``docs``. A quarter of
     the examples stays out of the index to fit the calibration, weighted to the classes' share of all
-    training labels. No examples or no such terms: every text gets the share of class 1.
+    training labels. Of rows that share a doc_id one gives the vector. No examples or no such terms: every
+    text gets the share of class 1.
     """
     spark = docs.sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     picked = [known.where(F.col("y") == y).orderBy(*least).limit(EXAMPLES) for y in (0, 1)]
     picked = [r for part in picked for r in part.collect()]  # 2 * EXAMPLES ids at most
     chosen = spark.createDataFrame(picked, known.schema)
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    examples = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "examples")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
                 [batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
                 names=["doc_id", "y", "at", "weight"])
 
-    rows = examples.mapInArrow(vectors, "doc_id long, y int, at array<long>, weight array<double>").orderBy(*least).collect()
-    rows = [(r.doc_id, r.y, np.array(r.at, np.int64), np.array(r.weight)) for r in rows]
+    found = examples.mapInArrow(vectors, "doc_id long, y int, at array<long>, weight array<double>").collect()
+    place = {r.doc_id: i for i, r in enumerate(picked)}
+    rows = sorted({r.doc_id: (r.doc_id, r.y, np.array(r.at, np.int64), np.array(r.weight)) for r in sorted(found)}.values(), key=lambda r: place[r[0]])
     held, used = rows[::4], [r for i, r in enumerate(rows) if i % 4]
     index = build_index(used, len(vocabulary))
     model = Model(vocabulary, idf, index, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
