@@ -2,58 +2,66 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
 from sawmill.llm.common import complete_groups, local_roots, materialize, put_columns, ranges, runs, split_pairs, with_fields
 from sawmill.llm.components import connected_components
+from sawmill.llm.repeats import mix
 
 #: Seed of the shingles' XXH64.
 SEED = 42
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 4096
 #: Pairs of a query and a word of 64 lanes that are compared at once.
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """Bit i is set if it is in over half of the hashes of the text's word shingles, repeats counted; no words: 0."""
-    words = text.lower().split() if text else []  # of bytes: A-Z, and white space as in [^\x20\x09-\x0D]+
-    if not words:
-        return 0
-    joined, n = b" ".join(words), len(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    size = min(shingle, n)
+def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """``words`` times 64 bits; a bit is set if it is in over half of the hashes of the text's word
+    shingles, repeats counted. Later words are of hashes made from the first ones'. No words: 0."""
+    tokens = text.lower().split() if text else []  # of bytes: A-Z, and white space as in [^\x20\x09-\x0D]+
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    joined, n = b" ".join(tokens), len(tokens)
+    starts = [0, *accumulate(len(w) + 1 for w in tokens)]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:])], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes)
-    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
+    hashes = np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[min(shingle, n) :])], np.uint64)
+    out = np.empty(words, np.uint64)
+    for k in range(words):
+        own = mix(hashes + np.uint64(k)) if k else hashes
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        over = 2 * bits.sum(axis=0, dtype=np.uint32) > len(hashes)
+        out[k] = np.packbits(over, bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", shingle: int = 4) -> DataFrame:
-    """``docs`` without its text but with ``out_col``, the fingerprint as a signed long; null text: as empty."""
-    schema = with_fields(T.StructType([f for f in docs.schema if f.name != text_col]), T.StructField(out_col, T.LongType(), False))
+def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", shingle: int = 4, words: int = 1) -> DataFrame:
+    """``docs`` without its text but with ``out_col``, the fingerprint as signed longs; null text: as empty."""
+    schema = with_fields(T.StructType([f for f in docs.schema if f.name != text_col]), T.StructField(out_col, T.ArrayType(T.LongType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary())
-            made = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in texts], np.uint64)
-            yield put_columns(batch.drop_columns([text_col]), **{out_col: pa.array(made.view(np.int64))})
+            made = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle, words) for t in texts]
+            flat = pa.array(np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64))
+            column = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * words), flat)
+            yield put_columns(batch.drop_columns([text_col]), **{out_col: column})
 
     return docs.mapInArrow(run, schema)
 
 
-def masks_for(n: int, radius: int, per_bucket: int = 64) -> list[int]:
-    """Masks one of which must agree for any two fingerprints that differ in at most ``radius`` bits.
+def masks_for(n: int, radius: int, per_bucket: int = 64) -> list[tuple[int, ...]]:
+    """Masks one of which must agree for any two 64-bit fingerprints that differ in at most ``radius`` bits.
 
     64 bits in radius + t blocks: at least t blocks agree, so each choice of t blocks is a table. The
     least t whose tables spread ``n`` fingerprints to about ``per_bucket`` a bucket; no choice loses a pair.
@@ -63,14 +71,30 @@ def masks_for(n: int, radius: int, per_bucket: int = 64) -> list[int]:
         cuts = [64 * i // blocks for i in range(blocks + 1)]
         parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
         if t == 4 or n <= per_bucket << min(sum(m.bit_count() for m in c) for c in combinations(parts, t)):
-            return [sum(c) for c in combinations(parts, t)]
+            return [(sum(c),) for c in combinations(parts, t)]
     raise AssertionError
 
 
+def sampled_masks(n: int, words: int, radius: int, miss: float = 0.05, per_bucket: int = 16, seed: int = 23) -> list[tuple[int, ...]]:
+    """Masks of randomly drawn bits for wide fingerprints, whose radius is too large for ``masks_for``.
+
+    As many bits as spread ``n`` fingerprints to about ``per_bucket`` a bucket; as many tables as miss
+    two fingerprints right at ``radius`` with probability ``miss`` (nearer ones far more rarely).
+    """
+    bits = min(40, max(8, math.ceil(math.log2(max(n, 2) / per_bucket))))
+    alike = (1 - radius / (64 * words)) ** bits
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(math.ceil(math.log(miss) / math.log1p(-alike))):
+        drawn = rng.choice(64 * words, bits, replace=False).tolist()
+        out.append(tuple(sum(1 << (b % 64) for b in drawn if b // 64 == w) for w in range(words)))
+    return out
+
+
 def lanes(fps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vertical planes of groups of fingerprints.
+    """Vertical planes of groups of fingerprints (rows of 64-bit words).
 
-    Each group starts a new word of 64 lanes. Gives the planes (64, words), the lane's row (or -1) as
+    Each group starts a new word of 64 lanes. Gives the planes (bits, words), the lane's row (or -1) as
     (words, 64), and each group's bounds in words.
     """
     sizes = np.diff(bounds)
@@ -79,59 +103,62 @@ def lanes(fps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.full(int(ends[-1]) * 64, -1, np.int64)
     row[ranges(ends[:-1] * 64, sizes)] = np.arange(bounds[0], bounds[-1])
     row = row.reshape(-1, 64)
-    held = np.where(row >= 0, fps[row], np.uint64(0))
-    bits = np.unpackbits(held.view(np.uint8).reshape(len(row), 64, 8), axis=2, bitorder="little")  # word, lane, bit
-    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
-    return planes, row, ends
+    planes = []
+    for k in range(fps.shape[1]):
+        held = np.where(row >= 0, fps[row, k], np.uint64(0))
+        bits = np.unpackbits(held.view(np.uint8).reshape(len(row), 64, 8), axis=2, bitorder="little")  # word, lane, bit
+        planes.append(np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, 0])
+    return np.concatenate(planes), row, ends
 
 
 def near(planes: np.ndarray, valid: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes of ``word[i]`` within ``radius`` (at most 7) of ``query[i]``: the i that have some, and their lane bits.
+    """Lanes of ``word[i]`` within ``radius`` of ``query[i]``: the i that have some, and their lane bits.
 
-    Three carry-save planes count each lane's differences and a fourth keeps what overflows. After
-    every eighth plane the pairs whose lanes have all gone beyond the radius are abandoned.
+    Carry-save planes, as many as ``radius`` has bits, count each lane's differences and a further one
+    keeps what overflows. After every eighth plane the pairs whose lanes have all gone beyond the
+    radius are abandoned.
     """
     alive = np.arange(len(query))
-    zero = np.zeros(len(query), np.uint64)
-    ones, twos, fours, over = zero, zero.copy(), zero.copy(), zero.copy()
-    one = np.uint64(1)
-    far = zero
-    for b in range(64):
-        differ = planes[b][word] ^ (np.uint64(0) - (query >> np.uint64(b) & one))
-        carry = ones & differ
-        ones = ones ^ differ
-        more = twos & carry
-        twos = twos ^ carry
-        over = over | (fours & more)
-        fours = fours ^ more
+    counters = [np.zeros(len(query), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(len(query), np.uint64)
+    far, one = over, np.uint64(1)
+    for b in range(len(planes)):
+        carry = planes[b][word] ^ (np.uint64(0) - (query[:, b // 64] >> np.uint64(b % 64) & one))
+        for i, held in enumerate(counters):
+            counters[i], carry = held ^ carry, held & carry
+        over = over | carry
         if b % 8 == 7:
             far, same = over, ~np.uint64(0)
-            for bit, plane in ((4, fours), (2, twos), (1, ones)):
-                if radius & bit:
-                    same = same & plane
+            for i in range(len(counters) - 1, -1, -1):
+                if radius >> i & 1:
+                    same = same & counters[i]
                 else:
-                    far, same = far | (same & plane), same & ~plane
+                    far, same = far | (same & counters[i]), same & ~counters[i]
             left = np.flatnonzero(valid[word] & ~far)
             if len(left) < len(alive):
-                alive, query, word, far = alive[left], query[left], word[left], far[left]
-                ones, twos, fours, over = ones[left], twos[left], fours[left], over[left]
+                alive, query, word, far, over = alive[left], query[left], word[left], far[left], over[left]
+                counters = [c[left] for c in counters]
             if not len(alive):
                 break
     return alive, valid[word] & ~far
 
 
-def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b) links of distinct fingerprints (fp, rep: long) that differ in at most ``radius`` bits.
+def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1) -> DataFrame:
+    """(a, b) links of distinct fingerprints (fp: array of ``words`` longs, rep: long) that differ in at most ``radius`` bits.
 
-    Links are local: each task gives for each fingerprint of its buckets a representative of those it
+    All of them for one word; for more, those that ``sampled_masks`` bring together. Links are local: each task gives for each fingerprint of its buckets a representative of those it
     reaches there, so components of the links are those of all near pairs, without the pairs.
     """
-    masks = masks_for(fps.count(), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("k")
-    rows = fps.select("fp", "rep", keys).select("k.tab", "k.key", "fp", "rep")
+    n = fps.count()
+    masks = masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
+
+    def key(i: int, mask: tuple[int, ...]) -> Column:
+        parts = [F.col("fp")[k].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(mask) if m]
+        return F.struct(F.lit(i).alias("tab"), F.xxhash64(*parts).alias("key"))
+
+    rows = fps.select("fp", "rep", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.tab", "k.key", "fp", "rep")
     order = ["tab", "key", "part_i", "part_j"]
-    dealt = split_pairs(rows, ["tab", "key"], "fp", block).repartition(*order).sortWithinPartitions(*order)
+    dealt = split_pairs(rows, ["tab", "key"], "rep", block).repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in complete_groups(batches, order):
@@ -142,20 +169,21 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
             if not len(index):
                 continue
             cols = [c[index] for c in cols]
-            values, rep, blk = (groups.column(c).to_numpy()[index] for c in ("fp", "rep", "blk"))
-            values, bounds, n = values.view(np.uint64), runs(*cols), len(index)
+            rep, blk = (groups.column(c).to_numpy()[index] for c in ("rep", "blk"))
+            values = groups.column("fp").combine_chunks().take(pa.array(index)).flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            bounds, n = runs(*cols), len(index)
             planes, row, ends = lanes(values, bounds)
             valid = np.packbits(row >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             asks = np.flatnonzero(blk == cols[2])  # of two blocks the first asks
-            words = np.diff(ends)[group[asks]]
+            width = np.diff(ends)[group[asks]]
             root = np.arange(n)
             step = 0
             while step < len(asks):
-                upto = step + max(1, int(np.searchsorted(np.cumsum(words[step:]), CHUNK)))
+                upto = step + max(1, int(np.searchsorted(np.cumsum(width[step:]), CHUNK)))
                 some = asks[step:upto]
-                query = np.repeat(some, words[step:upto])
-                word = ranges(ends[group[some]], words[step:upto])
+                query = np.repeat(some, width[step:upto])
+                word = ranges(ends[group[some]], width[step:upto])
                 hit, bits = near(planes, valid, values[query], word, radius)
                 where, lane = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                 x, y = query[hit[where]], row[word[hit[where]], lane]
@@ -169,16 +197,17 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z), words are what white space (space, \\t to \\r) parts, and fingerprints
-    that differ in at most ``radius`` bits link: all such pairs, whatever their number. component_id is
+    (``words`` times 64 bits, signed longs) that differ in at most ``radius`` bits link: with one word all
+    such pairs, whatever their number; with more all but few near the radius (``sampled_masks``). component_id is
     the smallest doc_id reachable. Equal fingerprints are compared once. Null and empty texts have
     fingerprint 0. Rows without doc_id get their component from the others, null if there are none.
     """
-    prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle), "prints")
+    prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle, words=words), "prints")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    parts = connected_components(linked(reps.where("rep is not null"), radius))
+    parts = connected_components(linked(reps.where("rep is not null"), radius, BLOCK, words))
     known = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
