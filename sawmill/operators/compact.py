@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
 import uuid
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 from sawmill.functions import fields as ff
-from sawmill.sources.store import LANDING, MARKER, OPTIMIZED, filesystem
+from sawmill.sources.store import LANDING, MANIFESTS, MARKER, OPTIMIZED, filesystem, manifests
 
 TARGET_BYTES = 128 << 20
 
@@ -37,12 +38,14 @@ def candidates(spark: SparkSession, root: str, older_than_s: float = 3600.0) ->
 def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> None:
     """Rewrite one day: to a staging folder, then by renames to the optimized zone, then the landing files go.
 
-    The staged files are complete before anything is published, so an interruption leaves the landing
-    files in place. ``promote`` writes fields as columns of their own, by name and type, whose
-    predicates then reach the scan.
+    The staged files are complete before anything is published, and a manifest names the old and the
+    new files until the old ones are gone, so readers see every entry once and ``recover`` can end or
+    undo an interrupted run. ``promote`` writes fields as columns of their own, by name and type,
+    whose predicates then reach the scan.
     """
     fs, make = filesystem(spark, root)
-    staging, day = f"{root}/_staging/{uuid.uuid4().hex}", f"{root}/{OPTIMIZED}/{what.day}"
+    run = uuid.uuid4().hex
+    staging, day = f"{root}/_staging/{run}", f"{root}/{OPTIMIZED}/{what.day}"
     entries = spark.read.parquet(*what.files)
     for name, kind in (promote or {}).items():
         entries = entries.withColumn(name, ff.value(name, kind))
@@ -52,14 +55,40 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     else:
         entries = entries.coalesce(1)
     entries.sortWithinPartitions("Timestamp").write.parquet(staging)
+    staged = [s.getPath() for s in fs.globStatus(make(f"{staging}/*.parquet"))]
+    replaced = ["/".join(f.split("/")[-5:]) for f in what.files]
+    manifest = {"replaced": replaced, "new": [f"{OPTIMIZED}/{what.day}/{p.getName()}" for p in staged]}
+    out = fs.create(make(f"{root}/{MANIFESTS}/{run}.part"), True)
+    out.write(json.dumps(manifest).encode())
+    out.close()
+    fs.rename(make(f"{root}/{MANIFESTS}/{run}.part"), make(f"{root}/{MANIFESTS}/{run}.json"))
     fs.mkdirs(make(day))
-    for status in fs.globStatus(make(f"{staging}/*.parquet")):
-        if not fs.rename(status.getPath(), make(f"{day}/{status.getPath().getName()}")):
-            raise OSError(f"could not publish {status.getPath()}")
-    for path in what.files:
-        fs.delete(make(path), False)
+    for path in staged:
+        if not fs.rename(path, make(f"{day}/{path.getName()}")):
+            raise OSError(f"could not publish {path}")
+    _finish(spark, root, f"{root}/{MANIFESTS}/{run}.json", replaced, what.day)
     fs.delete(make(staging), True)
-    fs.create(make(f"{day}/{MARKER}"), True).close()
+
+
+def _finish(spark: SparkSession, root: str, manifest: str, replaced: list[str], day: str) -> None:
+    fs, make = filesystem(spark, root)
+    for path in replaced:
+        fs.delete(make(f"{root}/{path}"), False)
+    fs.create(make(f"{root}/{OPTIMIZED}/{day}/{MARKER}"), True).close()
+    fs.delete(make(manifest), False)
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """End interrupted compactions whose new files are all there; undo the others. Run while none is under way."""
+    fs, make = filesystem(spark, root)
+    for path, replaced, new in manifests(spark, root):
+        if all(fs.exists(make(f"{root}/{f}")) for f in new):
+            _finish(spark, root, path, replaced, "/".join(replaced[0].split("/")[1:4]))
+        else:
+            for f in new:
+                fs.delete(make(f"{root}/{f}"), False)
+            fs.delete(make(path), False)
+    fs.delete(make(f"{root}/_staging"), True)
 
 
 def compact(spark: SparkSession, root: str, older_than_s: float = 3600.0, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> list[str]:

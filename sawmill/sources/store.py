@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from sawmill.schema import ENTRY
 
-LANDING, OPTIMIZED, REJECTS, STATS = "landing", "optimized", "rejects", "stats"
+LANDING, OPTIMIZED, REJECTS = "landing", "optimized", "rejects"
+#: Compactions under way: which landing files give way to which new ones.
+MANIFESTS = "_manifests"
 MARKER = "_COMPACTION_COMPLETE"
 DAY = ("year", "month", "day")
 
@@ -36,18 +39,45 @@ def write_rejects(rejects: DataFrame, root: str) -> None:
     rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
 
 
-def read_zone(spark: SparkSession, root: str, zone: str) -> DataFrame | None:
+def manifests(spark: SparkSession, root: str) -> list[tuple[str, list[str], list[str]]]:
+    """(path, replaced landing files, new files) of the compactions under way; files from the zone's name on."""
+    fs, make = filesystem(spark, root)
+    out = []
+    for status in fs.globStatus(make(f"{root}/{MANIFESTS}/*.json")) or []:
+        path = status.getPath().toString()
+        text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+        data = json.loads(text)
+        out.append((path, data["replaced"], data["new"]))
+    return out
+
+
+def hidden_files(spark: SparkSession, root: str) -> set[str]:
+    """Files that a reader must leave out: of each compaction under way the replaced ones if all the new
+    ones are there, else the new ones. So an entry is seen once at any time."""
+    fs, make = filesystem(spark, root)
+    out: set[str] = set()
+    for _, replaced, new in manifests(spark, root):
+        done = all(fs.exists(make(f"{root}/{f}")) for f in new)
+        out.update(replaced if done else new)
+    return out
+
+
+def read_zone(spark: SparkSession, root: str, zone: str, hidden: set[str] = frozenset()) -> DataFrame | None:
     """A zone's entries; None if it has no file. Only *.parquet counts: others are unfinished."""
     path = f"{root}/{zone}"
     fs, make = filesystem(spark, path)
-    if not fs.globStatus(make(f"{path}/year=*/month=*/day=*/*.parquet")):
-        return None
-    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    found = fs.globStatus(make(f"{path}/year=*/month=*/day=*/*.parquet")) or []
+    if hidden:
+        files = [s.getPath().toString() for s in found]
+        files = [f for f in files if "/".join(f.split("/")[-5:]) not in hidden]
+        return spark.read.option("basePath", path).parquet(*files) if files else None
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path) if len(found) else None
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
     """Both zones as one table, year, month and day as integers; no files: no rows."""
-    zones = [z for z in (read_zone(spark, root, OPTIMIZED), read_zone(spark, root, LANDING)) if z is not None]
+    hidden = hidden_files(spark, root)
+    zones = [z for z in (read_zone(spark, root, OPTIMIZED, hidden), read_zone(spark, root, LANDING, hidden)) if z is not None]
     if not zones:
         return spark.createDataFrame([], ENTRY).selectExpr("*", "0 year", "0 month", "0 day")
     out = zones[0]

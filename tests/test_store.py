@@ -11,7 +11,7 @@ from sawmill.cli import run_query
 from sawmill.config import FieldRule, ParserConfig, Plugin, Settings, load_config, validate_config
 from sawmill.functions import fields as ff
 from sawmill.operators.asof import asof_join
-from sawmill.operators.compact import candidates, compact
+from sawmill.operators.compact import candidates, compact, recover
 from sawmill.operators.extract import parse
 from sawmill.plans.view import Registry, between, logs_view, open_logs
 from sawmill.sources.lines import glob_regex, read_lines, reconcile, split_texts
@@ -137,3 +137,29 @@ def test_tail_matches_batch_and_resumes(spark, tmp_path):
     os.rename(path, logs / "a.log.1")  # rotation: the old file is known, the new one starts anew
     path.write_text("2025-08-18T04:00:00Z ERROR status=4\n")
     assert len(run(0)) == 4
+
+
+@pytest.mark.parametrize("published", [False, True])
+def test_interrupted_compaction(spark, tmp_path, published, monkeypatch):
+    from sawmill.operators import compact as c
+
+    root = str(tmp_path / "s")
+    write_entries(some(spark), root)
+    write_entries(some(spark), root)
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(c, "_finish", stop)
+        with pytest.raises(KeyboardInterrupt):
+            compact(spark, root, -1)
+    if not published:  # as if it had stopped before the renames
+        new = [f for f in (tmp_path / "s" / "optimized").rglob("*.parquet")]
+        for f in new:
+            f.unlink()
+    assert read_entries(spark, root).count() == 12
+    recover(spark, root)
+    assert read_entries(spark, root).count() == 12 and not list((tmp_path / "s" / "_manifests").glob("*.json"))
+    compact(spark, root, -1)
+    assert read_entries(spark, root).count() == 12
