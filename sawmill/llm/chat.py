@@ -95,6 +95,11 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(_role(role).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
+def _reader(role: str, text: str):
+    """The turn of an array's element."""
+    return lambda x: _turn(x[role], x[text])
+
+
 def _single(m: Mapping, get) -> Column:
     """Turns of one row; neighbours of one role (an instruction and its input) are joined by an empty line."""
     roles = list(dict.fromkeys(r for r, _ in m.single))
@@ -120,7 +125,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         return grouped.select(id_col, F.transform("_r", lambda r: r.t).alias("turns"))
     if m.turns:
         array, role, text = m.turns
-        turns = F.transform(F.coalesce(F.col(array), F.array()), lambda x: _turn(x[role], x[text]))
+        turns = F.transform(F.coalesce(F.col(array), F.array()), _reader(role, text))
         return df.select(id_col, turns.alias("turns"))
     return df.select(id_col, _single(m, lambda p: F.col(p).cast("string")).alias("turns"))
 
@@ -151,7 +156,7 @@ def canonical_json(df: DataFrame, json_col: str = "json", id_col: str = "conv_id
         if m.turns:
             array, role, text = m.turns
             given = F.try_variant_get("_v", f"$.{array}", f"array<struct<{role}:string,{text}:string>>")
-            found = F.transform(given, lambda x, r=role, t=text: _turn(x[r], x[t]))
+            found = F.transform(given, _reader(role, text))
         else:
             found = _single(m, lambda p: F.try_variant_get("_v", f"$.{p}", "string"))
         is_it = F.col("_f") == fingerprint(m.paths())
