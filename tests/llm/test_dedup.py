@@ -64,7 +64,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_interval_expansion():
     rng = np.random.default_rng(8)
-    text = np.append(rng.integers(97, 99, 400).astype(np.uint8), suffix_dedup.BREAK)
+    text = np.append(rng.integers(97, 99, 400), suffix_dedup.BREAK).astype(np.uint8)
     sa = suffix_dedup.suffix_array(text, 12)
     begins = suffix_dedup.bounds(text, sa, 12)
     raw = text.tobytes()
