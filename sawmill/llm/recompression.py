@@ -29,7 +29,6 @@ WINDOW = 35
 ROUNDS = 2
 FAR = 1 << 40
 NONE = np.uint64(2**64 - 1)
-OTHER_BASE = 0xD1342543DE82EF95
 
 
 @dataclass
@@ -155,20 +154,12 @@ def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for rk, text, wanted in zip(batch.column("rk").to_pylist(), repeats.texts(batch), batch.column("wanted").to_pylist()):
-                words = word_hashes(text.split())
-                at = np.array([w["at"] for w in wanted], np.int64)
-                count = at & ((1 << repeats.SHIFT) - 1)
-                start = ranges(at >> repeats.SHIFT, count)
-                weight = np.repeat(np.array([w["weight"] for w in wanted], np.int8), count)
-                made = (Ranges(words).of(start, size).view(np.int64), Ranges(mix(words), OTHER_BASE).of(start, size).view(np.int64), weight, np.full(len(start), rk, np.int64), start << repeats.SHIFT | 1)
-                for column, part in zip(out, made):
-                    column.append(part)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "weight", "rk", "at"])
-
-    hashed = materialize(compare.mapInArrow(windows, "h1 long, h2 long, weight tinyint, rk long, at long"), "windows")
+            rows = zip(batch.column("rk").to_pylist(), repeats.texts(batch), batch.column("wanted").to_pylist())
+            made = [repeats.hashed_windows(word_hashes(text.split()), wanted, size, rk) for rk, text, wanted in rows]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["h1", "h2", "weight", "rk", "at"])
+
+    hashed = materialize(compare.mapInArrow(windows, repeats.WINDOWS), "windows")
     return repeats.with_spans(docs, found.where("whole").select("rk", "at"), repeats.counted_windows(hashed))
 
 

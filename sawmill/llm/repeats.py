@@ -27,7 +27,7 @@ from sawmill.llm.common import materialize, ranges
 LONGEST, SHIFT = 256, 10
 #: Documents of the sample for known repeats, about; how often it must show one; how many are sent to the tasks.
 SAMPLE_DOCS, OFTEN, MOST_KNOWN = 3000, 8, 100_000
-BASE = 0x9E3779B97F4A7C15
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POWERS: dict[int, list[np.ndarray]] = {}
 
 #: (row key of a document, packed start and count of windows, key, hash of the segment's content).
@@ -116,7 +116,8 @@ def texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.ndarray, ...]], chunk_bytes: int = 1 << 20) -> DataFrame:
-    """(rk, at, key, seg, whole) of the segments whose key occurs twice; ``whole``: the whole segment does.
+    """(rk, at, key, seg, hot, whole) of the segments whose key occurs twice; ``whole``: the whole segment
+    does; ``hot``: the sample knows the key, so it may have any number of segments.
 
     ``place`` gets texts and returns (index of the text, start, count, key, seg) of their segments.
     """
@@ -135,9 +136,10 @@ def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.n
                 key, seg = key.view(np.int64), seg.view(np.int64)
                 columns = [rks[part[0]] + np.zeros(len(doc), np.int64) if len(part) == 1 else rks[part[0] + doc], start << SHIFT | count, key, seg]
                 if known is not None:
-                    sure = np.where(np.isin(seg, known[1]), 2, np.where(np.isin(key, known[0]), 1, 0))
-                    columns += [np.where(sure == 2, columns[0], np.where(sure == 1, seg, key)), sure.astype(np.int8)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "at", "key", "seg", "deal", "sure"][: len(columns)])
+                    hot = np.isin(key, known[0])
+                    sure = np.where(np.isin(seg, known[1]), 2, np.where(hot, 1, 0))
+                    columns += [hot, np.where(sure == 2, columns[0], np.where(sure == 1, seg, key)), sure.astype(np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "at", "key", "seg", "hot", "deal", "sure"][: len(columns)])
 
     every = max(1, docs.count() // SAMPLE_DOCS)
     sampled = docs.where(F.pmod(F.col("rk"), F.lit(every)) == 0).mapInArrow(lambda b: run(b, None), PLACED)
@@ -148,7 +150,7 @@ def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.n
         return np.sort(np.array([r[0] for r in rows.select(column).collect()], np.int64))
 
     known = spark.sparkContext.broadcast((often("key"), often("seg")))
-    rows = docs.mapInArrow(lambda b: run(b, known.value), PLACED + ", deal long, sure tinyint")
+    rows = docs.mapInArrow(lambda b: run(b, known.value), PLACED + ", hot boolean, deal long, sure tinyint")
     dealt = rows.repartition("deal").drop("deal").sortWithinPartitions("key", "seg")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,24 +176,37 @@ def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.n
             out = rows.drop_columns(["sure"]).append_column("whole", pa.array(same[:, 1] | (sure == 2))).filter(keep)
             yield from out.combine_chunks().to_batches()
 
-    return materialize(dealt.mapInArrow(meet, PLACED + ", whole boolean"), "segments")
+    return materialize(dealt.mapInArrow(meet, PLACED + ", hot boolean, whole boolean"), "segments")
 
 
 def wanted_pieces(found: DataFrame) -> DataFrame:
-    """(rk, wanted: array of (at, key, weight)): what windows must be compared, by document.
+    """(rk, wanted: array of (at, key, hot, weight)): what windows must be compared, by document.
 
     Segments that aren't whole repeats, with weight 1, and for keys that have such a segment one
     representative of each whole repeat with weight 2: its windows repeat already, and others may equal them.
     """
     edges = found.where("not whole")
-    whole = found.where("whole").groupBy("key", "seg").agg(F.min(F.struct("rk", "at")).alias("one"))
+    whole = found.where("whole").groupBy("key", "seg").agg(F.min(F.struct("rk", "at", "hot")).alias("one"))
     whole = whole.join(edges.select("key").distinct(), "key", "left_semi")
-    pieces = edges.select("rk", F.struct("at", "key", F.lit(1).alias("weight")).alias("p")).union(
-        whole.select("one.rk", F.struct("one.at", "key", F.lit(2).alias("weight")).alias("p"))
+    pieces = edges.select("rk", F.struct("at", "key", "hot", F.lit(1).alias("weight")).alias("p")).union(
+        whole.select("one.rk", F.struct("one.at", "key", "one.hot", F.lit(2).alias("weight")).alias("p"))
     )
     return pieces.groupBy("rk").agg(F.collect_list("p").alias("wanted"))  # a document's own segments
 
 
+WINDOWS = "h1 long, h2 long, weight tinyint, rk long, at long"
+
+
+def hashed_windows(items: np.ndarray, wanted: list[dict], size: int, rk: int) -> tuple[np.ndarray, ...]:
+    """Rows of WINDOWS for the windows of a document's wanted segments: two hashes of different base and items."""
+    at = np.array([w["at"] for w in wanted], np.int64)
+    count = at & ((1 << SHIFT) - 1)
+    start = ranges(at >> SHIFT, count)
+    weight = np.repeat(np.array([w["weight"] for w in wanted], np.int8), count)
+    h1, h2 = Ranges(items).of(start, size), Ranges(mix(items), OTHER_BASE).of(start, size)
+    return h1.view(np.int64), h2.view(np.int64), weight, np.full(len(start), rk, np.int64), start << SHIFT | 1
+
+
 def cover(spans: list[int] | np.ndarray, size: int, n: int) -> np.ndarray:
     """A flag for each of ``n`` items: covered by a window of the packed (start, count) runs of windows."""
     marks = np.zeros(n + 1, np.int64)

@@ -5,6 +5,9 @@ segments don't decide, their bytes go by key to shards; there a suffix array sor
 length gives the Burrows-Wheeler transform, and intervals are extended backwards level by level:
 level l finds the bounds between suffixes that share just l bytes. Bounds not found below the
 minimum length lie inside classes of suffixes that share it.
+
+Keys that the sample knows as frequent may have any number of pieces, which no shard can hold at
+once; their windows are counted by two 64-bit hashes instead, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -135,17 +138,26 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: i
     compare = docs.join(repeats.wanted_pieces(found), "rk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
+        names = ["key", "rk", "at", "weight", "piece", "h1", "h2"]
         for batch in batches:
-            rows = []
+            rows, windows = [], []
             for rk, text, wanted in zip(batch.column("rk").to_pylist(), repeats.texts(batch), batch.column("wanted").to_pylist()):
+                if hot := [w for w in wanted if w["hot"]]:
+                    windows.append(repeats.hashed_windows(ITEMS[np.frombuffer(text, np.uint8)], hot, size, rk))
                 for w in wanted:
-                    start, count = w["at"] >> repeats.SHIFT, w["at"] & ((1 << repeats.SHIFT) - 1)
-                    rows.append((w["key"], rk, w["at"], w["weight"], text[start : start + count + size - 1]))
+                    if not w["hot"]:
+                        start, count = w["at"] >> repeats.SHIFT, w["at"] & ((1 << repeats.SHIFT) - 1)
+                        rows.append((w["key"], rk, w["at"], w["weight"], text[start : start + count + size - 1]))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "rk", "at", "weight", "piece"])
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] + [none, none], names=names)
+            if windows:
+                h1, h2, weight, rk, at = (pa.array(np.concatenate(c)) for c in zip(*windows))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), rk, at, weight, pa.nulls(len(at), pa.binary()), h1, h2], names=names)
 
-    pieces = compare.mapInArrow(cut, "key long, rk long, at long, weight int, piece binary").repartition("key").sortWithinPartitions("key")
+    pieces = materialize(compare.mapInArrow(cut, "key long, rk long, at long, weight tinyint, piece binary, h1 long, h2 long"), "pieces")
+    dealt = pieces.where("piece is not null").select("key", "rk", "at", "weight", "piece").repartition("key").sortWithinPartitions("key")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -181,8 +193,9 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: i
                 start = (at[piece[first]] >> repeats.SHIFT) + window[first]
                 yield pa.RecordBatch.from_arrays([pa.array(rk[piece[first]]), pa.array(start << repeats.SHIFT | run)], names=["rk", "at"])
 
-    edges = materialize(pieces.mapInArrow(expand, "rk long, at long"), "expanded")
-    return repeats.with_spans(docs, found.where("whole").select("rk", "at"), edges)
+    edges = materialize(dealt.mapInArrow(expand, "rk long, at long"), "expanded")
+    hot = repeats.counted_windows(pieces.where("piece is null").select("h1", "h2", "weight", "rk", "at"))
+    return repeats.with_spans(docs, found.where("whole").select("rk", "at"), edges, hot)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
