@@ -25,11 +25,18 @@ def numbered(lines: DataFrame, start_regex: str | None) -> DataFrame:
     return joined.select("source", "block", "pos", "value", (F.col("_before") + F.col("_local")).alias("entry"))
 
 
-def assemble(lines: DataFrame, start_regex: str | None) -> DataFrame:
-    """(source, entry, first_line, message) of each entry: its lines joined by line feeds, trailing line ends cut.
+def assemble(rows: DataFrame) -> DataFrame:
+    """(source, entry, first_line, message) of each entry of ``numbered`` lines: its lines joined by line
+    feeds, trailing line ends cut.
 
-    Entry 0 is made of the lines before the first start: orphans, which callers set aside.
+    Lines of entry 0 come before a source's first start; they are left out, as a source without any
+    start would be one entry of any size.
     """
-    rows = numbered(lines, start_regex).groupBy("source", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("rows"))
+    grouped = rows.where("entry > 0").groupBy("source", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r.value), "\n")
-    return rows.select("source", "entry", F.col("rows")[0]["value"].alias("first_line"), F.regexp_replace(text, r"[\r\n]+\z", "").alias("message"))
+    return grouped.select("source", "entry", F.col("rows")[0]["value"].alias("first_line"), F.regexp_replace(text, r"[\r\n]+\z", "").alias("message"))
+
+
+def orphans(rows: DataFrame) -> DataFrame:
+    """(source, value) of the lines of ``numbered`` that belong to no entry."""
+    return rows.where("entry = 0").select("source", "value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.config import FieldRule, ParserConfig, group_count
-from sawmill.operators.assemble import assemble
+from sawmill.operators.assemble import assemble, numbered, orphans
 from sawmill.schema import ENTRY, FIELD, NO_TIMESTAMP, UNKNOWN_LEVEL
 
 #: What counts as a number before it is cast: integers with an optional sign, and decimals that may have
@@ -108,16 +108,14 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool = False) -> tu
 
     Entries have the columns of an entry: level and fields come from the whole message, the timestamp
     from the first line; an unread timestamp gets the sentinel, or is a reject if the parser says so.
-    TemplateHash is 0 unless ``templates``. Rejects have Source, Error and Text: orphan lines before
-    the first entry, too.
+    TemplateHash is 0 unless ``templates``. Rejects have Source, Error and Text: each orphan line, too.
     """
-    texts = assemble(lines, parser.start_of_entry_regex)
+    rows = numbered(lines, parser.start_of_entry_regex)
     message = F.col("message")
-    stamp = timestamp_of(F.col("first_line"), parser)
-    texts = texts.withColumn("_stamp", stamp)
-    bad = (F.col("entry") == 0) | (F.col("_stamp").isNull() if parser.on_missing_timestamp == "reject" else F.lit(False))
+    texts = assemble(rows).withColumn("_stamp", timestamp_of(F.col("first_line"), parser))
     shown = message if parser.message_regex is None else F.coalesce(first_match(message, parser.message_regex), message)
-    entries = texts.where(~bad).select(
+    strict = parser.on_missing_timestamp == "reject"
+    entries = (texts.where("_stamp is not null") if strict else texts).select(
         F.coalesce("_stamp", F.lit(NO_TIMESTAMP).cast("timestamp")).alias("Timestamp"),
         level_of(message, parser).alias("Level"),
         shown.alias("Message"),
@@ -125,6 +123,8 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool = False) -> tu
         (template_hash(message, parser) if templates else F.lit(0).cast("long")).alias("TemplateHash"),
         fields_of(message, parser.fields_regexes).alias("Fields"),
     )
-    error = F.when(F.col("entry") == 0, "Orphan log line").otherwise("No timestamp")
-    rejects = texts.where(bad).select(F.col("source").alias("Source"), error.alias("Error"), message.alias("Text"))
+    rejects = orphans(rows).select(F.col("source").alias("Source"), F.lit("Orphan log line").alias("Error"), F.col("value").alias("Text"))
+    if strict:
+        undated = texts.where("_stamp is null")
+        rejects = rejects.union(undated.select("source", F.lit("No timestamp"), "message"))
     return entries, rejects

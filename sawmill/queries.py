@@ -171,9 +171,9 @@ def entry_numbers(spark, sf_dir):
     return numbered(document_lines(spark, sf_dir), START).groupBy("source").agg(F.max("entry").alias("n"))
 
 
-@query("SELECT CAST(event_id % 16 AS INTEGER) AS file, 'Orphan log line' AS error, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1")
+@query("SELECT CAST(event_id % 16 AS INTEGER) AS file, 'Orphan log line' AS error, CAST(2 AS BIGINT) AS n FROM events GROUP BY 1")
 def orphan_lines(spark, sf_dir):
-    """Two lines before a source's first entry are one reject, and no entry."""
+    """Two lines before a source's first entry are two rejects, and no entry."""
     lines = event_lines(spark, sf_dir)
     orphans = lines.select("source").distinct().select("source", F.lit(-1).cast("long"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))), F.lit("left over"))
     _, rejects = parse(lines.union(orphans), EVENTS)
