@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sawmill.llm.common import materialize
@@ -17,7 +19,8 @@ GAP = 1e-6
 TEMPER = 0.7
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.6
-#: Cells (combinations of categories) up to which their table is broadcast to the documents.
+#: Cells (combinations of categories) up to which their table is fitted on the driver and broadcast to the
+#: documents; a larger one is fitted by joins and windows. Both ways give the same.
 FEW_CELLS = 50_000
 
 #: Topic of a text: the first whose pattern it holds, else prose.
@@ -101,6 +104,55 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * ratio))
 
 
+def _rake_few(rows: list[Row], targets: dict[str, dict[str | None, float]] | None, dimensions: tuple[str, ...]) -> np.ndarray:
+    """``rake`` for a bounded number of cells."""
+    tokens = np.array([r.tokens for r in rows], float)
+    fitted, total, sides = tokens.copy(), tokens.sum(), []
+    for d in dimensions:
+        names = list(dict.fromkeys(r[d] for r in rows))
+        place = {n: i for i, n in enumerate(names)}
+        own = np.array([place[r[d]] for r in rows])
+        found = np.bincount(own, tokens, len(names))
+        given = (targets or {}).get(d)
+        weight = np.where(found > 0, found**TEMPER if given is None else [float(given.get(n, 0)) for n in names], 0.0)
+        sides.append((own, weight / weight.sum() * total if weight.sum() > 0 else found))
+    for _ in range(LOOKS):
+        for _ in range(SWEEPS):
+            for own, goal in sides:
+                sums = np.bincount(own, fitted, len(goal))
+                fitted *= np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)[own]
+        if max(np.abs((np.bincount(own, fitted, len(goal)) - goal) / np.maximum(goal, 1)).max() for own, goal in sides) <= GAP:
+            break
+    return fitted
+
+
+def _calibrate_few(tokens: np.ndarray, fitted: np.ndarray, budget: float) -> np.ndarray:
+    ratio = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
+    scale = budget
+    for _ in range(50):
+        full = scale * ratio >= 1
+        rest = fitted[~full].sum()
+        new = max(scale, (budget * tokens.sum() - tokens[full].sum()) / rest) if rest > 0 else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return np.minimum(1.0, scale * ratio)
+
+
+def chances(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, budget: float = BUDGET) -> tuple[DataFrame, bool]:
+    """(cells with ``probability``, whether they are few): raked and calibrated."""
+    cells = materialize(cells, "cells")
+    if cells.count() > FEW_CELLS:
+        return materialize(calibrate(rake(cells, targets), budget).select(*DIMENSIONS, "probability"), "chances"), False
+    rows = cells.collect()  # FEW_CELLS at most
+    schema = T.StructType([*cells.select(*DIMENSIONS).schema, T.StructField("probability", T.DoubleType())])
+    if not rows:
+        return cells.sparkSession.createDataFrame([], schema), True
+    fitted = _rake_few(rows, targets, DIMENSIONS)
+    found = _calibrate_few(np.array([r.tokens for r in rows], float), fitted, budget)
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), float(p)) for r, p in zip(rows, found)], schema), True
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, budget: float = BUDGET, seed: int = 11) -> DataFrame:
     """``docs`` with topic, tokens, probability and selected.
 
@@ -113,8 +165,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = No
     docs = docs.drop("topic", "tokens", "probability", "selected")
     docs = docs.withColumn("topic", topic_of(F.coalesce("text", F.lit("")))).withColumn("tokens", words_of(F.col("text")))
     cells = docs.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = materialize(calibrate(rake(cells, targets), budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability"), "chances")
-    few = cells.count() <= FEW_CELLS
+    cells, few = chances(cells, targets, budget)
+    cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
     same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
     out = docs.join(F.broadcast(cells) if few else cells, same, "left").drop(*[f"_{d}" for d in DIMENSIONS])
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") / float(1 << 53)

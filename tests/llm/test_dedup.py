@@ -25,16 +25,17 @@ def covered(sequences, size):
 
 @pytest.fixture(params=[False, True])
 def known(request, monkeypatch):
-    """With and without repeats known from the sample."""
+    """With repeats known from the sample and long texts cut, and without."""
     if request.param:
         monkeypatch.setattr(repeats, "OFTEN", 2)
     else:
         monkeypatch.setattr(repeats, "MOST_KNOWN", 0)
+    return repeats.LONG if request.param else 700
 
 
 @pytest.mark.parametrize("size", [200, 40])
 def test_bytes(docs, texts, size, known):
-    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, size).collect()}
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, size, known).collect()}
     data = [(t or "").encode() for t in texts]
     for i, (text, mask) in enumerate(zip(data, covered(data, size))):
         runs = int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
@@ -46,7 +47,7 @@ def test_bytes(docs, texts, size, known):
 
 @pytest.mark.parametrize("size", [35, 8, 2, 1])
 def test_words(docs, texts, size, known):
-    found = {r.doc_id: r for r in recompression.remove_repeats(docs, size).collect()}
+    found = {r.doc_id: r for r in recompression.remove_repeats(docs, size, known).collect()}
     words = [tuple((t or "").encode().split()) for t in texts]
     for i, (own, mask) in enumerate(zip(words, covered(words, size))):
         r = found[i]
@@ -167,9 +168,15 @@ def test_rake_and_calibrate(spark):
     chances = mixing.calibrate(fitted, 0.5).collect()
     assert all(0 <= r.probability <= 1 for r in chances)
     assert abs(sum(r.tokens * r.probability for r in chances) / total - 0.5) < 1e-6
+    few, is_few = mixing.chances(cells, targets, 0.5)
+    assert is_few
+    few = {(r.source, r.lang, r.topic): r.probability for r in few.collect()}
+    assert all(abs(few[r.source, r.lang, r.topic] - r.probability) < 1e-4 for r in chances)
 
 
-def test_mix(docs, texts):
+@pytest.mark.parametrize("few", [mixing.FEW_CELLS, 0])
+def test_mix(docs, texts, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     out = mixing.mix(docs.withColumn("topic", F.lit(3)))
     rows = out.collect()
     assert len(rows) == len(texts) and out.columns.count("topic") == 1
