@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from sawmill.llm.common import released, small_batches
+
 MAGIC = b"WVM1"
 #: Bits between stored rank counts.
 BLOCK = 512
@@ -26,8 +28,10 @@ BLOCK = 512
 SHARD_BYTES = 6 << 20
 #: Tokenizer files over this size are refused, as their content is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
+#: Shards up to which their starts (a row each) are broadcast to the documents.
+FEW_SHARDS = 200_000
 #: Units whose ids are remembered, at most.
-MAX_UNITS = 1_000_000
+MAX_UNITS = 400_000
 #: White space other than a space, right before a space; see ``UnitEncoder``.
 ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　] ")
 
@@ -214,7 +218,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     ascending order; each task encodes its own and writes one file by Spark's committer. Null and
     empty texts have the end id only. No documents: no shard.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     data = spark.sparkContext.broadcast(tokenizer_json(tokenizer_file))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -243,7 +247,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
 
     shards = max(1, -(-size // shard_bytes))
     dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, SHARDS).write.option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(lambda b: released(run(b)), SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -251,7 +255,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     ``start`` counts all ids before the document, by running totals over the shards' token counts.
     """
-    files = spark.read.schema(SHARDS).parquet(path)
+    files = small_batches(spark.read.schema(SHARDS).parquet(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +264,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 docs = [int(x) if x else None for x in row["doc_ids"].decode().split(",")]
-                for at in range(0, len(docs), 1000):
-                    some = slice(at, at + 1000)
+                for at in range(0, len(docs), 500):
+                    some = slice(at, at + 500)
                     tokens = [ids[e - n : e].tobytes() for e, n in zip(ends[some], lengths[some])]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["shard"]] * len(tokens), pa.int32()), pa.array(docs[some], pa.int64()), pa.array(ends[some] - lengths[some]), pa.array(lengths[some]), pa.array(tokens, pa.binary())],
@@ -271,4 +275,5 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     docs = files.select("shard", "doc_ids", "lengths", "payload").mapInArrow(run, "shard int, doc_id long, local long, n_tokens long, token_ids binary")
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))  # a row a file
-    return docs.join(starts, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "token_ids")
+    few = files.select("shard").count() <= FEW_SHARDS
+    return docs.join(F.broadcast(starts) if few else starts, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "token_ids")
