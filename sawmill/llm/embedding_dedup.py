@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import complete_groups, local_roots, materialize, runs, split_pairs
+from sawmill.llm.common import complete_groups, local_roots, materialize, released, runs, split_pairs
 from sawmill.llm.components import connected_components
 from sawmill.llm.vectors import matrix, unit, usable
 
@@ -57,8 +57,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, seed: int = 17, bloc
     def hashed(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         planes = hyperplanes(dim, bits, tables, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):  # each row leaves as many times as there are tables
+                some = batch.slice(at, 500)
                 sig = signatures(matrix(some.column("embedding")), planes, bits)
                 names, cols = ["tab", "bucket"], [np.tile(np.arange(tables, dtype=np.int32), len(sig)), sig.ravel()]
                 cols = [pa.array(c) for c in cols]
@@ -69,7 +69,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, seed: int = 17, bloc
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     vector = same.schema["embedding"].dataType.simpleString()
-    rows = same.mapInArrow(lambda b: hashed(b, True), f"tab int, bucket long, rep long, w long, embedding {vector}")
+    rows = same.mapInArrow(lambda b: released(hashed(b, True)), f"tab int, bucket long, rep long, w long, embedding {vector}")
     keys = same.select("embedding").mapInArrow(lambda b: hashed(b, False), "tab int, bucket long")
     dealt = split_pairs(rows, ["tab", "bucket"], "rep", block, keys)
     order = ["tab", "bucket", "part_i", "part_j"]
@@ -116,7 +116,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, seed: int = 17, bloc
                 made = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1]), pa.array(made[2])], names=["rep", "links", "root"])
 
-    found = materialize(dealt.mapInArrow(compare, "rep long, links long, root long"), "links")
+    found = materialize(dealt.mapInArrow(lambda b: released(compare(b)), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     reps = same.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

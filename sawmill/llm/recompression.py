@@ -133,6 +133,16 @@ def _lined_up(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts, lengths
 
 
+def _cut(text: bytes, size: int, long: int) -> Iterator[tuple[int, bytes]]:
+    """Words in pieces. What a window's symbols are doesn't depend on words outside it, so cuts change no key."""
+    if len(text) <= long:
+        yield 0, text
+        return
+    words, step = text.split(), max(1, long // 8)
+    for at in range(0, max(1, len(words) - size + 1), step):
+        yield at, b" ".join(words[at : at + step + size - 1])
+
+
 def _place(data: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     words, starts, lengths = _lined_up(data)
     breaks = np.concatenate([[0], starts + lengths])
@@ -146,10 +156,10 @@ def _place(data: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     return doc, at - starts[doc], count, keys[at], seg
 
 
-def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def repeated_words(docs: DataFrame, size: int = WINDOW, long: int = repeats.LONG) -> DataFrame:
     """``docs`` (doc_id, text) with ``spans``: packed runs of the windows of ``size`` words that start elsewhere too."""
     docs = repeats.keyed(docs)
-    found = repeats.repeated_segments(docs, lambda data: _place(data, size))
+    found = repeats.repeated_segments(docs, lambda data: _place(data, size), lambda text: _cut(text, size, long))
     compare = docs.join(repeats.wanted_pieces(found), "rk")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +173,7 @@ def repeated_words(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return repeats.with_spans(docs, found.where("whole").select("rk", "at"), repeats.counted_windows(hashed))
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, long: int = repeats.LONG) -> DataFrame:
     """(doc_id, text, n_words, n_removed): texts without the words of repeated windows, kept words joined by a space.
 
     Words are what white space (space, \\t to \\r) parts, unchanged. A window is ``size`` words of one
@@ -171,7 +181,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     included) or another, in the input. So all copies go. Null and empty texts: no words. Rows that
     share a doc_id are documents of their own; a null doc_id is allowed. No rows: no rows.
     """
-    found = repeated_words(docs, size).select("doc_id", "text", "spans")
+    found = repeated_words(docs, size, long).select("doc_id", "text", "spans")
     schema = with_fields(found.select("doc_id").schema, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,19 +14,21 @@ they need not meet, so their rows are spread instead of filling one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import materialize, ranges
+from sawmill.llm.common import materialize, ranges, released, small_batches
 
 #: Windows of a segment, at most; also what is left for the count in a packed place.
 LONGEST, SHIFT = 256, 10
 #: Documents of the sample for known repeats, about; how often it must show one; how many are sent to the tasks.
 SAMPLE_DOCS, OFTEN, MOST_KNOWN = 3000, 8, 100_000
+#: Bytes of a piece of a long text, about.
+LONG = 1 << 20
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POWERS: dict[int, list[np.ndarray]] = {}
 
@@ -115,26 +117,40 @@ def texts(batch: pa.RecordBatch) -> list[bytes]:
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in batch.column("text").cast(pa.binary())]
 
 
-def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.ndarray, ...]], chunk_bytes: int = 1 << 20) -> DataFrame:
+def repeated_segments(
+    docs: DataFrame, place: Callable[[list[bytes]], tuple[np.ndarray, ...]], cut: Callable[[bytes], Iterable[tuple[int, bytes]]], chunk_bytes: int = 1 << 19
+) -> DataFrame:
     """(rk, at, key, seg, hot, whole) of the segments whose key occurs twice; ``whole``: the whole segment
     does; ``hot``: the sample knows the key, so it may have any number of segments.
 
-    ``place`` gets texts and returns (index of the text, start, count, key, seg) of their segments.
+    ``cut`` gives a text's pieces as (items before it, piece), each window in just one of them, so that a
+    very long text needs no more memory than others. ``place`` gets pieces and returns (index of the
+    piece, start, count, key, seg) of their segments.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
+
+    def chunks(rows: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """(rk, items before, piece) of the rows' pieces, by about ``chunk_bytes``."""
+        held, size = [], 0
+        for rk, text in rows:
+            for before, piece in cut(text):
+                held.append((rk, before, piece))
+                size += len(piece)
+                if size >= chunk_bytes:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, rks = texts(batch), batch.column("rk").to_numpy()
-            size = np.cumsum([len(t) + 1 for t in data])
-            for part in np.split(np.arange(len(data)), np.searchsorted(size, np.arange(chunk_bytes, size[-1], chunk_bytes)) if len(data) else []):
-                if not len(part):
-                    continue
-                doc, start, count, key, seg = place(data[part[0] : part[-1] + 1])
+            for part in chunks(zip(batch.column("rk").to_pylist(), texts(batch))):
+                rks, before = (np.array(c, np.int64) for c in list(zip(*part))[:2])
+                doc, start, count, key, seg = place([piece for _, _, piece in part])
                 if not len(doc):
                     continue
                 key, seg = key.view(np.int64), seg.view(np.int64)
-                columns = [rks[part[0]] + np.zeros(len(doc), np.int64) if len(part) == 1 else rks[part[0] + doc], start << SHIFT | count, key, seg]
+                columns = [rks[doc], (start + before[doc]) << SHIFT | count, key, seg]
                 if known is not None:
                     hot = np.isin(key, known[0])
                     sure = np.where(np.isin(seg, known[1]), 2, np.where(hot, 1, 0))
@@ -150,7 +166,7 @@ def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.n
         return np.sort(np.array([r[0] for r in rows.select(column).collect()], np.int64))
 
     known = spark.sparkContext.broadcast((often("key"), often("seg")))
-    rows = docs.mapInArrow(lambda b: run(b, known.value), PLACED + ", hot boolean, deal long, sure tinyint")
+    rows = docs.mapInArrow(lambda b: released(run(b, known.value)), PLACED + ", hot boolean, deal long, sure tinyint")
     dealt = rows.repartition("deal").drop("deal").sortWithinPartitions("key", "seg")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +192,7 @@ def repeated_segments(docs: DataFrame, place: Callable[[list[bytes]], tuple[np.n
             out = rows.drop_columns(["sure"]).append_column("whole", pa.array(same[:, 1] | (sure == 2))).filter(keep)
             yield from out.combine_chunks().to_batches()
 
-    return materialize(dealt.mapInArrow(meet, PLACED + ", hot boolean, whole boolean"), "segments")
+    return materialize(dealt.mapInArrow(lambda b: released(meet(b)), PLACED + ", hot boolean, whole boolean"), "segments")
 
 
 def wanted_pieces(found: DataFrame) -> DataFrame:

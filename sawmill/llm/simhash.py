@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from sawmill.llm.common import complete_groups, local_roots, materialize, put_columns, ranges, runs, split_pairs, with_fields
+from sawmill.llm.common import complete_groups, local_roots, materialize, put_columns, ranges, released, runs, small_batches, split_pairs, with_fields
 from sawmill.llm.components import connected_components
 from sawmill.llm.repeats import mix
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", s
             column = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * words), flat)
             yield put_columns(batch.drop_columns([text_col]), **{out_col: column})
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(lambda b: released(run(b)), schema)
 
 
 def masks_for(n: int, radius: int, per_bucket: int = 64) -> list[tuple[int, ...]]:
@@ -194,7 +194,7 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]])], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(lambda b: released(compare(b)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: int = 1) -> DataFrame:

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sawmill.llm import repeats
-from sawmill.llm.common import complete_groups, materialize, put_columns, ranges, with_fields
+from sawmill.llm.common import complete_groups, materialize, put_columns, ranges, released, small_batches, with_fields
 from sawmill.llm.repeats import Ranges, mix
 
 SIZE = 200
 #: Bytes of the substrings whose least hash keys a window.
 GRAM = 48
 #: Bytes of a shard's text, about.
-SHARD = 3 << 20
+SHARD = 1 << 20
 #: Parts between pieces; UTF-8 has no such byte.
 BREAK = 0xFF
 
@@ -114,6 +114,11 @@ def repeated_in_shard(pieces: list[bytes], count: np.ndarray, weight: np.ndarray
     return piece[hit], place[hit] - starts[piece[hit]]
 
 
+def _cut(text: bytes, size: int, long: int) -> Iterator[tuple[int, bytes]]:
+    for at in range(0, max(1, len(text) - size + 1), long):
+        yield at, text[at : at + long + size - 1]
+
+
 def _place(data: list[bytes], size: int, gram: int) -> tuple[np.ndarray, ...]:
     lengths = np.array([len(t) for t in data], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -131,10 +136,10 @@ def _place(data: list[bytes], size: int, gram: int) -> tuple[np.ndarray, ...]:
     return doc, at - starts[doc], count, grams[repeats.place_of(least[at])], seg
 
 
-def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: int = SHARD, long: int = repeats.LONG) -> DataFrame:
     """``docs`` (doc_id, text) with ``spans``: packed runs of the windows of ``size`` bytes that start elsewhere too."""
     docs = repeats.keyed(docs)
-    found = repeats.repeated_segments(docs, lambda data: _place(data, size, min(gram, size)))
+    found = repeats.repeated_segments(docs, lambda data: _place(data, size, min(gram, size)), lambda text: _cut(text, size, long))
     compare = docs.join(repeats.wanted_pieces(found), "rk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: i
                 h1, h2, weight, rk, at = (pa.array(np.concatenate(c)) for c in zip(*windows))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), rk, at, weight, pa.nulls(len(at), pa.binary()), h1, h2], names=names)
 
-    pieces = materialize(compare.mapInArrow(cut, "key long, rk long, at long, weight tinyint, piece binary, h1 long, h2 long"), "pieces")
+    pieces = materialize(compare.mapInArrow(lambda b: released(cut(b)), "key long, rk long, at long, weight tinyint, piece binary, h1 long, h2 long"), "pieces")
     dealt = pieces.where("piece is not null").select("key", "rk", "at", "weight", "piece").repartition("key").sortWithinPartitions("key")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +198,12 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: i
                 start = (at[piece[first]] >> repeats.SHIFT) + window[first]
                 yield pa.RecordBatch.from_arrays([pa.array(rk[piece[first]]), pa.array(start << repeats.SHIFT | run)], names=["rk", "at"])
 
-    edges = materialize(dealt.mapInArrow(expand, "rk long, at long"), "expanded")
+    edges = materialize(dealt.mapInArrow(lambda b: released(expand(b)), "rk long, at long"), "expanded")
     hot = repeats.counted_windows(pieces.where("piece is null").select("h1", "h2", "weight", "rk", "at"))
     return repeats.with_spans(docs, found.where("whole").select("rk", "at"), edges, hot)
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, long: int = repeats.LONG) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): the UTF-8 bytes of each text that no repeated string covers.
 
     A byte goes if a string of ``size`` bytes that covers it also starts anywhere else in the input, in
@@ -207,7 +212,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     runs. Null and empty texts: no bytes. Rows that share a doc_id are documents of their own; a null
     doc_id is allowed. No rows: no rows.
     """
-    found = repeated_bytes(docs, size).select("doc_id", "text", "spans")
+    found = repeated_bytes(docs, size, long=long).select("doc_id", "text", "spans")
     schema = with_fields(found.select("doc_id").schema, T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +231,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     runs.append(0)
             yield put_columns(batch.select(["doc_id"]), kept=pa.array(kept, pa.binary()), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(runs, pa.int64()))
 
-    return found.mapInArrow(run, schema)
+    return small_batches(found).mapInArrow(run, schema)
 
 
 def cut_texts(found: DataFrame, size: int = SIZE) -> DataFrame:

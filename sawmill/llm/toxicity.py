@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import materialize, put_columns, with_fields
+from sawmill.llm.common import materialize, put_columns, released, small_batches, with_fields
 
 #: Labelled rows of each class that the examples are taken from, at most (those of least hash).
 EXAMPLES = 2000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     training labels. Of rows that share a doc_id one gives the vector. No examples or no such terms: every
     text gets the share of class 1.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
@@ -214,7 +214,7 @@ def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *total[at].tolist()], pa.int64())], names=["at", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows at most
+    sums = docs.select("text").mapInArrow(lambda b: released(count(b)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows at most
     df = {r["at"]: r["n"] for r in sums}
     seen = np.array([df.get(i, 0) for i in range(len(vocabulary))], float)
     return np.log((1 + df.get(-1, 0)) / (1 + seen)) + 1
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     model (at most TERMS terms and 2 * EXAMPLES vectors) is broadcast; rows are not shuffled. Columns of
     the new ones' names give way.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
     schema = with_fields(docs.schema, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False), T.StructField("evidence", evidence))
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             predicted = [int(s >= threshold) for s in scores]
             yield put_columns(batch, score=pa.array(scores, pa.float64()), predicted=pa.array(predicted, pa.int32()), evidence=pa.array(shown, arrow))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: released(run(b)), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
