@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sawmill.llm.common import put_columns, with_fields
+from sawmill.llm.common import put_columns, released, small_batches, with_fields
 
 #: Where a text can be cut without a change to the matches of PATTERN: no match of it holds a visible
 #: character and a later space or line feed, nor an ASCII letter and an ASCII digit side by side.
@@ -61,25 +61,32 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, long: int = LONG) -> l
     return [i for piece in pieces(text, long) for i in enc.encode_ordinary(piece)]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of ``text_col`` as an array of int in ``ids_col``.
+def encode(
+    docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str | None = None
+) -> DataFrame:
+    """``docs`` with the token ids of ``text_col`` as an array of int in ``ids_col``, and if ``bytes_col``
+    is given the bytes decoded from them, by the same worker.
 
     One pass over the rows without a shuffle. Null and empty texts have no ids; other columns stay,
     a column of the new one's name gives way. The rank file is read on the driver and broadcast.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(rank_bytes(rank_file))
-    schema = with_fields(docs.schema, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False))
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]
+    added += [T.StructField(bytes_col, T.BinaryType(), False)] if bytes_col else []
+    schema = with_fields(docs.schema, *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
         for batch in batches:
             texts = batch.column(text_col)
-            for at in range(0, batch.num_rows, 1000):  # a list of ids takes ten times its text's memory
-                some = [encode_text(enc, t) for t in texts.slice(at, 1000).to_pylist()]
-                ids = pa.array(some, pa.list_(pa.int32()))
-                yield put_columns(batch.slice(at, 1000), **{ids_col: ids})
+            for at in range(0, batch.num_rows, 250):  # a list of ids takes ten times its text's memory
+                some = [encode_text(enc, t) for t in texts.slice(at, 250).to_pylist()]
+                made = {ids_col: pa.array(some, pa.list_(pa.int32()))}
+                if bytes_col:
+                    made[bytes_col] = pa.array([enc.decode_bytes(x) for x in some], pa.binary())
+                yield put_columns(batch.slice(at, 250), **made)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(lambda b: released(run(b)), schema)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -94,8 +101,8 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "toke
         enc = encoding(ranks.value, pattern)
         for batch in batches:
             ids = batch.column(ids_col)
-            for at in range(0, batch.num_rows, 1000):
-                some = [enc.decode_bytes(x or []) for x in ids.slice(at, 1000).to_pylist()]
-                yield put_columns(batch.slice(at, 1000), **{bytes_col: pa.array(some, pa.binary())})
+            for at in range(0, batch.num_rows, 250):
+                some = [enc.decode_bytes(x or []) for x in ids.slice(at, 250).to_pylist()]
+                yield put_columns(batch.slice(at, 250), **{bytes_col: pa.array(some, pa.binary())})
 
-    return tokens.mapInArrow(run, schema)
+    return small_batches(tokens).mapInArrow(lambda b: released(run(b)), schema)

@@ -28,6 +28,8 @@ def test_encode_decode(spark, docs, texts, plain):
     rows = {r.doc_id: r for r in back.collect()}
     for i, t in enumerate(texts):
         assert rows[i].token_ids == plain.encode_ordinary(t or "") and bytes(rows[i].decoded) == (t or "").encode()
+    both = bpe.encode(docs, RANKS, P.PATTERN, bytes_col="decoded")
+    assert {(r.doc_id, tuple(r.token_ids), bytes(r.decoded)) for r in both.collect()} == {(i, tuple(r.token_ids), bytes(r.decoded)) for i, r in rows.items()}
     assert bpe.encode(docs.where("false"), RANKS, P.PATTERN).count() == 0
 
 
