@@ -52,8 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with token ids, their number, and whether the decoded bytes are the text's."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    back = bpe.decode(tokens, ranks, public_tokenizers.PATTERN)
+    back = bpe.encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return back.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
