@@ -27,6 +27,8 @@ from sawmill.llm.common import materialize, ranges, released, small_batches
 LONGEST, SHIFT = 256, 10
 #: Documents of the sample for known repeats, about; how often it must show one; how many are sent to the tasks.
 SAMPLE_DOCS, OFTEN, MOST_KNOWN = 3000, 8, 100_000
+#: Segments of a key that one task may take together, about (a few MB of text).
+GROUP_ROWS = 10_000
 #: Bytes of a piece of a long text, about.
 LONG = 1 << 20
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -121,7 +123,7 @@ def repeated_segments(
     docs: DataFrame, place: Callable[[list[bytes]], tuple[np.ndarray, ...]], cut: Callable[[bytes], Iterable[tuple[int, bytes]]], chunk_bytes: int = 1 << 19
 ) -> DataFrame:
     """(rk, at, key, seg, hot, whole) of the segments whose key occurs twice; ``whole``: the whole segment
-    does; ``hot``: the sample knows the key, so it may have any number of segments.
+    does; ``hot``: by the sample the key has over GROUP_ROWS segments, more than one task should hold.
 
     ``cut`` gives a text's pieces as (items before it, piece), each window in just one of them, so that a
     very long text needs no more memory than others. ``place`` gets pieces and returns (index of the
@@ -152,8 +154,8 @@ def repeated_segments(
                 key, seg = key.view(np.int64), seg.view(np.int64)
                 columns = [rks[doc], (start + before[doc]) << SHIFT | count, key, seg]
                 if known is not None:
-                    hot = np.isin(key, known[0])
-                    sure = np.where(np.isin(seg, known[1]), 2, np.where(hot, 1, 0))
+                    hot = np.isin(key, known[2])
+                    sure = np.where(np.isin(seg, known[1]), 2, np.where(np.isin(key, known[0]), 1, 0))
                     columns += [hot, np.where(sure == 2, columns[0], np.where(sure == 1, seg, key)), sure.astype(np.int8)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "at", "key", "seg", "hot", "deal", "sure"][: len(columns)])
 
@@ -161,11 +163,14 @@ def repeated_segments(
     sampled = docs.where(F.pmod(F.col("rk"), F.lit(every)) == 0).mapInArrow(lambda b: run(b, None), PLACED)
     counts = sampled.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"))
 
-    def often(column: str) -> np.ndarray:
+    def often(column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the column that the sample shows often, sorted, and how many rows of all each may have."""
         rows = counts.groupBy(column).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), column).limit(MOST_KNOWN)
-        return np.sort(np.array([r[0] for r in rows.select(column).collect()], np.int64))
+        found = sorted((r[0], r[1] * every) for r in rows.collect())
+        return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
 
-    known = spark.sparkContext.broadcast((often("key"), often("seg")))
+    keys, rows_of = often("key")
+    known = spark.sparkContext.broadcast((keys, often("seg")[0], keys[rows_of > GROUP_ROWS]))
     rows = docs.mapInArrow(lambda b: released(run(b, known.value)), PLACED + ", hot boolean, deal long, sure tinyint")
     dealt = rows.repartition("deal").drop("deal").sortWithinPartitions("key", "seg")
 

@@ -6,8 +6,8 @@ length gives the Burrows-Wheeler transform, and intervals are extended backwards
 level l finds the bounds between suffixes that share just l bytes. Bounds not found below the
 minimum length lie inside classes of suffixes that share it.
 
-Keys that the sample knows as frequent may have any number of pieces, which no shard can hold at
-once; their windows are counted by two 64-bit hashes instead, with partial sums before the shuffle.
+Keys with more pieces than a task should hold, by the sample, are not sent to one shard; their windows
+are counted by two 64-bit hashes instead, with partial sums before the shuffle.
 """
 
 from __future__ import annotations

@@ -28,6 +28,7 @@ def known(request, monkeypatch):
     """With repeats known from the sample and long texts cut, and without."""
     if request.param:
         monkeypatch.setattr(repeats, "OFTEN", 2)
+        monkeypatch.setattr(repeats, "GROUP_ROWS", 2)
     else:
         monkeypatch.setattr(repeats, "MOST_KNOWN", 0)
     return repeats.LONG if request.param else 700
