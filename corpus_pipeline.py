@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from sawmill.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 from sawmill.llm.common import materialize, table
 
-#: The near-dedup stage links texts of a similarity of about 0.8 and more: Jaccard similarity s of five-word
-#: shingles is a cosine of 2s / (1 + s), at which sign bits differ with probability acos(cosine) / pi, 0.152
-#: for 0.8. Of 4 * 64 bits that is 39 on average; one standard deviation more is let through.
-SHINGLE, WORDS, RADIUS = 5, 4, 44
+#: The near-dedup stage links texts of a Jaccard similarity of simhash.SIMILARITY and more of five-word shingles;
+#: fingerprints of 4 * 64 bits search for them.
+SHINGLE, WORDS = 5, 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: of those whose fingerprints reach each other by links.
+    """One document of each group of near copies: of those that reach each other by links of a Jaccard similarity of 0.8 or more.
 
     Rows are told apart by doc_id and text, so rows alike in both are copies too, and null ids are allowed.
     """
     docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = simhash.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), radius=RADIUS, shingle=SHINGLE, words=WORDS)
+    found = simhash.near_copies(docs.select(F.col("_row").alias("doc_id"), "text"), SHINGLE, WORDS)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
     return docs.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -24,18 +25,33 @@ SEED = 42
 BLOCK = 4096
 #: Pairs of a query and a word of 64 lanes that are compared at once.
 CHUNK = 1 << 14
+#: ``near_copies``: shingle sets of this Jaccard similarity and more link. Bits of the fingerprints of two such sets differ
+#: with probability APART at most (four shingles and the same with a fifth; larger sets: 0.162), so that of 256 bits over
+#: WIDE differ in one of 10,000 pairs; as many tables as miss MISS of the pairs at APART.
+SIMILARITY, APART, WIDE, MISS = 0.8, 3 / 16, 72, 0.001
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> np.ndarray:
     """``words`` times 64 bits; a bit is set if it is in over half of the hashes of the text's word
     shingles, repeats counted. Later words are of hashes made from the first ones'. No words: 0."""
+    return majority(shingle_hashes(text, shingle), words)
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text in order; fewer words than that are one shingle."""
     tokens = text.lower().split() if text else []  # of bytes: A-Z, and white space as in [^\x20\x09-\x0D]+
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(tokens), len(tokens)
     starts = [0, *accumulate(len(w) + 1 for w in tokens)]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[min(shingle, n) :])], np.uint64)
+    return np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[min(shingle, n) :])], np.uint64)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits, set where over half of the hashes have them."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     out = np.empty(words, np.uint64)
     for k in range(words):
         own = mix(hashes + np.uint64(k)) if k else hashes
@@ -143,14 +159,38 @@ def near(planes: np.ndarray, valid: np.ndarray, query: np.ndarray, word: np.ndar
     return alive, valid[word] & ~far
 
 
-def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1) -> DataFrame:
+def missed(bits: int, tables: int, words: int, radius: int, apart: float) -> float:
+    """Chance that two fingerprints whose bits differ with probability ``apart`` each are beyond ``radius`` or agree
+    in none of ``tables`` choices of ``bits`` bits."""
+    size = 64 * words
+    chance = np.array([math.comb(size, d) * apart**d * (1 - apart) ** (size - d) for d in range(size + 1)])
+    alike = np.array([math.comb(size - d, bits) / math.comb(size, bits) for d in range(size + 1)])
+    return float((chance * (1 - alike) ** tables)[: radius + 1].sum() + chance[radius + 1 :].sum())
+
+
+def wide_masks(n: int, words: int, radius: int, apart: float = APART, miss: float = MISS, per_bucket: int = 512, seed: int = 23) -> list[tuple[int, ...]]:
+    """Masks of randomly drawn bits, as many as ``missed`` is at most ``miss`` with; few bits, as comparing is cheap."""
+    bits = min(40, max(6, math.ceil(math.log2(max(n, 2) / per_bucket))))
+    if missed(bits, 1 << 40, words, radius, apart) > miss:
+        raise ValueError("the radius alone misses more")
+    most = 1
+    while missed(bits, most, words, radius, apart) > miss:
+        most *= 2
+    tables = most // 2 + 1 + bisect_left(range(most // 2 + 1, most), -miss, key=lambda t: -missed(bits, t, words, radius, apart))
+    rng = np.random.default_rng(seed)
+    drawn = [rng.choice(64 * words, bits, replace=False).tolist() for _ in range(tables)]
+    return [tuple(sum(1 << (b % 64) for b in some if b // 64 == w) for w in range(words)) for some in drawn]
+
+
+def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
     """(a, b) links of distinct fingerprints (fp: array of ``words`` longs, rep: long) that differ in at most ``radius`` bits.
 
-    All of them for one word; for more, those that ``sampled_masks`` bring together. Links are local: each task gives for each fingerprint of its buckets a representative of those it
+    All of them for one word; for more, those that ``masks`` (``sampled_masks``) bring together. Links are local: each task gives for each fingerprint of its buckets a representative of those it
     reaches there, so components of the links are those of all near pairs, without the pairs.
     """
-    n = fps.count()
-    masks = masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
+    if masks is None:
+        n = fps.count()
+        masks = masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
 
     def key(i: int, mask: tuple[int, ...]) -> Column:
         parts = [F.col("fp")[k].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(mask) if m]
@@ -211,3 +251,100 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: i
     parts = connected_components(linked(reps.where("rep is not null"), radius, BLOCK, words))
     known = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, the 128-bit hash (k1, k2) and the size n of the text's set of shingles, and the set's fingerprint fp."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in batch.column("text").cast(pa.binary())]
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            flat = np.concatenate([majority(s, words) for s in sets] or [np.zeros(0, np.uint64)]).view(np.int64)
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(s) for s in sets], pa.int32()), fp],
+                names=["doc_id", "k1", "k2", "n", "fp"])
+
+    return small_batches(docs).mapInArrow(lambda b: released(run(b)), "doc_id long, k1 long, k2 long, n int, fp array<long>")
+
+
+def jaccard_roots(values: np.ndarray, sizes: np.ndarray, asks: np.ndarray, similarity: float) -> np.ndarray:
+    """The least row of each row's component under links of the rows ``asks`` to any whose sets have that Jaccard
+    similarity; ``values`` holds the sets one after another. Shared shingles are counted by postings, for all rows."""
+    m = len(sizes)
+    code = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    rows = np.repeat(np.arange(m), sizes)[order]
+    counts = np.bincount(code)
+    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    root = np.arange(m)
+    for x in asks:
+        if (root == root[x]).all():
+            continue
+        own = code[ends[x] - sizes[x] : ends[x]]
+        shared = np.bincount(rows[ranges(starts[own], counts[own])], minlength=m)
+        met = np.unique(root[shared >= similarity * (sizes[x] + sizes - shared) - 1e-9])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    return root
+
+
+def verified(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) links of the nodes of ``members`` (node, component) whose texts' shingle sets have a Jaccard similarity
+    of ``similarity`` or more, by exact counts, between all nodes of a component. Large components are dealt out in
+    pairs of blocks; links are local as in ``linked``."""
+    members = members.withColumnRenamed("node", "doc_id")
+    parts = split_pairs(members, ["component"], "doc_id", block).groupBy("doc_id", "component", "blk").agg(F.collect_list(F.struct("part_i", "part_j")).alias("parts"))
+    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # rows alike come once
+    order = ["component", "part_i", "part_j"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in batch.column("text").cast(pa.binary())]
+            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            flat = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield put_columns(batch.drop_columns(["text"]), shingles=pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
+
+    joined = small_batches(texts).join(parts, "doc_id").select("doc_id", "component", "blk", "parts", "text")
+    schema = with_fields(T.StructType([f for f in joined.schema if f.name != "text"]), T.StructField("shingles", T.ArrayType(T.LongType())))
+    rows = joined.mapInArrow(lambda b: released(sets(b)), schema).withColumn("part", F.explode("parts"))
+    rows = rows.select("doc_id", "component", "blk", "part.part_i", "part.part_j", "shingles").repartition(*order).sortWithinPartitions(*order)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in complete_groups(batches, order):
+            cols = [groups.column(c).to_numpy() for c in order]
+            ids, blk = (groups.column(c).to_numpy() for c in ("doc_id", "blk"))
+            lists = groups.column("shingles").combine_chunks()
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            bounds = runs(*cols)
+            for a, b in zip(bounds, bounds[1:]):
+                if b - a > 1:
+                    asks = np.flatnonzero(blk[a:b] == cols[1][a])  # of two blocks the first asks
+                    root = jaccard_roots(values[at[a] : at[b]], sizes[a:b], asks, similarity)
+                    out = np.flatnonzero(root != np.arange(b - a))
+                    if len(out):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][out]), pa.array(ids[a:b][root[out]])], names=["a", "b"])
+
+    return rows.mapInArrow(lambda b: released(compare(b)), "a long, b long")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, words: int = 4) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs`` (doc_id: long and not null, text); rows of one doc_id have one text.
+
+    Texts link if their sets of word shingles (words as in ``near_duplicates``, shingles by their 64-bit hashes) have
+    a Jaccard similarity of SIMILARITY or more; component_id is the smallest doc_id reachable. Equal sets are compared
+    once. Fingerprints of the sets only search: those within WIDE bits in one of ``wide_masks``'s tables make groups,
+    in which ``verified`` counts shared shingles. A pair right at SIMILARITY comes to no table with probability MISS at
+    most, and less if others bring it into one group. Sets too small to reach SIMILARITY with another are not compared.
+    """
+    docs = docs.select("doc_id", "text")
+    prints = materialize(shingle_sets(docs, shingle, words), "prints")
+    key = ["k1", "k2"]
+    reps = materialize(prints.groupBy(*key, "n", "fp").agg(F.min("doc_id").alias("rep")), "reps")
+    some = reps.where(F.col("n") + 1e-9 >= SIMILARITY * (F.col("n") + 1))
+    groups = connected_components(linked(some.select("fp", "rep"), WIDE, BLOCK, words, wide_masks(some.count(), words, WIDE)))
+    parts = connected_components(verified(docs, groups, SIMILARITY, shingle))
+    known = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(known, key).select("doc_id", "component_id")

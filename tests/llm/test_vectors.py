@@ -139,3 +139,51 @@ def test_wide_fingerprints_link_similar_texts(spark):
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 44, 5, 4).collect()}
     assert sum(found[i + 100] == i for i in range(40)) >= 38
     assert all(found[i] == i and found[i + 200] == i + 200 for i in range(40))
+
+
+def test_near_copies_are_those_of_jaccard(spark):
+    """Pairs of exact similarity around 0.8, against brute force; a fingerprint radius alone gets these wrong."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(150):
+        n = int(rng.integers(60, 300))
+        text = [f"w{x}" for x in rng.integers(0, 20000, n)]
+        gap = n * (0.05 + 0.2 * rng.random())  # words at the end that differ
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(text[: int(n - gap)] + [f"v{x}" for x in rng.integers(0, 20000, int(rng.integers(0, gap + 1)))]))]
+    few = "a b c d e f g h i"
+    rows += [(2000, None), (2001, ""), (2002, few[:-2]), (2003, few), (2004, "a b c d e f g"), (2005, "a b c d e f"), (2006, few.upper()), (2007, "A b"), (2008, "a  b")]
+    rows += [(2003, few)] * 5 + [(3000 + i, " ".join(["line one of many", str(i)] * 200)) for i in range(3)]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    near = [(x, y) for x, i in enumerate(ids) for y, j in enumerate(ids[:x]) if like(sets[i], sets[j])]
+    assert 30 < len(near) < 140
+    want = [ids[r] for r in groups(len(ids), near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_copies(df).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == dict(zip(ids, want))
+
+
+def test_jaccard_links_in_blocks(spark):
+    text = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(text[: 100 - i])) for i in range(40)] + [(50, " ".join(text[30:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = df.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
+    for block in (4096, 7):
+        parts = {r.node: r.component for r in connected_components(simhash.verified(df, members, 0.8, 5, block)).collect()}
+        assert parts == {i: 0 for i in range(40)}
+
+
+def test_wide_tables_miss_few():
+    for n in (1000, 10**6):
+        masks = simhash.wide_masks(n, 4, simhash.WIDE)
+        bits = sum(m.bit_count() for m in masks[0])
+        assert simhash.missed(bits, len(masks), 4, simhash.WIDE, simhash.APART) <= 0.001 < simhash.missed(bits, len(masks) - 1, 4, simhash.WIDE, simhash.APART)
+        rng = np.random.default_rng(15)
+        differ = rng.random((4000, 256)) < simhash.APART
+        drawn = np.array([[b for b in range(256) if m[b // 64] >> b % 64 & 1] for m in masks])
+        met = (~differ[:, drawn].any(axis=2)).any(axis=1) & (differ.sum(axis=1) <= simhash.WIDE)
+        assert met.mean() > 0.995
