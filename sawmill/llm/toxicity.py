@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     picked = [known.where(F.col("y") == y).orderBy(*least).limit(EXAMPLES) for y in (0, 1)]
     picked = [r for part in picked for r in part.collect()]  # 2 * EXAMPLES ids at most
     chosen = spark.createDataFrame(picked, known.schema)
-    examples = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "examples")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    examples = materialize(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")  # a row an id, by partial sums
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,6 +118,15 @@ def test_toxicity(spark, toxic):
     assert other[5001].evidence[0].label == 1
 
 
+def test_toxicity_one_example_an_id(spark, toxic, monkeypatch):
+    docs, labels = toxic
+    kept = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: kept.append(materialize(df, name)) or kept[-1])
+    many = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", F.concat_ws(" ", "text", "id").alias("text")))
+    toxicity.fit(many, labels, F.lit(True))
+    assert kept[0].count() == kept[0].select("doc_id").distinct().count() == 900
+
+
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(11)
     rows = []
