@@ -8,16 +8,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import materialize, put_columns, released, small_batches, with_fields
+from sawmill.llm.common import materialize, put_columns, ranges, released, runs, small_batches, with_fields
 
 #: Labelled rows of each class that the examples are taken from, at most (those of least hash).
 EXAMPLES = 2000
-#: Terms kept, at most, and the chi-square and number of sampled rows a term must have.
-TERMS, CHI2, MIN_ROWS = 4096, 30.0, 4
 #: Nearest examples that vote, and the weight of the vote against that is always there.
 NEIGHBOURS, AGAINST = 16, 1.0
 #: Examples of a block of the index.
@@ -45,49 +44,53 @@ def terms(text: bytes | None) -> Counter[bytes]:
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples by term: postings in example order, and each block's largest weight."""
+    """Unit TF-IDF vectors of the examples by term: postings in example order, and each term's blocks with the
+    largest weight in them."""
 
     labels: np.ndarray
     ids: list
     starts: np.ndarray  # of a term's postings in ``refs`` and ``weights``
     refs: np.ndarray
     weights: np.ndarray
-    most: np.ndarray = field(init=False)  # terms x blocks
+    parts: np.ndarray = field(init=False)  # of a term's blocks in the following
+    blocks: np.ndarray = field(init=False)
+    bounds: np.ndarray = field(init=False)  # of the block's postings
+    most: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        blocks = max(1, -(-len(self.labels) // BLOCK))
-        self.most = np.zeros((len(self.starts) - 1, blocks))
         term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        np.maximum.at(self.most, (term, self.refs // BLOCK), self.weights)
+        self.bounds = runs(term, self.refs // BLOCK)
+        self.parts = np.searchsorted(self.bounds[:-1], self.starts)
+        self.blocks = self.refs[self.bounds[:-1]] // BLOCK
+        self.most = np.maximum.reduceat(self.weights, self.bounds[:-1]) if len(term) else np.zeros(0)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine above zero with a unit query (terms ``at``), ties by place; exact.
 
-        Blocks come by falling bound, the sum of the query's weights times the block's largest; once
-        the bound is below the k-th cosine found, no later block can hold a nearer example.
+        A block's bound is the sum of the query's weights times the block's largest. The few blocks of largest
+        bound come first; then all others but those whose bound is below the k-th cosine found.
         """
-        bound = weight @ self.most[at]
+        count = self.parts[at + 1] - self.parts[at]
+        part, w = ranges(self.parts[at], count), np.repeat(weight, count)
+        block = self.blocks[part]
+        bound = np.bincount(block, w * self.most[part], minlength=-(-len(self.labels) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found_ref, found = np.zeros(0, np.int64), np.zeros(0)
-        lists = [(self.refs[a:b], self.weights[a:b] * w) for a, b, w in zip(self.starts[at], self.starts[at + 1], weight)]
-        step = 4
-        for i in range(0, len(order), step):
-            if len(found) == k and bound[order[i]] < found[-1] - 1e-12:
-                break
-            refs, parts = [], []
-            for block in order[i : i + step]:
-                for ref, part in lists:
-                    a, b = np.searchsorted(ref, (block * BLOCK, (block + 1) * BLOCK))
-                    if b > a:
-                        refs.append(ref[a:b])
-                        parts.append(part[a:b])
-            seen, place = np.unique(np.concatenate(refs), return_inverse=True)
-            cosines = np.bincount(place, np.concatenate(parts))
-            found_ref, found = np.concatenate([found_ref, seen]), np.concatenate([found, cosines])
+        for visit in (order[:4], order[4:]):
+            if len(found) == k:
+                visit = visit[bound[visit] >= found[-1] - 1e-12]
+            chosen = np.zeros(len(bound), bool)
+            chosen[visit] = True
+            some = np.flatnonzero(chosen[block])
+            begin = self.bounds[part[some]]
+            count = self.bounds[part[some] + 1] - begin
+            posting = ranges(begin, count)
+            cosines = np.bincount(self.refs[posting], np.repeat(w[some], count) * self.weights[posting])
+            seen = np.flatnonzero(cosines)
+            found_ref, found = np.concatenate([found_ref, seen]), np.concatenate([found, cosines[seen]])
             best = np.lexsort((found_ref, -found))[:k]
             found_ref, found = found_ref[best], found[best]
-            step = 16
         return found_ref, found
 
 
@@ -98,6 +101,7 @@ class Model:
     index: Index
     slope: float
     offset: float
+    usable: bool = True
 
     def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text in order, and their weights in the unit TF-IDF vector."""
@@ -110,6 +114,8 @@ class Model:
         return float((cosines * self.index.labels[refs]).sum() / (cosines.sum() + AGAINST)), refs, cosines
 
     def probability(self, vote: float) -> float:
+        if not self.usable:
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
 
@@ -129,11 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     """Learn from the labels of rows of ``labels`` (doc_id, label) where ``train`` holds.
 
     Examples are at most EXAMPLES rows of each class, those of least hash of doc_id (a bounded sample;
-    several labels of a document: the largest). Terms are those whose presence goes with the label in
-    it by chi-square, and their document frequencies are counted over all of ``docs``. A quarter of
-    the examples stays out of the index to fit the calibration, weighted to the classes' share of all
-    training labels. Of rows that share a doc_id one gives the vector. No examples or no such terms: every
-    text gets the share of class 1.
+    several labels of a document: the largest). Terms are all of the examples', and their document
+    frequencies are counted over all of ``docs``. A quarter of each class's examples stays out of the
+    index to fit the calibration, weighted to the classes' share of all training labels. Of rows that
+    share a doc_id one gives the vector. With fewer than two examples of a class nothing can be told
+    apart: the model is not usable, and every text gets the score 0.
     """
     spark = small_batches(docs).sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
@@ -146,45 +152,34 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     examples = materialize(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "examples")  # a row an id, by partial sums
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[bytes, list[int]] = {}
-            for y, text in zip(batch.column("y").to_pylist(), _binary(batch.column("text"))):
-                for term in terms(text):
-                    counts.setdefault(term, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["term", "n0", "n1"])
-
-    total = Counter(r.y for r in picked)
-    a, b = F.col("n1"), F.col("n0")
-    c, d = F.lit(total[1]) - a, F.lit(total[0]) - b
-    n = float(len(picked))
-    cross = (a * d - b * c).cast("double")
-    chi2 = F.lit(n) * cross * cross / (F.greatest((a + b) * (c + d), F.lit(1)).cast("double") * max(1.0, float(total[0]) * total[1]))
-    counted = examples.mapInArrow(presence, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counted.where(a + b >= MIN_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    words = sorted(bytes(r.term) for r in best.select("term").collect())
-    vocabulary = {t: i for i, t in enumerate(words)}
-    idf = _idf(docs, vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(terms, _binary(batch.column("text")))), pa.binary())], names=["term"])
+
+    words = examples.mapInArrow(distinct, "term binary").distinct().toArrow().column("term").to_pylist()  # of bounded examples
+    vocabulary = {t: i for i, t in enumerate(sorted(words))}
+    sent = spark.sparkContext.broadcast(vocabulary)
+    idf = _idf(docs, sent)
+    sent_idf = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unit_vector(terms(t), vocabulary, idf) for t in _binary(batch.column("text"))]
+            found = [unit_vector(terms(t), sent.value, sent_idf.value) for t in _binary(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
                 names=["doc_id", "y", "at", "weight"])
 
-    found = examples.mapInArrow(vectors, "doc_id long, y int, at array<long>, weight array<double>").collect()
+    found = examples.mapInArrow(vectors, "doc_id long, y int, at array<long>, weight array<double>").toArrow()
     place = {r.doc_id: i for i, r in enumerate(picked)}
-    rows = sorted({r.doc_id: (r.doc_id, r.y, np.array(r.at, np.int64), np.array(r.weight)) for r in sorted(found)}.values(), key=lambda r: place[r[0]])
-    held, used = rows[::4], [r for i, r in enumerate(rows) if i % 4]
+    lists = ([x.values.to_numpy() for x in found.column(c)] for c in ("at", "weight"))
+    rows = sorted(zip(found.column("doc_id").to_pylist(), found.column("y").to_pylist(), *lists), key=lambda r: place[r[0]])
+    classes = [[r for r in rows if r[1] == y] for y in (0, 1)]
+    held, used = ([r for part in classes for i, r in enumerate(part) if (i % 4 == 0) == out] for out in (True, False))
     index = build_index(used, len(vocabulary))
-    model = Model(vocabulary, idf, index, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    votes = np.array([model.vote(r[2], r[3])[0] for r in held])
-    y = np.array([r[1] for r in held])
-    if len(vocabulary) and 0 < y.sum() < len(y):
-        model.slope, model.offset = _platt(votes, y, share)
+    model = Model(vocabulary, idf, index, 0.0, 0.0, min(map(len, classes)) > 1)
+    if model.usable:
+        votes = np.array([model.vote(r[2], r[3])[0] for r in held])
+        model.slope, model.offset = _platt(votes, np.array([r[1] for r in held]), share)
     return model
 
 
@@ -200,9 +195,10 @@ def build_index(rows: list[tuple[int, int, np.ndarray, np.ndarray]], n_terms: in
     return Index(np.array([r[1] for r in rows], float), [r[0] for r in rows], starts, ref[order], weight[order])
 
 
-def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Smoothed inverse document frequencies over all of ``docs``; each batch sends one count a term."""
+def _idf(docs: DataFrame, sent: Broadcast) -> np.ndarray:
+    """Smoothed inverse document frequencies over all of ``docs`` of a sent vocabulary; each task sends one count a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
         total, n = np.zeros(len(vocabulary), np.int64), 0
         stems = {t[1:] for t in vocabulary if t.startswith(b"^")}
         for batch in batches:
@@ -213,12 +209,13 @@ def _idf(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
                 total[list(found)] += 1
             n += batch.num_rows
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *total[at].tolist()], pa.int64())], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
 
-    sums = docs.select("text").mapInArrow(lambda b: released(count(b)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows at most
-    df = {r["at"]: r["n"] for r in sums}
-    seen = np.array([df.get(i, 0) for i in range(len(vocabulary))], float)
-    return np.log((1 + df.get(-1, 0)) / (1 + seen)) + 1
+    counts = docs.select("text").mapInArrow(lambda b: released(count(b)), "at long, n long")
+    sums = counts.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a term at most
+    seen = np.zeros(len(sent.value) + 1)  # the last: documents
+    seen[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
 
 
 def _platt(votes: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -243,7 +240,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     examples as (doc_id, cosine, label), at most three.
 
     Whole texts; null and empty ones have no terms and get the score of an even absence of votes. The
-    model (at most TERMS terms and 2 * EXAMPLES vectors) is broadcast; rows are not shuffled. Columns of
+    model (2 * EXAMPLES vectors at most and their terms) is broadcast; rows are not shuffled. Columns of
     the new ones' names give way.
     """
     sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
@@ -253,13 +250,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        stems = {t[1:] for t in m.vocabulary if t.startswith(b"^")}
         for batch in batches:
             scores, shown = [], []
             for text in _binary(batch.column("text")):
-                words = text.translate(FOLD).split() if text else []
-                near = [w for w in words if w[:STEM] in stems or w in m.vocabulary]  # only these can have known terms
-                vote, refs, cosines = m.vote(*m.vector(b" ".join(near))) if near else (0.0, (), ())
+                vote, refs, cosines = m.vote(*m.vector(text))
                 scores.append(m.probability(vote))
                 shown.append([{"doc_id": m.index.ids[r], "cosine": float(c), "label": int(m.index.labels[r])} for r, c in zip(refs[:3], cosines[:3])])
             predicted = [int(s >= threshold) for s in scores]

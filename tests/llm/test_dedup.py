@@ -118,6 +118,19 @@ def test_toxicity(spark, toxic):
     assert other[5001].evidence[0].label == 1
 
 
+def test_toxicity_uses_all_terms(spark):
+    """Toxic words in one or two examples each, few labels, and no usable model."""
+    rows = [(i, f"plain{i % 7} shared text here " + (f"vile{i // 4}" if i % 2 else f"kind{i // 4}"), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert set(model.vocabulary) == set().union(*(toxicity.terms(t.encode()) for _, t, _ in rows))
+    scores = {r.text: r.score for r in toxicity.score(spark.createDataFrame([("vile3 shared",), ("kind3 shared",), ("",)], "text string"), model).collect()}
+    assert scores["vile3 shared"] > max(scores["kind3 shared"], scores[""])
+    for few in (labels.where("doc_id < 1"), labels.where("toxic = 1"), labels.where("doc_id in (0, 1, 3, 5)")):
+        assert {(r.score, r.predicted) for r in toxicity.score(docs, toxicity.fit(docs, few, F.lit(True))).collect()} == {(0.0, 0)}
+
+
 def test_toxicity_one_example_an_id(spark, toxic, monkeypatch):
     docs, labels = toxic
     kept = []
