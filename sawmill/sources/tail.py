@@ -80,7 +80,14 @@ class TailReader(DataSourceStreamReader):
                     yield f"{stat.st_dev}:{stat.st_ino}", path, stat
 
     def _upto(self, path: str, begin: int, stat: os.stat_result) -> int:
-        end = min(stat.st_size, begin + self.limit)
+        """Where the batch ends: within the limit if an entry ends there, else at the first limit doubled that one ends within."""
+        limit = max(1, self.limit)
+        while (end := self._within(path, begin, stat, limit)) == begin and begin + limit < stat.st_size:
+            limit *= 2
+        return end
+
+    def _within(self, path: str, begin: int, stat: os.stat_result, limit: int) -> int:
+        end = min(stat.st_size, begin + limit)
         with open(path, "rb") as f:  # back to the last line end
             at = end
             while at > begin:
@@ -93,7 +100,7 @@ class TailReader(DataSourceStreamReader):
                 at = low
             else:
                 end = begin
-        whole = end >= stat.st_size or end == begin
+        whole = end >= stat.st_size or end == begin and begin + limit >= stat.st_size
         if whole and time.time() - stat.st_mtime >= self.flush:
             return stat.st_size
         held = last_start(path, begin, end, self.start)

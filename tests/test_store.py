@@ -16,6 +16,7 @@ from sawmill.operators.extract import parse
 from sawmill.plans.view import Registry, between, logs_view, open_logs
 from sawmill.sources.lines import glob_regex, read_lines, reconcile, split_texts
 from sawmill.sources.store import file_stats, read_entries, read_files_between, read_nested, write_entries
+from sawmill.sources.tail import TailReader
 from sawmill.streaming.ingest import ingest, ingest_stream
 
 CONFIG = ParserConfig(
@@ -139,6 +140,25 @@ def test_tail_matches_batch_and_resumes(spark, tmp_path):
     assert len(run(0)) == 4
 
 
+@pytest.mark.parametrize("head", ["", " no start\n" * 50, "2025 INFO long\n" + " more\n" * 100, "2025 INFO " + "x" * 700 + "\n"])
+def test_tail_goes_on_past_the_batch_limit(tmp_path, head):
+    last = "2025 INFO last\n"
+    text = head + "2025 INFO a\n b\n" + last
+    (tmp_path / "a.log").write_text(text)
+
+    def read(flush):
+        reader = TailReader({"path": str(tmp_path), "startregex": "^2025", "flushseconds": flush, "maxbytesperbatch": "64"})
+        got, before = "", {"files": "{}"}
+        for _ in range(40):
+            now = reader.latestOffset()
+            got += "".join(value + "\n" for part in reader.partitions(before, now) for *_, value in reader.read(part))
+            before = now
+        return got
+
+    assert read("1000") == text.removesuffix(last)
+    assert read("0") == text
+
+
 @pytest.mark.parametrize("published", [False, True])
 def test_interrupted_compaction(spark, tmp_path, published, monkeypatch):
     from sawmill.operators import compact as c
