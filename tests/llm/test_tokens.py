@@ -2,9 +2,11 @@
 
 import base64
 import json
+import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -40,38 +42,79 @@ def test_pieces_are_safe(texts, plain):
             assert bpe.encode_text(plain, t, long) == plain.encode_ordinary(t)
 
 
-def test_wavelet():
+def test_wavelet(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 128)
     values = np.random.default_rng(1).integers(0, 50, 1500).astype(np.uint16)
     w = token_files.Wavelet.from_bytes(token_files.Wavelet.build(values, 6).to_bytes())
     assert np.array_equal(w.decode(), values) and [w.access(i) for i in range(0, 1500, 37)] == values[::37].tolist()
     for v in (0, 7, 49, 63, 64):
-        assert w.count(v) == (values == v).sum() and w.rank(v, 700) == (values[:700] == v).sum()
-    assert w.occurrences(7) == np.flatnonzero(values == 7).tolist()
+        at = np.flatnonzero(values == v)
+        assert w.count(v) == len(at) and w.rank(v, 700) == (values[:700] == v).sum()
+        assert w.occurrences(v).tolist() == at.tolist() == [w.select(v, k) for k in range(len(at))]
     with pytest.raises(IndexError):
         w.select(7, w.count(7))
     nothing = token_files.Wavelet.from_bytes(token_files.Wavelet.build(values[:0], 6).to_bytes())
-    assert nothing.count(3) == 0 and len(nothing.decode()) == 0
+    assert nothing.count(3) == 0 and len(nothing.decode()) == 0 and len(nothing.occurrences(3)) == 0
+
+
+def test_one_token_unpacks_few_blocks(monkeypatch):
+    values = np.random.default_rng(2).integers(0, 50_000, 600_000).astype(np.uint16)
+    w = token_files.Wavelet.from_bytes(token_files.Wavelet.build(values, 16).to_bytes())
+    assert w.before.shape == (16, 11) and w.access(431_234) == values[431_234]
+    assert len(w.unpacked) <= 2 * 16 < 160
+    fresh = token_files.Wavelet.from_bytes(w.to_bytes())
+    assert fresh.count(int(values[5])) == (values == values[5]).sum() and len(fresh.unpacked) <= 2 * 16
 
 
 def test_token_files(spark, docs, texts, tmp_path):
     path, file = str(tmp_path / "t"), P.path("byte_bpe_50k.json")
-    both = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "null id"), (3, "again")], "doc_id long, text string"))
-    token_files.write_shards(both, file, path, shard_bytes=20_000)
+    more = spark.createDataFrame([(None, "null id"), (3, "again"), *[(7, "same")] * 400], "doc_id long, text string")
+    both = docs.select("doc_id", "text", F.lit(1).alias("ids")).union(more.select("doc_id", "text", F.lit(2)))
+    token_files.write_shards(both, file, path, shard_tokens=2_000, task_bytes=20_000)
     rows = token_files.read_shards(spark, path).orderBy("start").collect()
     tokenizer = Tokenizer.from_file(file)
     given = sorted([(-1, "null id"), *enumerate(texts)], key=lambda x: x[0])
-    start = 0
-    assert len(rows) == len(given) + 1 and rows[0].doc_id is None
+    start, order, every = 0, [], []
+    assert len(rows) == len(given) + 401 and rows[0].doc_id is None
     by_id = {}
     for r in rows:
         assert r.start == start
         start += r.n_tokens
-        by_id.setdefault(-1 if r.doc_id is None else r.doc_id, []).append(np.frombuffer(r.token_ids, "<u4").tolist())
+        order.append(-1 if r.doc_id is None else r.doc_id)
+        ids = np.frombuffer(r.token_ids, "<u4").tolist()
+        every += ids
+        by_id.setdefault(order[-1], []).append(ids)
+    assert order == sorted(order)
     for i, t in given:
         assert [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] in by_id[i]
-    assert spark.read.parquet(path).count() > 3
+    shards = token_files.open_shards(spark, path).collect()
+    assert len({r.part for r in shards}) > 3 and max(r.seq for r in shards) > 1
+    ask = spark.createDataFrame([(p,) for p in [0, 5, 5, len(every) - 1, len(every), 1234, None, *range(3000, 3040)]], "position long")
+    found = {r.position: r.token_id for r in token_files.tokens_at(spark, path, ask).collect()}
+    assert found == {p: every[p] for p in [0, 5, len(every) - 1, 1234, *range(3000, 3040)]}
+    some = [0, every[10], 49_999]
+    assert {r.token_id: r.n for r in token_files.count_tokens(spark, path, some).collect()} == {t: every.count(t) for t in some}
+    where = token_files.find_token(spark, path, every[10]).orderBy("position").collect()
+    assert [r.position for r in where] == [i for i, t in enumerate(every) if t == every[10]]
+    starts = {r.start: r.doc_id for r in rows}
+    assert all(starts[r.position - r.place] == r.doc_id for r in where)
     token_files.write_shards(both.where("false"), file, path + "0")
-    assert token_files.read_shards(spark, path + "0").count() == 0
+    assert token_files.read_shards(spark, path + "0").count() == 0 == token_files.find_token(spark, path + "0", 3).count()
+
+
+def test_units_are_the_texts(monkeypatch):
+    """Ids by units against the library, with odd white space and marks, and when units are forgotten."""
+    rng = random.Random(4)
+    file = P.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(file), token_files.UnitEncoder(token_files.tokenizer_json(file))
+    bits = ["a", "bc", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "<|endoftext|>", "<|", "1", "42", ".", "'s", "日本", "\u3000", "\r\n", "Word", "\x00", "!", "\u200b", "\U0001f600"]
+    monkeypatch.setattr(token_files, "MAX_UNITS", 50)
+    for _ in range(60):
+        given = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(30)] + [None, ""]
+        ids, total = own.encode(pa.array(given, pa.string()), 0)
+        ends = np.cumsum(total)
+        for t, a, b in zip(given, ends - total, ends):
+            assert ids[a:b].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 0]
 
 
 NASTY = ["\\### Assistant: </turn> ok", "### user: x</turn>\n", "\\b\\\\h\\l", "", "é<#:\\", "</turn>\n### assistant: "]
