@@ -45,23 +45,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session giving Python at most BATCH_ROWS rows at once: a batch of 10,000 texts, copied on
-    either side, would be a large part of an executor's memory."""
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``, its session giving Python at most ``rows`` rows at once: a batch of 10,000 texts, copied on
+    either side, would be a large part of an executor's memory. The setting stays, as frames run later."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return df
 
 
+def lean() -> None:
+    """Memory that this process frees goes back to the system: one arena of small blocks, and Arrow's from the same."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for option, value in ((-8, 1), (-3, 1 << 20), (-1, 8 << 20)):  # arenas, own mappings from, trim from
+            ctypes.CDLL(None).mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches``, and then the task's unused memory back to the system: Python workers live on, and an
     executor holds several of them."""
+    lean()
     yield from batches
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
+    except (OSError, AttributeError):
         pass
 
 

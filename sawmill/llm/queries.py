@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +35,7 @@ def _digest(parts: Column) -> Column:
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    text = "\### Assistant: </turn> ok"
+    text = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = chat.canonical_turns(rows.select("conv_id", "turn", "role", "text").unionByName(more))
     out = chat.format_turns(turns).withColumn("back", chat.read_turns(F.col("formatted")))
@@ -63,12 +61,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("token_ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return token_files.read_shards(spark, path).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_files.read_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

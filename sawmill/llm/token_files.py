@@ -9,6 +9,7 @@ lays it out. ``tokens_at``, ``count_tokens`` and ``find_token`` answer from the
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -34,10 +35,25 @@ MAX_TOKENIZER_BYTES = 64 << 20
 #: Shards up to which their starts (a row each) are broadcast to the documents.
 FEW_SHARDS = 200_000
 #: Units whose ids a task remembers, at most, and words that the library gets as one text.
-MAX_UNITS, ASKED = 600_000, 50_000
+MAX_UNITS, ASKED = 500_000, 5_000
+#: Texts in which units are looked up at once.
+UNIT_ROWS = 4000
 #: Tokens of a cell of the grid by which positions find their shards.
 CELL = 1 << 21
-#: White space as RE2 reads it; right before a space it is odd, anywhere it is not plain; see ``UnitEncoder``.
+#: White space as RE2 reads it; right before a space or line feed it is odd; a unit that has some besides a line feed
+#: at its start, or marks, is not plain; see ``UnitEncoder``.
+OTHER = r"\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD, NOT_PLAIN = rf"[\x09\x0a{OTHER}][ \n]", rf"(?s)^\n?$|<\||^[\x09{OTHER}]|.[\x09\x0a{OTHER}]"
+
+SHARDS = 200_000
+#: Units whose ids a task remembers, at most, and words that the library gets as one text.
+MAX_UNITS, ASKED = 500_000, 5_000
+#: Texts in which units are looked up at once.
+UNIT_ROWS = 4000
+#: Tokens of a cell of the grid by which positions find their shards.
+CELL = 1 << 21
+#: White space as RE2 reads it; right before a space or line feed it is odd; a unit that has some besides a line feed
+#: at its start, or marks, is not plain; see ``UnitEncoder``.
 SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD, NOT_PLAIN = f"[{SPACES}] ", rf"^$|<\||[{SPACES}]"
 
@@ -196,8 +212,9 @@ class Wavelet:
 class UnitEncoder:
     """Ids of texts by the tokenizers library, asking it once for each unit that occurs.
 
-    A unit starts at a space after a visible character. No match of the byte-level pattern crosses
-    that place and the merges stay within a match, so the units' ids in a row are the text's.
+    A unit starts at a space or line feed after a visible character. No match of the byte-level pattern
+    crosses that place and the merges stay within a match, so the units' ids in a row are the text's.
+    Units are named without their space; one that starts with a line feed has none before it.
     """
 
     def __init__(self, data: str):
@@ -206,21 +223,21 @@ class UnitEncoder:
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.bits = max(1, (size - 1).bit_length())
         names = map(self.tokenizer.id_to_token, range(size))
-        self.spaced = np.array([(name or "").startswith("Ġ") for name in names])  # byte-level for a space
+        self.begins = np.array([(name or "").startswith(("Ġ", "Ċ")) for name in names])  # byte-level for space, line feed
         self._remember(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype))
 
     def _remember(self, units: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Units without their space, and their ids one after another."""
+        """Units, and their ids one after another."""
         self.units, self.counts, self.ids = units, counts, ids
 
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places in ``new`` in the order of asking, ids, how many each has) of units with a space before them.
+        """(places in ``new`` in the order of asking, ids, how many each has) of units.
 
-        Plain ones are asked as one text, whose ids are cut where a token starts with a space; those with
-        white space or marks inside, one by one.
+        Plain ones are asked as one text, whose ids are cut where a token starts with a space or line feed;
+        those with white space or marks inside, one by one.
         """
         odd = pc.match_substring_regex(new, NOT_PLAIN).to_numpy(zero_copy_only=False)
         words, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
@@ -228,8 +245,8 @@ class UnitEncoder:
         for at in range(0, len(words), ASKED):
             some = new.take(pa.array(words[at : at + ASKED]))
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
-            found = self._ask([" " + joined])[0]
-            bounds = np.flatnonzero(self.spaced[found])
+            found = self._ask([(" " + joined).replace(" \n", "\n")])[0]
+            bounds = np.flatnonzero(self.begins[found])
             if len(bounds) == len(some) and not bounds[0]:
                 ids.append(found)
                 counts.append(np.diff(np.append(bounds, len(found))))
@@ -239,28 +256,25 @@ class UnitEncoder:
         return np.concatenate([words, rest]), np.concatenate(ids), np.concatenate(counts)
 
     def _each(self, units: pa.Array, ids: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        found = self._ask([" " + x for x in units.to_pylist()])
+        found = self._ask([x if x[:1] == "\n" else " " + x for x in units.to_pylist()])
         ids += found
         counts.append(np.array([len(x) for x in found], np.int64))
 
     def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The units of texts, without their spaces, and how many each text has."""
+        """The units of texts, and how many each text has; the first has neither space nor line feed before it."""
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        if not odd.any():
-            parts = pc.split_pattern(texts, " ")
-            return parts.flatten(), parts.value_lengths().to_numpy()
         flat, sizes = [], np.zeros(len(texts), np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], odd[1:] != odd[:-1]]))
         for a, b in zip(cuts, np.append(cuts[1:], len(odd))):
             if not odd[a]:
-                parts = pc.split_pattern(texts.slice(a, b - a), " ")
+                parts = pc.split_pattern(pc.replace_substring(texts.slice(a, b - a), "\n", " \n"), " ")
                 flat.append(parts.flatten())
                 sizes[a:b] = parts.value_lengths().to_numpy()
                 continue
             for i in range(a, b):
                 joined: list[str] = []
                 for part in texts[i].as_py().split(" "):
-                    if joined and not (joined[-1] and not joined[-1][-1].isspace()):
+                    if joined and (not joined[-1] or joined[-1][-1].isspace() or part[:1] == "\n"):
                         joined[-1] += " " + part
                     else:
                         joined.append(part)
@@ -319,7 +333,7 @@ def tokenizer_json(path: str) -> str:
     return data
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batch's rows by about ``limit`` bytes of a column."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     at = 0
@@ -331,9 +345,10 @@ def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterato
 
 def encode_units(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame:
     """(doc_id, ids): the ids of each text and ``end_id`` as little-endian integers of 2 bytes, or 4 for over 65,536 ids."""
-    data = small_batches(docs).sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer_file))
+    data = small_batches(docs, UNIT_ROWS).sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         key = hash(data.value)
         if key not in _MADE:
             _MADE.clear()
