@@ -58,7 +58,7 @@ def lean() -> None:
     """Memory that this process frees goes back to the system: one arena of small blocks, and Arrow's from the same."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
-        for option, value in ((-8, 1), (-3, 1 << 20), (-1, 8 << 20)):  # arenas, own mappings from, trim from
+        for option, value in ((-8, 1), (-3, 32 << 20), (-1, 64 << 20)):  # arenas, own mappings from, trim from
             ctypes.CDLL(None).mallopt(option, value)
     except (OSError, AttributeError):  # another C library
         pass

@@ -35,28 +35,16 @@ MAX_TOKENIZER_BYTES = 64 << 20
 #: Shards up to which their starts (a row each) are broadcast to the documents.
 FEW_SHARDS = 200_000
 #: Units whose ids a task remembers, at most, and words that the library gets as one text.
-MAX_UNITS, ASKED = 500_000, 5_000
+MAX_UNITS, ASKED = 500_000, 30_000
 #: Texts in which units are looked up at once.
 UNIT_ROWS = 4000
 #: Tokens of a cell of the grid by which positions find their shards.
 CELL = 1 << 21
-#: White space as RE2 reads it; right before a space or line feed it is odd; a unit that has some besides a line feed
-#: at its start, or marks, is not plain; see ``UnitEncoder``.
+#: White space besides tabs and line feeds, as RE2 reads it. Some right before a space or line feed is odd; a unit that
+#: has any besides a line feed at its start, or marks, is not plain; see ``UnitEncoder``.
 OTHER = r"\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD, NOT_PLAIN = rf"[\x09\x0a{OTHER}][ \n]", rf"(?s)^\n?$|<\||^[\x09{OTHER}]|.[\x09\x0a{OTHER}]"
 
-SHARDS = 200_000
-#: Units whose ids a task remembers, at most, and words that the library gets as one text.
-MAX_UNITS, ASKED = 500_000, 5_000
-#: Texts in which units are looked up at once.
-UNIT_ROWS = 4000
-#: Tokens of a cell of the grid by which positions find their shards.
-CELL = 1 << 21
-#: White space as RE2 reads it; right before a space or line feed it is odd; a unit that has some besides a line feed
-#: at its start, or marks, is not plain; see ``UnitEncoder``.
-SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-ODD, NOT_PLAIN = f"[{SPACES}] ", rf"^$|<\||[{SPACES}]"
-
 SHARDS = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 
 

@@ -1,4 +1,11 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, from a block-max inverted index."""
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, from a block-max inverted index.
+
+Terms are all words of the examples and the first bytes of the longer ones (a term beside the word, as
+spellings vary); texts are read whole. The index has two kinds of terms. The few that a large part of the
+examples holds are rows of a matrix, and a batch of texts is multiplied with it. All others have postings in
+blocks of examples with each block's largest weight: a block is opened if what the matrix gave its
+examples, and those largest weights, could bring one among the nearest.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +26,13 @@ from sawmill.llm.common import materialize, put_columns, ranges, released, runs,
 #: Labelled rows of each class that the examples are taken from, at most (those of least hash).
 EXAMPLES = 2000
 #: Nearest examples that vote, and the weight of the vote against that is always there.
-NEIGHBOURS, AGAINST = 16, 1.0
-#: Examples of a block of the index.
-BLOCK = 64
+NEIGHBOURS, AGAINST = 128, 0.5
+#: Examples of a block of the index; a term in more than a part of HEAVY of the examples is in the matrix.
+BLOCK, HEAVY = 64, 1 / 12
+#: Texts that are multiplied with the matrix at once (always as many, so that each gets the same sums).
+BATCH = 256
+#: Texts of a batch, and their bytes, about, that words are looked up for at once.
+LOOKUP_ROWS, LOOKUP_BYTES = 4000, 16 << 20
 #: Bytes of a word that make its stem.
 STEM = 4
 THRESHOLD = 0.3
@@ -42,10 +54,63 @@ def terms(text: bytes | None) -> Counter[bytes]:
     return words
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts: whose each is, its code, and the distinct words by code."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]].tobytes().translate(FOLD)
+    folded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds - bounds[0]).astype(np.int32)), pa.py_buffer(data)])
+    parts = pc.split_pattern(folded, " ")
+    flat, doc = parts.flatten(), np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    return doc[some.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(), coded.dictionary
+
+
+def _stems(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Which words are longer than their stem, and their stems."""
+    long = np.flatnonzero(pc.greater(pc.binary_length(words), STEM).to_numpy(zero_copy_only=False))
+    return long, pc.binary_slice(words.take(pa.array(long)), 0, STEM)
+
+
+@dataclass
+class Vocabulary:
+    """Terms by number: words in order, then stems in order."""
+
+    words: pa.Array
+    stems: pa.Array
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.stems)
+
+    def names(self) -> list[bytes]:
+        return self.words.to_pylist() + [b"^" + s for s in self.stems.to_pylist()]
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Vocabulary:
+        words = sorted(set(words))
+        return cls(pa.array(words, pa.binary()), pa.array(sorted({w[:STEM] for w in words if len(w) > STEM}), pa.binary()))
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of the known terms of texts, in order."""
+        doc, code, names = _words(texts)
+        if not len(doc) or not len(self):
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        long, stems = _stems(names)
+        of_word = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy().astype(np.int64)
+        of_stem = np.full(len(names), -1)
+        found = pc.fill_null(pc.index_in(stems, value_set=self.stems), -1).to_numpy().astype(np.int64)
+        of_stem[long] = np.where(found < 0, -1, found + len(self.words))
+        term = np.concatenate([of_word[code], of_stem[code]])
+        doc = np.concatenate([doc, doc])[term >= 0]
+        key, n = np.unique(doc * len(self) + term[term >= 0], return_counts=True)
+        return key // len(self), key % len(self), n
+
+
 @dataclass
 class Index:
     """Unit TF-IDF vectors of the examples by term: postings in example order, and each term's blocks with the
-    largest weight in them."""
+    largest weight in them. Heavy terms' postings are also the rows of ``matrix``."""
 
     labels: np.ndarray
     ids: list
@@ -56,62 +121,89 @@ class Index:
     blocks: np.ndarray = field(init=False)
     bounds: np.ndarray = field(init=False)  # of the block's postings
     most: np.ndarray = field(init=False)
+    row: np.ndarray = field(init=False)  # of a heavy term in the matrix, else -1
+    matrix: np.ndarray | None = field(init=False, default=None)
 
     def __post_init__(self):
-        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        size = np.diff(self.starts)
+        term = np.repeat(np.arange(len(size)), size)
         self.bounds = runs(term, self.refs // BLOCK)
         self.parts = np.searchsorted(self.bounds[:-1], self.starts)
         self.blocks = self.refs[self.bounds[:-1]] // BLOCK
         self.most = np.maximum.reduceat(self.weights, self.bounds[:-1]) if len(term) else np.zeros(0)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine above zero with a unit query (terms ``at``), ties by place; exact.
-
-        A block's bound is the sum of the query's weights times the block's largest. The few blocks of largest
-        bound come first; then all others but those whose bound is below the k-th cosine found.
-        """
+        self.row = np.full(len(size), -1)
+        heavy = np.flatnonzero(size > max(8, HEAVY * len(self.labels)))
+        self.row[heavy] = np.arange(len(heavy))
+
+    def heavy_rows(self) -> np.ndarray:
+        """The matrix, made where it is used: it isn't sent."""
+        if self.matrix is None:
+            heavy = np.flatnonzero(self.row >= 0)
+            self.matrix = np.zeros((len(heavy), -(-len(self.labels) // BLOCK) * BLOCK))
+            for term in heavy.tolist():
+                some = slice(self.starts[term], self.starts[term + 1])
+                self.matrix[self.row[term], self.refs[some]] = self.weights[some]
+        return self.matrix
+
+    def nearest(self, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` unit queries, given as entries (query in order, term, weight), the ``k`` examples of
+        largest cosine above zero, ties by place; exact."""
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        matrix = self.heavy_rows()
+        for begin in range(0, n, BATCH):
+            end = min(n, begin + BATCH)
+            some = slice(cuts[begin], cuts[end])
+            row = self.row[at[some]]
+            heavy = row >= 0
+            dense = np.zeros((BATCH, len(matrix)))
+            dense[doc[some][heavy] - begin, row[heavy]] = weight[some][heavy]
+            sums = dense @ matrix
+            for i in range(begin, end):
+                own = slice(cuts[i], cuts[i + 1])
+                light = self.row[at[own]] < 0
+                yield self._finish(sums[i - begin], at[own][light], weight[own][light], k)
+
+    def _finish(self, sums: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Add what light terms give to ``sums``, but only in blocks whose bound reaches the k-th sum so far."""
         count = self.parts[at + 1] - self.parts[at]
         part, w = ranges(self.parts[at], count), np.repeat(weight, count)
         block = self.blocks[part]
-        bound = np.bincount(block, w * self.most[part], minlength=-(-len(self.labels) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found_ref, found = np.zeros(0, np.int64), np.zeros(0)
-        for visit in (order[:4], order[4:]):
-            if len(found) == k:
-                visit = visit[bound[visit] >= found[-1] - 1e-12]
-            chosen = np.zeros(len(bound), bool)
-            chosen[visit] = True
-            some = np.flatnonzero(chosen[block])
-            begin = self.bounds[part[some]]
-            count = self.bounds[part[some] + 1] - begin
-            posting = ranges(begin, count)
-            cosines = np.bincount(self.refs[posting], np.repeat(w[some], count) * self.weights[posting])
-            seen = np.flatnonzero(cosines)
-            found_ref, found = np.concatenate([found_ref, seen]), np.concatenate([found, cosines[seen]])
-            best = np.lexsort((found_ref, -found))[:k]
-            found_ref, found = found_ref[best], found[best]
-        return found_ref, found
+        most = sums.reshape(-1, BLOCK).max(axis=1)
+        bound = most + np.bincount(block, w * self.most[part], minlength=len(most))
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+        opened = bound >= least - 1e-12
+        some = np.flatnonzero(opened[block])
+        begin = self.bounds[part[some]]
+        count = self.bounds[part[some] + 1] - begin
+        posting = ranges(begin, count)
+        sums = sums + np.bincount(self.refs[posting], np.repeat(w[some], count) * self.weights[posting], minlength=len(sums))
+        if len(opened) and not opened.all():
+            sums.reshape(-1, BLOCK)[~opened] = 0.0
+        found = np.flatnonzero(sums > 0)
+        if len(found) > k:
+            limit = np.partition(sums[found], len(found) - k)[len(found) - k]
+            found = found[sums[found] >= limit]
+        best = found[np.lexsort((found, -sums[found]))[:k]]
+        return best, sums[best]
 
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     index: Index
     slope: float
     offset: float
     usable: bool = True
 
-    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text in order, and their weights in the unit TF-IDF vector."""
-        return unit_vector(terms(text), self.vocabulary, self.idf)
+    def votes(self, texts: pa.Array) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the vote of its nearest examples, these, and their cosines."""
+        entries = unit_vectors(*self.vocabulary.count(texts), self.idf)
+        return self.votes_of(*entries, len(texts))
 
-    def vote(self, at: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(at):
-            return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        refs, cosines = self.index.nearest(at, weight, NEIGHBOURS)
-        return float((cosines * self.index.labels[refs]).sum() / (cosines.sum() + AGAINST)), refs, cosines
+    def votes_of(self, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for refs, cosines in self.index.nearest(doc, at, weight, n, NEIGHBOURS):
+            yield float((cosines * self.index.labels[refs]).sum() / (cosines.sum() + AGAINST)), refs, cosines
 
     def probability(self, vote: float) -> float:
         if not self.usable:
@@ -119,16 +211,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
 
-def unit_vector(counts: Counter[bytes], vocabulary: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known = sorted((vocabulary[t], n) for t, n in counts.items() if t in vocabulary)
-    at = np.array([i for i, _ in known], np.int64)
-    weight = (1 + np.log(np.array([n for _, n in known], float))) * idf[at] if known else np.zeros(0)
-    return at, weight / np.sqrt((weight * weight).sum()) if known else weight
+def unit_vectors(doc: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (text, term, weight) of unit TF-IDF vectors; terms that all documents have weigh nothing."""
+    weight = (1 + np.log(n)) * idf[term] if len(n) else np.zeros(0)
+    norm = np.sqrt(np.bincount(doc, weight * weight)) if len(n) else np.zeros(0)
+    keep = weight > 0
+    return doc[keep], term[keep], weight[keep] / norm[doc[keep]]
 
 
-def _binary(column: pa.Array) -> Iterator[bytes | None]:
-    for value in column.cast(pa.binary()):
-        yield value.as_buffer().to_pybytes() if value.is_valid else None
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches by about LOOKUP_BYTES of text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, LOOKUP_BYTES + (sizes[at - 1] if at else 0), "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic") -> Model:
@@ -141,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     share a doc_id one gives the vector. With fewer than two examples of a class nothing can be told
     apart: the model is not usable, and every text gets the score 0.
     """
-    spark = small_batches(docs).sparkSession
+    spark = small_batches(docs, LOOKUP_ROWS).sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
@@ -154,59 +253,65 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(terms, _binary(batch.column("text")))), pa.binary())], names=["term"])
+            yield pa.RecordBatch.from_arrays([_words(batch.column("text"))[2]], names=["term"])
 
     words = examples.mapInArrow(distinct, "term binary").distinct().toArrow().column("term").to_pylist()  # of bounded examples
-    vocabulary = {t: i for i, t in enumerate(sorted(words))}
+    vocabulary = Vocabulary.of(words)
     sent = spark.sparkContext.broadcast(vocabulary)
     idf = _idf(docs, sent)
-    sent_idf = spark.sparkContext.broadcast(idf)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unit_vector(terms(t), sent.value, sent_idf.value) for t in _binary(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                names=["doc_id", "y", "at", "weight"])
-
-    found = examples.mapInArrow(vectors, "doc_id long, y int, at array<long>, weight array<double>").toArrow()
-    place = {r.doc_id: i for i, r in enumerate(picked)}
-    lists = ([x.values.to_numpy() for x in found.column(c)] for c in ("at", "weight"))
-    rows = sorted(zip(found.column("doc_id").to_pylist(), found.column("y").to_pylist(), *lists), key=lambda r: place[r[0]])
-    classes = [[r for r in rows if r[1] == y] for y in (0, 1)]
-    held, used = ([r for part in classes for i, r in enumerate(part) if (i % 4 == 0) == out] for out in (True, False))
-    index = build_index(used, len(vocabulary))
-    model = Model(vocabulary, idf, index, 0.0, 0.0, min(map(len, classes)) > 1)
+            doc, term, n = sent.value.count(batch.column("text"))
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(rows), pa.array(term), pa.array(n)], names=["doc_id", "at", "n"])
+
+    got = examples.mapInArrow(counts, "doc_id long, at long, n long").toArrow()
+    there = set(examples.select("doc_id").toArrow().column("doc_id").to_pylist())
+    used = [r for r in picked if r.doc_id in there]
+    place = {r.doc_id: i for i, r in enumerate(used)}
+    doc = np.array([place[i] for i in got.column("doc_id").to_pylist()], np.int64)
+    order = np.lexsort((got.column("at").to_numpy(), doc))
+    doc, at, weight = unit_vectors(doc[order], got.column("at").to_numpy()[order], got.column("n").to_numpy()[order], idf)
+    y = np.array([r.y for r in used], np.int64)
+    held = np.zeros(len(used), bool)
+    for k in (0, 1):
+        held[np.flatnonzero(y == k)[::4]] = True
+    index = build_index([(r.doc_id, r.y) for r in used], ~held, doc, at, weight, len(vocabulary))
+    model = Model(vocabulary, idf, index, 0.0, 0.0, min(int((y == k).sum()) for k in (0, 1)) > 1)
     if model.usable:
-        votes = np.array([model.vote(r[2], r[3])[0] for r in held])
-        model.slope, model.offset = _platt(votes, np.array([r[1] for r in held]), share)
+        mine = held[doc]
+        number = np.cumsum(held) - 1
+        votes = np.array([v for v, _, _ in model.votes_of(number[doc[mine]], at[mine], weight[mine], int(held.sum()))])
+        model.slope, model.offset = _platt(votes, y[held], share)
     return model
 
 
-def build_index(rows: list[tuple[int, int, np.ndarray, np.ndarray]], n_terms: int) -> Index:
-    """Postings of (id, label, terms, weights); examples with the same strongest term are put side by side,
-    so that blocks' largest weights are close to their own."""
-    rows = sorted(rows, key=lambda r: int(r[2][np.argmax(r[3])]) if len(r[2]) else n_terms)
-    at = np.concatenate([r[2] for r in rows] or [np.zeros(0, np.int64)])
-    ref = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    weight = np.concatenate([r[3] for r in rows] or [np.zeros(0)])
+def build_index(examples: list[tuple[int, int]], use: np.ndarray, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n_terms: int) -> Index:
+    """Postings of the examples (id, label) in ``use`` from entries (example in order, term, weight); examples with the
+    same strongest term are put side by side, so that blocks' largest weights are close to their own."""
+    strongest = np.full(len(examples), n_terms)
+    order = np.lexsort((-weight, doc))
+    first = runs(doc[order])[:-1]
+    strongest[doc[order[first]]] = at[order[first]]
+    chosen = np.flatnonzero(use)
+    chosen = chosen[np.argsort(strongest[chosen], kind="stable")]
+    place = np.full(len(examples), -1)
+    place[chosen] = np.arange(len(chosen))
+    mine = place[doc] >= 0
+    ref, at, weight = place[doc[mine]], at[mine], weight[mine]
     order = np.lexsort((ref, at))
     starts = np.searchsorted(at[order], np.arange(n_terms + 1))
-    return Index(np.array([r[1] for r in rows], float), [r[0] for r in rows], starts, ref[order], weight[order])
+    return Index(np.array([examples[i][1] for i in chosen], float), [examples[i][0] for i in chosen], starts, ref[order], weight[order])
 
 
 def _idf(docs: DataFrame, sent: Broadcast) -> np.ndarray:
-    """Smoothed inverse document frequencies over all of ``docs`` of a sent vocabulary; each task sends one count a term."""
+    """Inverse document frequencies over all of ``docs`` of a sent vocabulary, log of documents to those with the term,
+    each and one more; each task sends one count a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
-        total, n = np.zeros(len(vocabulary), np.int64), 0
-        stems = {t[1:] for t in vocabulary if t.startswith(b"^")}
-        for batch in batches:
-            for text in _binary(batch.column("text")):
-                words = set(text.translate(FOLD).split()) if text else ()
-                found = {i for w in words if (i := vocabulary.get(w)) is not None}
-                found.update(vocabulary[b"^" + s] for s in {w[:STEM] for w in words if len(w) > STEM} & stems)
-                total[list(found)] += 1
+        total, n = np.zeros(len(sent.value), np.int64), 0
+        for batch in _batches(batches):
+            total += np.bincount(sent.value.count(batch.column("text"))[1], minlength=len(total))
             n += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["at", "n"])
@@ -215,7 +320,7 @@ def _idf(docs: DataFrame, sent: Broadcast) -> np.ndarray:
     sums = counts.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a term at most
     seen = np.zeros(len(sent.value) + 1)  # the last: documents
     seen[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+    return np.log((1 + seen[-1]) / (1 + seen[:-1]))
 
 
 def _platt(votes: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -243,17 +348,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     model (2 * EXAMPLES vectors at most and their terms) is broadcast; rows are not shuffled. Columns of
     the new ones' names give way.
     """
-    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs, LOOKUP_ROWS).sparkSession.sparkContext.broadcast(model)
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
     schema = with_fields(docs.schema, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False), T.StructField("evidence", evidence))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in _batches(batches):
             scores, shown = [], []
-            for text in _binary(batch.column("text")):
-                vote, refs, cosines = m.vote(*m.vector(text))
+            for vote, refs, cosines in m.votes(batch.column("text")):
                 scores.append(m.probability(vote))
                 shown.append([{"doc_id": m.index.ids[r], "cosine": float(c), "label": int(m.index.labels[r])} for r, c in zip(refs[:3], cosines[:3])])
             predicted = [int(s >= threshold) for s in scores]

@@ -124,7 +124,7 @@ def test_toxicity_uses_all_terms(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
     model = toxicity.fit(docs, labels, F.lit(True))
-    assert set(model.vocabulary) == set().union(*(toxicity.terms(t.encode()) for _, t, _ in rows))
+    assert set(model.vocabulary.names()) == set().union(*(toxicity.terms(t.encode()) for _, t, _ in rows))
     scores = {r.text: r.score for r in toxicity.score(spark.createDataFrame([("vile3 shared",), ("kind3 shared",), ("",)], "text string"), model).collect()}
     assert scores["vile3 shared"] > max(scores["kind3 shared"], scores[""])
     for few in (labels.where("doc_id < 1"), labels.where("toxic = 1"), labels.where("doc_id in (0, 1, 3, 5)")):
@@ -140,24 +140,55 @@ def test_toxicity_one_example_an_id(spark, toxic, monkeypatch):
     assert kept[0].count() == kept[0].select("doc_id").distinct().count() == 900
 
 
-def test_toxicity_index_is_exact():
+@pytest.mark.parametrize("heavy", [0.05, 0.3, 2.0])
+def test_toxicity_index_is_exact(heavy, monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAVY", heavy)
     rng = np.random.default_rng(11)
-    rows = []
-    for i in range(500):
-        at = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
-        w = rng.random(len(at))
-        rows.append((i, int(i % 3 == 0), at, w / np.sqrt((w * w).sum()) if len(w) else w))
-    index = toxicity.build_index(rows, 60)
-    by_id = {r[0]: r for r in rows}
-    for _ in range(60):
-        at = np.sort(rng.choice(60, 5, replace=False))
-        w = rng.random(5)
-        w /= np.sqrt((w * w).sum())
-        query = np.zeros(60)
-        query[at] = w
-        every = np.array([(by_id[i][3] * query[by_id[i][2]]).sum() for i in index.ids])
-        refs, cosines = index.nearest(at, w, 16)
-        assert np.allclose(cosines, np.sort(every)[::-1][:16]) and np.allclose(every[refs], cosines)
+
+    def entries(n, most):
+        out = [(d, t, w) for d in range(n) for t, w in zip(np.sort(rng.choice(60, rng.integers(0, most), replace=False)), rng.random(60))]
+        doc, at, w = np.array([x[0] for x in out]), np.array([x[1] for x in out]), np.array([x[2] for x in out])
+        return doc, at, w / np.sqrt(np.bincount(doc, w * w))[doc]
+
+    doc, at, w = entries(500, 9)
+    use = rng.random(500) < 0.8
+    index = toxicity.build_index([(i, int(i % 3 == 0)) for i in range(500)], use, doc, at, w, 60)
+    plain = np.zeros((500, 60))
+    plain[doc, at] = w
+    asks = entries(300, 6)
+    queries = np.zeros((300, 60))
+    queries[asks[0], asks[1]] = asks[2]
+    found = list(index.nearest(*asks, 300, 16))
+    assert len(found) == 300
+    for query, (refs, cosines) in zip(queries, found):
+        every = plain[index.ids] @ query
+        best = np.sort(every)[::-1][:16]
+        assert np.allclose(cosines, best[best > 0]) and np.allclose(every[refs], cosines) and len(set(refs)) == len(refs)
+
+
+def test_toxicity_scores_by_hand(spark, toxic):
+    """Terms, IDF, cosines, votes and calibrated scores against plain code."""
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    df = collections.Counter(t for x in texts.values() for t in toxicity.terms(x))
+    idf = {t: np.log((1 + len(texts)) / (1 + df[t])) for t in model.vocabulary.names()}
+    assert np.allclose(model.idf, list(idf.values()))
+
+    def vector(text):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in toxicity.terms(text).items() if idf.get(t, 0) > 0}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(texts[i]) for i in model.index.ids]
+    for r in toxicity.score(docs.where("doc_id < 60"), model).collect():
+        own = vector(r.text.encode())
+        near = [sum(x * v.get(t, 0) for t, x in own.items()) for v in vectors]
+        best = sorted(range(len(near)), key=lambda i: (-near[i], i))[: toxicity.NEIGHBOURS]
+        total = sum(near[i] for i in best)
+        vote = sum(near[i] * model.index.labels[i] for i in best) / (total + toxicity.AGAINST)
+        assert abs(r.score - model.probability(vote)) < 1e-6
+        assert abs(r.evidence[0].cosine - near[best[0]]) < 1e-9
 
 
 def test_toxicity_without_labels(spark, toxic):
