@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sawmill.llm.common import materialize
-from sawmill.llm.vectors import matrix, unit, usable
+from sawmill.llm.vectors import by_length, matrix, unit, usable
 
-#: Rows of the sample that the tree is fitted on, at most; every row is indexed.
-SAMPLE = 20_000
+#: Rows of the sample that the trees are fitted on: a 16th of all between these bounds; every row is indexed.
+SAMPLE, MOST_SAMPLE = 20_000, 200_000
 #: Children of an inner node, and sampled rows of a leaf at which it isn't split again.
 BRANCH, LEAF = 12, 60
 #: Queries whose true neighbours set the number of leaves visited, and the recall asked of them.
-PROBES, RECALL = 200, 0.98
-#: Rows of a leaf that one task holds; larger leaves are dealt out in blocks.
+PROBES, RECALL = 200, 0.95
+#: Rows of a leaf, or queries to it, that one task holds; more are dealt out in blocks.
 BLOCK = 4096
 
 
@@ -78,12 +78,13 @@ class Tree:
             todo += [(kid, index[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, leaves: int) -> list[int]:
+    def visits(self, query: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0, first: int = 0) -> list[int]:
         """The first ``leaves`` leaves by best bin first: of all branches not yet entered, the one
-        with the nearest centre is next; on the way down the siblings go to the queue."""
+        with the nearest centre is next; on the way down the siblings go to the queue. It goes on until
+        the leaves hold ``least`` rows by ``sizes``, whose keys are the leaves' numbers from ``first`` on."""
         near = self.centres @ query
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < leaves:
+        queue, out, rows = [(0.0, 0)], [], 0
+        while queue and (len(out) < leaves or rows < least):
             node = heapq.heappop(queue)[1]
             while self.children[node]:
                 kids = sorted(self.children[node], key=lambda k: -near[k])
@@ -91,16 +92,40 @@ class Tree:
                     heapq.heappush(queue, (-near[kid], kid))
                 node = kids[0]
             out.append(self.leaf_of[node])
+            rows += sizes.get(first + out[-1], 0) if sizes else least
         return out
 
 
+class Forest:
+    """A tree for each length of vectors; leaves are numbered through. Lengths that the sample lacks have one leaf each."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.trees = {r.shape[1]: Tree.fit(unit(r)) for r in rows}
+        ends = np.cumsum([len(t.leaf_of) for t in self.trees.values()]).tolist()
+        self.first = dict(zip(self.trees, [0, *ends]))
+
+    def assign(self, rows: np.ndarray) -> np.ndarray:
+        dim = rows.shape[1]
+        return self.first[dim] + self.trees[dim].assign(rows) if dim in self.trees else np.full(len(rows), -dim)
+
+    def visits(self, query: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        dim = len(query)
+        if dim not in self.trees:
+            return [-dim]
+        first = self.first[dim]
+        return [first + x for x in self.trees[dim].visits(query, leaves, sizes, least, first)]
+
+    def __len__(self) -> int:
+        return sum(len(t.leaf_of) for t in self.trees.values())
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Indexes of the ``k`` largest scores, the smaller id first among equal ones."""
     return np.lexsort((ids, -scores))[:k]
 
 
-def _pairs(qid: np.ndarray, query: np.ndarray, vid: np.ndarray, vectors: np.ndarray, q_unit: np.ndarray, v_unit: np.ndarray, k: int) -> list[np.ndarray]:
-    """(query, vector, score) of each query's ``k`` best among the vectors, itself left out."""
+def _pairs(qid: np.ndarray, q_place: np.ndarray, query: np.ndarray, v_place: np.ndarray, vid: np.ndarray, vectors: np.ndarray, q_unit: np.ndarray, v_unit: np.ndarray, k: int) -> list[np.ndarray]:
+    """(query's place, vector's place, score) of each query's ``k`` best among the vectors, its own id left out."""
     out = []
     for at in range(0, len(qid), 256):
         near = q_unit[at : at + 256] @ v_unit.T
@@ -115,93 +140,108 @@ def _pairs(qid: np.ndarray, query: np.ndarray, vid: np.ndarray, vectors: np.ndar
             a, b = query[q], vectors[some]
             scores = (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
             best = _best(vid[some], scores, k)
-            out.append((np.full(len(best), qid[q]), vid[some][best], scores[best]))
-    return [np.concatenate(c) for c in zip(*out)] if out else []
+            out.append((np.full(len(best), q_place[q]), v_place[some][best], scores[best]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row where ``queries`` holds.
 
-    Nearness is the cosine in doubles of the original vectors, ties to the smaller vec_id. The tree is
-    fitted on the SAMPLE rows of least hash; all rows are then put to its leaves, and leaves of over
-    ``block`` rows are dealt out in blocks. Queries go to as many leaves, best bin first, as let PROBES
-    queries reach ``recall`` of their true neighbours, which one pass over all rows finds. Null, empty,
-    zero and non-finite vectors and null ids take no part; fewer candidates than ``k``: all of them.
+    Nearness is the cosine in doubles of the original vectors, ties to the smaller vec_id; vectors of
+    another length have none and are no candidates. A tree for each length is fitted on the sampled rows
+    of least hash; all rows are then put to the leaves. Queries go to as many leaves, best bin first, as
+    let PROBES queries reach ``recall`` of their true neighbours, which one pass over all rows finds, and
+    on until the leaves hold more than ``k`` rows. Leaves of over ``block`` rows or queries are dealt out in
+    blocks. Null, empty, zero and non-finite vectors and null ids take no part; equal rows ask once, and
+    candidates that share a vec_id are candidates of their own, but not the query's if it has that id; fewer candidates than ``k``: all of them.
     """
     spark = df.sparkSession
     rows = usable(df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("is_query")))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    size = min(MOST_SAMPLE, max(SAMPLE, df.count() // 16))
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("embedding").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not picked.num_rows:
         return spark.createDataFrame([], schema)
-    tree = spark.sparkContext.broadcast(Tree.fit(unit(matrix(picked.column("embedding")))))
+    forest = spark.sparkContext.broadcast(Forest([m for _, m in by_length(picked.column("embedding"))]))
     vector = rows.schema["embedding"].dataType.simpleString()
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.value.assign(unit(matrix(batch.column("embedding")))) if batch.num_rows else np.zeros(0, np.int64)
+            leaf = np.zeros(batch.num_rows, np.int64)
+            for at, vectors in by_length(batch.column("embedding")):
+                leaf[at] = forest.value.assign(unit(vectors))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("vec_id"), batch.column("embedding"), batch.column("is_query")], names=["leaf", "vec_id", "embedding", "is_query"])
 
     indexed = materialize(rows.mapInArrow(to_leaves, f"leaf long, vec_id long, embedding {vector}, is_query boolean"), "leaves")
     probes = indexed.where("is_query").orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(PROBES).select("vec_id", "embedding").toArrow()
     if not probes.num_rows:
         return spark.createDataFrame([], schema)
-    leaves = _calibrate(indexed, tree.value, probes, k, recall)
+    leaves = calibrate(indexed, forest.value, probes, k, recall)
+    counts = indexed.groupBy("leaf").count()
+    sizes = spark.sparkContext.broadcast({r.leaf: r["count"] for r in counts.collect()})  # a row a leaf
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                to = [tree.value.visits(q, leaves) for q in unit(matrix(some.column("embedding")))]
-                index = pa.array(np.repeat(np.arange(len(to)), [len(x) for x in to]))
-                flat = pa.array(np.concatenate([np.array(x, np.int64) for x in to]))
-                yield pa.RecordBatch.from_arrays([flat, some.column("vec_id").take(index), some.column("embedding").take(index)], names=["leaf", "query_id", "query"])
-
-    asked = indexed.where("is_query").select("vec_id", "embedding").mapInArrow(routed, f"leaf long, query_id long, query {vector}")
-    large = indexed.groupBy("leaf").count().where(F.col("count") > block)
-    blocks = F.broadcast(large.select("leaf", F.ceil(F.col("count") / block).cast("int").alias("nb")))  # the tree has few leaves
-    n = F.coalesce("nb", F.lit(1))
-    asked = asked.join(blocks, "leaf", "left").withColumn("blk", F.explode(F.sequence(F.lit(0), n - 1))).drop("nb")
-    held = indexed.join(blocks, "leaf", "left").withColumn("blk", F.pmod(F.xxhash64("vec_id"), n).cast("int")).select("leaf", "blk", "vec_id", "embedding")
+                for index, vectors in by_length(some.column("embedding")):
+                    to = [np.array(forest.value.visits(q, leaves, sizes.value, k + 1), np.int64) for q in unit(vectors)]
+                    rows = pa.array(np.repeat(index, [len(x) for x in to]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), some.column("vec_id").take(rows), some.column("query").take(rows)], names=["leaf", "query_id", "query"])
+
+    asking = indexed.where("is_query").select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("query")).dropDuplicates(["query"])
+    routes = materialize(asking.mapInArrow(routed, "leaf long, query_id long, query long"), "routes")
+    asked_by = routes.groupBy("leaf").count().withColumnRenamed("count", "asked")
+    large = counts.join(asked_by, "leaf").where((F.col("count") > block) | (F.col("asked") > block))
+    parts = large.select("leaf", F.ceil(F.col("count") / block).cast("int").alias("nb"), F.ceil(F.col("asked") / block).cast("int").alias("na"))
+    parts = F.broadcast(parts)  # the trees have few leaves
+    nb, na = F.coalesce("nb", F.lit(1)), F.coalesce("na", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = routes.join(parts, "leaf", "left").withColumn("blk", every(nb)).withColumn("ask", F.pmod("query", na).cast("int"))
+    vectors = asking.select("query", F.col("embedding").alias("asks"))
+    asked = asked.join(vectors, "query").select("leaf", "blk", "ask", "query_id", F.col("asks").alias("query"))
+    held = indexed.join(parts, "leaf", "left").withColumn("ask", every(na)).withColumn("blk", F.pmod(F.xxhash64("vec_id"), nb).cast("int")).select("leaf", "blk", "ask", "vec_id", "embedding")
 
     def search(q: pa.Table, v: pa.Table) -> pa.Table:
         cols = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
         if q.num_rows and v.num_rows:
             a, b = matrix(q.column("query")), matrix(v.column("embedding"))
-            found = _pairs(q.column("query_id").to_numpy(), a, v.column("vec_id").to_numpy(), b, unit(a), unit(b), k)
-            cols = [pa.array(c) for c in found] or cols
+            qid, vid = q.column("query_id").to_numpy(), v.column("vec_id").to_numpy()
+            cols = [pa.array(c) for c in _pairs(qid, qid, a, vid, vid, b, unit(a), unit(b), k)]
         return pa.table(cols, names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "blk").cogroup(held.groupBy("leaf", "blk")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy("leaf", "blk", "ask").cogroup(held.groupBy("leaf", "blk", "ask")).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_nearest(indexed: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+def exact_nearest(indexed: DataFrame, probes: pa.Table, k: int) -> pd.DataFrame:
     """Brute force: the ``k`` nearest of all rows for a bounded set of queries; each batch gives its own best."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {v.shape[1]: (probes.column("vec_id").to_numpy()[at], v) for at, v in by_length(probes.column("embedding"))}
         for batch in batches:
-            if batch.num_rows:
-                b = matrix(batch.column("embedding"))
-                found = _pairs(ids, vectors, batch.column("vec_id").to_numpy(), b, unit(vectors), unit(b), k)
-                if found:
-                    leaf = dict(zip(batch.column("vec_id").to_pylist(), batch.column("leaf").to_pylist()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found] + [pa.array([leaf[i] for i in found[1].tolist()], pa.int64())], names=["query_id", "vec_id", "score", "leaf"])
+            for at, b in by_length(batch.column("embedding")):
+                if b.shape[1] in asked and len(b):
+                    ids, vectors = asked[b.shape[1]]
+                    own = batch.column("vec_id").to_numpy()[at]
+                    found = _pairs(ids, np.arange(len(ids)), vectors, np.arange(len(own)), own, b, unit(vectors), unit(b), k)
+                    leaf = batch.column("leaf").to_numpy()[at][found[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(own[found[1]]), pa.array(found[2]), pa.array(leaf)], names=["query_id", "vec_id", "score", "leaf"])
 
     best = indexed.select("leaf", "vec_id", "embedding").mapInArrow(scan, "query_id long, vec_id long, score double, leaf long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).toPandas()
 
 
-def _calibrate(indexed: DataFrame, tree: Tree, probes: pa.Table, k: int, recall: float) -> int:
+def calibrate(indexed: DataFrame, forest: Forest, probes: pa.Table, k: int, recall: float) -> int:
     """How many leaves must be visited for ``recall`` of the probes' true neighbours: the true
     neighbours' leaves have places in the probe's order of visits, of which this is a quantile."""
-    ids, vectors = probes.column("vec_id").to_numpy(), matrix(probes.column("embedding"))
-    truth = exact_nearest(indexed, ids, vectors, k)
+    truth = exact_nearest(indexed, probes, k)
     if truth.empty:
         return 1
-    place = {}
-    for i, q in zip(ids.tolist(), unit(vectors)):
-        place[i] = {leaf: p for p, leaf in enumerate(tree.visits(q, len(tree.leaf_of)), 1)}
-    need = np.sort([place[q][leaf] for q, leaf in zip(truth.query_id, truth.leaf)])
+    ids, place = probes.column("vec_id").to_numpy(), {}
+    for at, vectors in by_length(probes.column("embedding")):
+        for i, q in zip(ids[at].tolist(), unit(vectors)):
+            place[i] = {leaf: p for p, leaf in enumerate(forest.visits(q, len(forest)), 1)}
+    need = np.sort([place[q].get(leaf, 1) for q, leaf in zip(truth.query_id, truth.leaf)])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])

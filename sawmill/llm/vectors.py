@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,13 +11,21 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Rows whose vector can have a cosine: not null, not empty, all components finite, not all zero,
-    and of the length that most such vectors have (the smaller of equally frequent ones)."""
+    """Rows whose vector can have a cosine: not null, not empty, all components finite, not all zero."""
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    df = df.where(v.isNotNull()).where((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
-    length = df.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.where(F.size(v) == (length.d if length else 0))
+    return df.where(v.isNotNull()).where((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
+
+
+def by_length(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, their rows as doubles) for each length of vectors in a list column without nulls: only
+    vectors of one length have a cosine."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -37,6 +37,40 @@ def cosines(rows):
     return unit @ unit.T
 
 
+def test_vectors_of_several_lengths(spark):
+    """Only vectors of one length are compared, however rare the length is; clashing columns are left alone."""
+    rng = np.random.default_rng(21)
+    data = [(i, [float(x) for x in rng.standard_normal(2)]) for i in range(30)] + [(i, [1.0, 2.0, 3.0]) for i in (40, 41)] + [(42, [3.0, 2.0, 1.0]), (50, [5.0]), (60, None), (50, [5.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("leaf", "score", "rank", "rep", "tab", "w", "vec")])
+    rows = embedding_dedup.near_duplicates(df).collect()
+    found = {r.vec_id: r for r in rows}
+    assert len(rows) == len(data) and (found[40].n_links, found[41].component_id, found[42].n_links, found[60].n_links) == (1, 40, 0, 0)
+    assert found[50].n_links == 1
+    for i in range(30):
+        near = [j for j in range(30) if j != i and np.dot(data[i][1], data[j][1]) >= 0.95 * np.linalg.norm(data[i][1]) * np.linalg.norm(data[j][1])]
+        assert found[i].n_links == len(near)
+    near = {}
+    for r in ann.nearest(df, F.col("vec_id") >= 0).collect():
+        near.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(near[40]) == [(1, 41), (2, 42)] and 50 not in near and all(sorted(x for x, _ in near[i]) == [1, 2, 3, 4, 5] for i in range(30))
+
+
+def test_few_leaves_are_searched(spark):
+    """Where vectors have clusters, a quarter of the leaves is enough for nine tenths of the neighbours."""
+    rng = np.random.default_rng(22)
+    centres = rng.standard_normal((60, 32))
+    rows = np.repeat(centres, 60, axis=0) + 0.35 * rng.standard_normal((3600, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    seen, calibrate = [], ann.calibrate
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ann, "calibrate", lambda indexed, forest, *a: seen.append((calibrate(indexed, forest, *a), len(forest))) or seen[-1][0])
+        found = {(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    near = cosines(rows)
+    np.fill_diagonal(near, -2)
+    truth = {(q, int(v)) for q in range(0, 3600, 20) for v in np.argsort(-near[q])[:5]}
+    assert len(found & truth) >= 0.9 * len(truth) and seen[0][0] <= 0.25 * seen[0][1]
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_near_duplicates(vectors, block):
     rows, df = vectors
