@@ -1,10 +1,15 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``: those of documents and
+any others, whatever their names, with their own values. The last adds token_ids, n_tokens and round_trip;
+columns of these names give way there.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,26 @@ from sawmill.llm.common import materialize, table
 SHINGLE, WORDS = 5, 4
 
 
+#: What the stages know of documents; columns beside these keep out of their way.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """``stage``, the caller's further columns under names of no one else's meanwhile."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {f"_own{i}": c for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        names = [f"_own{i}" if c not in COLUMNS else c for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        new = {c.lower() for c in out.columns if c not in names}
+        out = out.drop(*[c for c, name in own.items() if name.lower() in new])
+        return out.toDF(*[own.get(c, c) for c in out.columns])
+
+    return run
+
+
+@apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; what the model learns comes from the table of labels."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -24,6 +49,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+@apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: of those that reach each other by links of a Jaccard similarity of 0.8 or more.
 
@@ -35,6 +61,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
+@apart
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated strings; a character that a cut has split goes too. Documents stay."""
     columns = docs.columns
@@ -43,11 +70,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffix_dedup.cut_texts(keyed).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 
+@apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that calibrated sampling selects."""
-    return mixing.mix(docs).where("selected").select(*docs.columns)
+    return mixing.mix(docs, {"topic": mixing.TOPIC_SHARES}).where("selected").select(*docs.columns)
 
 
+@apart
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with token ids, their number, and whether the decoded bytes are the text's."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

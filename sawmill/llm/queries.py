@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), {"topic": mixing.TOPIC_SHARES})
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "selected")
 
 

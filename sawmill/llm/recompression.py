@@ -163,7 +163,9 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, long: int = repeats.LONG
     compare = docs.join(repeats.wanted_pieces(found), "rk")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[int] = []
         for batch in batches:
+            batch = repeats.rows_once(batch, last)
             rows = zip(batch.column("rk").to_pylist(), repeats.texts(batch), batch.column("wanted").to_pylist())
             made = [repeats.hashed_windows(word_hashes(text.split()), wanted, size, rk) for rk, text, wanted in rows]
             if made:

@@ -9,7 +9,8 @@ and only keys that occur twice go on:
 * Of the other segments (at the edges of repeats) each operator compares the windows.
 
 Keys and segments that a bounded sample of documents already shows many times are known to repeat;
-they need not meet, so their rows are spread instead of filling one task.
+they need not meet, so their rows are spread instead of filling one task. The sample changes where rows
+go, not what is found. Which keys have too many pieces to compare in one task is counted over all.
 """
 
 from __future__ import annotations
@@ -122,8 +123,7 @@ def texts(batch: pa.RecordBatch) -> list[bytes]:
 def repeated_segments(
     docs: DataFrame, place: Callable[[list[bytes]], tuple[np.ndarray, ...]], cut: Callable[[bytes], Iterable[tuple[int, bytes]]], chunk_bytes: int = 1 << 19
 ) -> DataFrame:
-    """(rk, at, key, seg, hot, whole) of the segments whose key occurs twice; ``whole``: the whole segment
-    does; ``hot``: by the sample the key has over GROUP_ROWS segments, more than one task should hold.
+    """(rk, at, key, seg, whole) of the segments whose key occurs twice; ``whole``: the whole segment does.
 
     ``cut`` gives a text's pieces as (items before it, piece), each window in just one of them, so that a
     very long text needs no more memory than others. ``place`` gets pieces and returns (index of the
@@ -154,24 +154,21 @@ def repeated_segments(
                 key, seg = key.view(np.int64), seg.view(np.int64)
                 columns = [rks[doc], (start + before[doc]) << SHIFT | count, key, seg]
                 if known is not None:
-                    hot = np.isin(key, known[2])
                     sure = np.where(np.isin(seg, known[1]), 2, np.where(np.isin(key, known[0]), 1, 0))
-                    columns += [hot, np.where(sure == 2, columns[0], np.where(sure == 1, seg, key)), sure.astype(np.int8)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "at", "key", "seg", "hot", "deal", "sure"][: len(columns)])
+                    columns += [np.where(sure == 2, columns[0], np.where(sure == 1, seg, key)), sure.astype(np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "at", "key", "seg", "deal", "sure"][: len(columns)])
 
     every = max(1, docs.count() // SAMPLE_DOCS)
     sampled = docs.where(F.pmod(F.col("rk"), F.lit(every)) == 0).mapInArrow(lambda b: run(b, None), PLACED)
     counts = sampled.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"))
 
-    def often(column: str) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the column that the sample shows often, sorted, and how many rows of all each may have."""
+    def often(column: str) -> np.ndarray:
+        """Values of the column that the sample shows often, sorted."""
         rows = counts.groupBy(column).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), column).limit(MOST_KNOWN)
-        found = sorted((r[0], r[1] * every) for r in rows.collect())
-        return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+        return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
 
-    keys, rows_of = often("key")
-    known = spark.sparkContext.broadcast((keys, often("seg")[0], keys[rows_of > GROUP_ROWS]))
-    rows = docs.mapInArrow(lambda b: released(run(b, known.value)), PLACED + ", hot boolean, deal long, sure tinyint")
+    known = spark.sparkContext.broadcast((often("key"), often("seg")))
+    rows = docs.mapInArrow(lambda b: released(run(b, known.value)), PLACED + ", deal long, sure tinyint")
     dealt = rows.repartition("deal").drop("deal").sortWithinPartitions("key", "seg")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,22 +194,33 @@ def repeated_segments(
             out = rows.drop_columns(["sure"]).append_column("whole", pa.array(same[:, 1] | (sure == 2))).filter(keep)
             yield from out.combine_chunks().to_batches()
 
-    return materialize(dealt.mapInArrow(lambda b: released(meet(b)), PLACED + ", hot boolean, whole boolean"), "segments")
+    return materialize(dealt.mapInArrow(lambda b: released(meet(b)), PLACED + ", whole boolean"), "segments")
 
 
 def wanted_pieces(found: DataFrame) -> DataFrame:
     """(rk, wanted: array of (at, key, hot, weight)): what windows must be compared, by document.
 
     Segments that aren't whole repeats, with weight 1, and for keys that have such a segment one
-    representative of each whole repeat with weight 2: its windows repeat already, and others may equal them.
+    representative of each whole repeat with weight 2: its windows repeat already, and others may equal
+    them. ``hot``: the key has over GROUP_ROWS of these, counted over all, more than one task should hold.
     """
-    edges = found.where("not whole")
-    whole = found.where("whole").groupBy("key", "seg").agg(F.min(F.struct("rk", "at", "hot")).alias("one"))
+    edges = found.where("not whole").select("rk", "at", "key", F.lit(1).alias("weight"))
+    whole = found.where("whole").groupBy("key", "seg").agg(F.min(F.struct("rk", "at")).alias("one"))
     whole = whole.join(edges.select("key").distinct(), "key", "left_semi")
-    pieces = edges.select("rk", F.struct("at", "key", "hot", F.lit(1).alias("weight")).alias("p")).union(
-        whole.select("one.rk", F.struct("one.at", "key", "one.hot", F.lit(2).alias("weight")).alias("p"))
-    )
-    return pieces.groupBy("rk").agg(F.collect_list("p").alias("wanted"))  # a document's own segments
+    pieces = edges.union(whole.select("one.rk", "one.at", "key", F.lit(2).alias("weight")))
+    hot = pieces.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.lit(True).alias("hot"))
+    pieces = pieces.join(hot, "key", "left").select("rk", F.struct("at", "key", F.coalesce("hot", F.lit(False)).alias("hot"), "weight").alias("p"))
+    return pieces.groupBy("rk").agg(F.collect_set("p").alias("wanted"))  # a text's own segments; rows alike have the same
+
+
+def rows_once(batch: pa.RecordBatch, last: list[int]) -> pa.RecordBatch:
+    """``batch`` without rows whose ``rk`` came before in it or was the last one: rows alike need not be compared again."""
+    rks = batch.column("rk").to_numpy()
+    first = np.sort(np.unique(rks, return_index=True)[1])
+    first = first[rks[first] != last[0]] if last else first
+    if len(rks):
+        last[:] = [int(rks[-1])]
+    return batch if len(first) == len(rks) else batch.take(pa.array(first))
 
 
 WINDOWS = "h1 long, h2 long, weight tinyint, rk long, at long"
@@ -248,4 +256,4 @@ def with_spans(docs: DataFrame, *spans: DataFrame) -> DataFrame:
     every = spans[0]
     for more in spans[1:]:
         every = every.union(more)
-    return docs.join(every.groupBy("rk").agg(F.collect_list("at").alias("spans")), "rk", "left")
+    return docs.join(every.groupBy("rk").agg(F.collect_set("at").alias("spans")), "rk", "left")

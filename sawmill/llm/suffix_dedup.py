@@ -6,7 +6,7 @@ length gives the Burrows-Wheeler transform, and intervals are extended backwards
 level l finds the bounds between suffixes that share just l bytes. Bounds not found below the
 minimum length lie inside classes of suffixes that share it.
 
-Keys with more pieces than a task should hold, by the sample, are not sent to one shard; their windows
+Keys with more pieces than a task should hold, counted over all, are not sent to one shard; their windows
 are counted by two 64-bit hashes instead, with partial sums before the shuffle.
 """
 
@@ -145,8 +145,9 @@ def repeated_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
         names = ["key", "rk", "at", "weight", "piece", "h1", "h2"]
+        last: list[int] = []
         for batch in batches:
-            rows, windows = [], []
+            batch, rows, windows = repeats.rows_once(batch, last), [], []
             for rk, text, wanted in zip(batch.column("rk").to_pylist(), repeats.texts(batch), batch.column("wanted").to_pylist()):
                 if hot := [w for w in wanted if w["hot"]]:
                     windows.append(repeats.hashed_windows(ITEMS[np.frombuffer(text, np.uint8)], hot, size, rk))
@@ -234,21 +235,22 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, long: int = repeats.LONG)
     return small_batches(found).mapInArrow(run, schema)
 
 
-def cut_texts(found: DataFrame, size: int = SIZE) -> DataFrame:
-    """``found`` (text, spans and other columns) with the covered bytes taken out of ``text`` and no ``spans``.
+def cut_texts(found: DataFrame, size: int = SIZE, spans_col: str = "spans") -> DataFrame:
+    """``found`` (text, ``spans_col`` and other columns) with the covered bytes taken out of ``text`` and no
+    ``spans_col``.
 
     Bytes of characters that a cut has split go too, so that the text stays valid. Null texts stay null.
     """
-    schema = T.StructType([f for f in found.schema if f.name != "spans"])
+    schema = T.StructType([f for f in found.schema if f.name != spans_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, text, spans in zip(batch.column("text"), repeats.texts(batch), batch.column("spans").to_pylist()):
+            for raw, text, spans in zip(batch.column("text"), repeats.texts(batch), batch.column(spans_col).to_pylist()):
                 if spans:
                     text = np.frombuffer(text, np.uint8)[~repeats.cover(spans, size, len(text))].tobytes()
                 out.append(text.decode("utf-8", "ignore") if raw.is_valid else None)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["spans"])
+            yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns([spans_col])
 
     return found.mapInArrow(run, schema)
