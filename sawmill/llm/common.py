@@ -69,6 +69,11 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     executor holds several of them."""
     lean()
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """This process's unused memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sawmill.llm.common import materialize, put_columns, ranges, released, runs, small_batches, with_fields
+from sawmill.llm.common import give_back, materialize, put_columns, ranges, released, runs, small_batches, with_fields
 
 #: Labelled rows of each class that the examples are taken from, at most (those of least hash).
 EXAMPLES = 2000
@@ -32,7 +32,7 @@ BLOCK, HEAVY = 64, 1 / 12
 #: Texts that are multiplied with the matrix at once (always as many, so that each gets the same sums).
 BATCH = 256
 #: Texts of a batch, and their bytes, about, that words are looked up for at once.
-LOOKUP_ROWS, LOOKUP_BYTES = 4000, 16 << 20
+LOOKUP_ROWS, LOOKUP_BYTES = 4000, 6 << 20
 #: Bytes of a word that make its stem.
 STEM = 4
 THRESHOLD = 0.3
@@ -107,49 +107,44 @@ class Vocabulary:
         return key // len(self), key % len(self), n
 
 
-@dataclass
 class Index:
     """Unit TF-IDF vectors of the examples by term: postings in example order, and each term's blocks with the
-    largest weight in them. Heavy terms' postings are also the rows of ``matrix``."""
-
-    labels: np.ndarray
-    ids: list
-    starts: np.ndarray  # of a term's postings in ``refs`` and ``weights``
-    refs: np.ndarray
-    weights: np.ndarray
-    parts: np.ndarray = field(init=False)  # of a term's blocks in the following
-    blocks: np.ndarray = field(init=False)
-    bounds: np.ndarray = field(init=False)  # of the block's postings
-    most: np.ndarray = field(init=False)
-    row: np.ndarray = field(init=False)  # of a heavy term in the matrix, else -1
-    matrix: np.ndarray | None = field(init=False, default=None)
-
-    def __post_init__(self):
+    largest weight in them. Heavy terms' postings are also the rows of ``matrix``.
+
+    Only postings are sent; blocks and matrix are made where they are used.
+    """
+
+    def __init__(self, labels: np.ndarray, ids: list, starts: np.ndarray, refs: np.ndarray, weights: np.ndarray):
+        self.labels, self.ids = labels, ids
+        self.starts, self.refs, self.weights = starts.astype(np.int32), refs.astype(np.int32), weights  # of a term's postings
+        self.matrix: np.ndarray | None = None
+
+    def __reduce__(self):
+        return Index, (self.labels, self.ids, self.starts, self.refs, self.weights)
+
+    def make(self) -> None:
+        """``parts``: of a term's blocks in ``blocks``, ``bounds`` (of their postings) and ``most``; ``row`` of a heavy
+        term in ``matrix``, else -1."""
         size = np.diff(self.starts)
-        term = np.repeat(np.arange(len(size)), size)
-        self.bounds = runs(term, self.refs // BLOCK)
-        self.parts = np.searchsorted(self.bounds[:-1], self.starts)
+        term = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.bounds = runs(term, self.refs // BLOCK).astype(np.int32)
+        self.parts = np.searchsorted(self.bounds[:-1], self.starts).astype(np.int32)
         self.blocks = self.refs[self.bounds[:-1]] // BLOCK
         self.most = np.maximum.reduceat(self.weights, self.bounds[:-1]) if len(term) else np.zeros(0)
-        self.row = np.full(len(size), -1)
+        self.row = np.full(len(size), -1, np.int32)
         heavy = np.flatnonzero(size > max(8, HEAVY * len(self.labels)))
         self.row[heavy] = np.arange(len(heavy))
-
-    def heavy_rows(self) -> np.ndarray:
-        """The matrix, made where it is used: it isn't sent."""
-        if self.matrix is None:
-            heavy = np.flatnonzero(self.row >= 0)
-            self.matrix = np.zeros((len(heavy), -(-len(self.labels) // BLOCK) * BLOCK))
-            for term in heavy.tolist():
-                some = slice(self.starts[term], self.starts[term + 1])
-                self.matrix[self.row[term], self.refs[some]] = self.weights[some]
-        return self.matrix
+        self.matrix = np.zeros((len(heavy), -(-len(self.labels) // BLOCK) * BLOCK))
+        for term in heavy.tolist():
+            some = slice(self.starts[term], self.starts[term + 1])
+            self.matrix[self.row[term], self.refs[some]] = self.weights[some]
 
     def nearest(self, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of ``n`` unit queries, given as entries (query in order, term, weight), the ``k`` examples of
         largest cosine above zero, ties by place; exact."""
-        cuts = np.searchsorted(doc, np.arange(n + 1))
-        matrix = self.heavy_rows()
+        if self.matrix is None:
+            self.make()
+        cuts, matrix = np.searchsorted(doc, np.arange(n + 1)), self.matrix
         for begin in range(0, n, BATCH):
             end = min(n, begin + BATCH)
             some = slice(cuts[begin], cuts[end])
@@ -264,19 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
         for batch in batches:
             doc, term, n = sent.value.count(batch.column("text"))
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(rows), pa.array(term), pa.array(n)], names=["doc_id", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(rows), pa.array(term, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "at", "n"])
 
-    got = examples.mapInArrow(counts, "doc_id long, at long, n long").toArrow()
+    got = examples.mapInArrow(counts, "doc_id long, at int, n int").toArrow()
     there = set(examples.select("doc_id").toArrow().column("doc_id").to_pylist())
-    used = [r for r in picked if r.doc_id in there]
-    place = {r.doc_id: i for i, r in enumerate(used)}
-    doc = np.array([place[i] for i in got.column("doc_id").to_pylist()], np.int64)
-    order = np.lexsort((got.column("at").to_numpy(), doc))
-    doc, at, weight = unit_vectors(doc[order], got.column("at").to_numpy()[order], got.column("n").to_numpy()[order], idf)
+    used = sorted((r for r in picked if r.doc_id in there), key=lambda r: r.doc_id)
+    doc, at, n = (got.column(c).to_numpy() for c in ("doc_id", "at", "n"))
+    doc = np.searchsorted([r.doc_id for r in used], doc)
+    order = np.lexsort((at, doc))
+    doc, at, weight = unit_vectors(doc[order], at[order], n[order], idf)
+    del got, order, n
     y = np.array([r.y for r in used], np.int64)
-    held = np.zeros(len(used), bool)
-    for k in (0, 1):
-        held[np.flatnonzero(y == k)[::4]] = True
+    number, held = {r.doc_id: i for i, r in enumerate(used)}, np.zeros(len(used), bool)
+    for k in (0, 1):  # by hash
+        held[[number[i] for i in [r.doc_id for r in picked if r.y == k and r.doc_id in there][::4]]] = True
     index = build_index([(r.doc_id, r.y) for r in used], ~held, doc, at, weight, len(vocabulary))
     model = Model(vocabulary, idf, index, 0.0, 0.0, min(int((y == k).sum()) for k in (0, 1)) > 1)
     if model.usable:
@@ -285,6 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
         votes = np.array([v for v, _, _ in model.votes_of(number[doc[mine]], at[mine], weight[mine], int(held.sum()))])
         model.slope, model.offset = _platt(votes, y[held], share)
         model.usable = model.slope > 0
+    model.index.matrix = None
+    give_back()
     return model
 
 
