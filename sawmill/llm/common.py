@@ -168,19 +168,23 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def split_pairs(df: DataFrame, keys: list[str], id_col: str, block: int, counts: DataFrame | None = None) -> DataFrame:
+#: Hot buckets whose table (a row each) is broadcast, at most.
+FEW_HOT = 200_000
+
+
+def split_pairs(df: DataFrame, keys: list[str], id_col: str, block: int, rows: int) -> DataFrame:
     """Deal a bucket of over ``block`` rows out to pairs of blocks, so that no task gets a bucket whole.
 
     Adds part_i <= part_j and blk: a row of block b goes to every pair with b in it; two rows of a
-    bucket meet in just one pair (rows of one block in the pair b, b). ``counts`` may be a cheaper
-    frame with the same keys to count from.
+    bucket meet in just one pair (rows of one block in the pair b, b). Of at most ``rows`` rows no more than
+    ``rows`` / ``block`` buckets can be hot; so few that their table is broadcast, ``df`` isn't shuffled for them.
     """
     hot = (
-        (counts if counts is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > block)
         .select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_nb"))
     )
-    out = df.join(hot, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    out = df.join(F.broadcast(hot) if rows // block <= FEW_HOT else hot, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     out = out.withColumn("blk", F.pmod(F.xxhash64(F.lit(7), id_col), F.col("_nb")).cast("int"))
     other = F.explode(F.when(F.col("_nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return (

@@ -74,7 +74,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, seed: int = 17, bloc
     usable_rows = usable(ids.where("vec_id is not null"))
     same = usable_rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
     same = materialize(same.withColumn("vec", F.xxhash64("embedding")), "vectors")
-    bits, tables = tables_for(same.count(), threshold)
+    n = same.count()
+    bits, tables = tables_for(n, threshold)
     radius = sketch_radius(threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +96,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, seed: int = 17, bloc
     rows = same.select("embedding", "vec").mapInArrow(lambda b: released(hashed(b)), "tab int, bucket long, s1 long, s2 long, vec long")
     rows = materialize(rows, "buckets")
     order = ["tab", "bucket", "part_i", "part_j"]
-    dealt = split_pairs(rows, ["tab", "bucket"], "vec", block).repartition(*order).sortWithinPartitions(*order)
+    dealt = split_pairs(rows, ["tab", "bucket"], "vec", block, n * tables).repartition(*order).sortWithinPartitions(*order)
 
     def sides(blk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of a group's two blocks; both are all of them if there is one."""

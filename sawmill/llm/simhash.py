@@ -188,8 +188,8 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1,
     All of them for one word; for more, those that ``masks`` (``sampled_masks``) bring together. Links are local: each task gives for each fingerprint of its buckets a representative of those it
     reaches there, so components of the links are those of all near pairs, without the pairs.
     """
+    n = fps.count()
     if masks is None:
-        n = fps.count()
         masks = masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
 
     def key(i: int, mask: tuple[int, ...]) -> Column:
@@ -198,7 +198,7 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1,
 
     rows = fps.select("fp", "rep", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.tab", "k.key", "fp", "rep")
     order = ["tab", "key", "part_i", "part_j"]
-    dealt = split_pairs(rows, ["tab", "key"], "rep", block).repartition(*order).sortWithinPartitions(*order)
+    dealt = split_pairs(rows, ["tab", "key"], "rep", block, n * len(masks)).repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in complete_groups(batches, order):
@@ -295,29 +295,20 @@ def verified(docs: DataFrame, members: DataFrame, similarity: float, shingle: in
     of ``similarity`` or more, by exact counts, between all nodes of a component. Large components are dealt out in
     pairs of blocks; links are local as in ``linked``."""
     members = members.withColumnRenamed("node", "doc_id")
-    parts = split_pairs(members, ["component"], "doc_id", block).groupBy("doc_id", "component", "blk").agg(F.collect_list(F.struct("part_i", "part_j")).alias("parts"))
+    parts = split_pairs(members, ["component"], "doc_id", block, members.count()).groupBy("doc_id", "component", "blk").agg(F.collect_list(F.struct("part_i", "part_j")).alias("parts"))
     texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # rows alike come once
     order = ["component", "part_i", "part_j"]
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in batch.column("text").cast(pa.binary())]
-            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            flat = np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield put_columns(batch.drop_columns(["text"]), shingles=pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
-
-    joined = small_batches(texts).join(parts, "doc_id").select("doc_id", "component", "blk", "parts", "text")
-    schema = with_fields(T.StructType([f for f in joined.schema if f.name != "text"]), T.StructField("shingles", T.ArrayType(T.LongType())))
-    rows = joined.mapInArrow(lambda b: released(sets(b)), schema).withColumn("part", F.explode("parts"))
-    rows = rows.select("doc_id", "component", "blk", "part.part_i", "part.part_j", "shingles").repartition(*order).sortWithinPartitions(*order)
+    rows = small_batches(texts).join(parts, "doc_id").withColumn("part", F.explode("parts"))
+    rows = rows.select("doc_id", "component", "blk", "part.part_i", "part.part_j", "text").repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in complete_groups(batches, order):
             cols = [groups.column(c).to_numpy() for c in order]
             ids, blk = (groups.column(c).to_numpy() for c in ("doc_id", "blk"))
-            lists = groups.column("shingles").combine_chunks()
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            texts = (t for chunk in groups.column("text").chunks for t in chunk.cast(pa.binary()))
+            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in texts]
+            sizes = np.array([len(f) for f in found], np.int64)
+            values, at = np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
             bounds = runs(*cols)
             for a, b in zip(bounds, bounds[1:]):
                 if b - a > 1:
