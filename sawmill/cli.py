@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,7 @@ from sawmill.config import load_config, validate_config
 from sawmill.functions.fields import render
 from sawmill.operators.compact import compact
 from sawmill.plans.view import Registry, open_logs
-from sawmill.streaming.ingest import ingest, ingest_stream
+from sawmill.streaming.ingest import ingest, ingest_streams
 
 
 def session() -> SparkSession:
@@ -24,9 +25,21 @@ def shown(df: DataFrame) -> DataFrame:
     return df.withColumn("Fields", render("Fields")) if "Fields" in df.columns else df
 
 
+def write_table(df: DataFrame, rows: int = 1000) -> None:
+    """All rows, aligned by blocks of ``rows``; they pass the driver a partition at a time."""
+    found = ([("NULL" if v is None else str(v)) for v in r] for r in df.toLocalIterator())
+    block = list(islice(found, rows))
+    while True:
+        widths = [max(map(len, column)) for column in zip(df.columns, *block)]
+        for row in [df.columns, ["-" * w for w in widths], *block]:
+            print(" | ".join(v.ljust(w) for v, w in zip(row, widths)).rstrip())
+        if not (block := list(islice(found, rows))):
+            return
+
+
 def write_result(df: DataFrame, output: str) -> None:
     if output == "table":
-        shown(df).show(1000, truncate=False)
+        write_table(shown(df))
     elif output == "json":
         print("[" + ",\n ".join(row for row in df.toJSON().toLocalIterator()) + "]")
     else:
@@ -82,12 +95,15 @@ def main(args: list[str] | None = None) -> int:
     if wrong or got.command == "validate":
         return int(bool(wrong))
     spark = session()
-    Registry.of(settings)[0].save(spark, f"{settings.data_path}/registry")
+    registry, conflicts = Registry.of(settings)
+    for name in conflicts:
+        print(f"field {name!r} has another type already; {registry.types[name]} stays", file=sys.stderr)
+    registry.save(spark, f"{settings.data_path}/registry")
     if got.command == "ingest":
         ingest(spark, settings)
         return 0
-    plugin = settings.plugins[0]
-    ingest_stream(spark, settings.log_paths[0], plugin.parser, settings.data_path, got.checkpoint, ",".join(plugin.include), ",".join(plugin.exclude), settings.flush_seconds).awaitTermination()
+    ingest_streams(spark, settings, got.checkpoint)
+    spark.streams.awaitAnyTermination()
     return 0
 
 

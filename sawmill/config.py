@@ -33,6 +33,7 @@ class ParserConfig:
     message_regex: str | None = None
     fields_regexes: tuple[FieldRule, ...] = ()
     on_missing_timestamp: str = "sentinel"
+    template_hashes: bool = False
 
 
 @dataclass(frozen=True)

@@ -35,12 +35,13 @@ def has(name: str, test=None, fields: Column | str = "Fields") -> Column:
 
 
 def render(fields: Column | str = "Fields") -> Column:
-    """All fields as ``key=value`` in order, texts with spaces in quotes; null if there are none."""
+    """All fields as ``key=value`` in order, texts with spaces in single quotes, fields without a value left out;
+    null if there are no fields."""
     fields = _column(fields)
 
     def one(f: Column) -> Column:
-        text = F.when(f.StringValue.contains(" "), F.concat(F.lit('"'), f.StringValue, F.lit('"'))).otherwise(f.StringValue)
+        text = F.when(f.StringValue.contains(" "), F.concat(F.lit("'"), f.StringValue, F.lit("'"))).otherwise(f.StringValue)
         shown = F.coalesce(text, f.LongValue.cast("string"), f.DoubleValue.cast("string"), f.BoolValue.cast("string"))
-        return F.concat(f.Key, F.lit("="), F.coalesce(shown, F.lit("")))
+        return F.concat(f.Key, F.lit("="), shown)
 
-    return F.when(F.size(fields) > 0, F.array_join(F.transform(fields, one), " "))
+    return F.when(F.size(fields) > 0, F.array_join(F.array_compact(F.transform(fields, one)), " "))

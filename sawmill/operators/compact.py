@@ -6,14 +6,18 @@ import json
 import math
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from sawmill.functions import fields as ff
-from sawmill.sources.store import LANDING, MANIFESTS, MARKER, OPTIMIZED, filesystem, manifests
+from sawmill.schema import ENTRY
+from sawmill.sources.store import LANDING, MANIFESTS, MARKER, OPTIMIZED, filesystem, manifests, note_promotions, write_text
 
 TARGET_BYTES = 128 << 20
+#: Days that are compacted at a time.
+DAYS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,7 @@ def candidates(spark: SparkSession, root: str, older_than_s: float = 3600.0) ->
     return [Candidate(day, sum(f[1] for f in files), tuple(f[0] for f in files)) for day, files in sorted(days.items()) if all(f[2] <= limit for f in files)]
 
 
-def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> None:
+def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES, noted: bool = False) -> None:
     """Rewrite one day: to a staging folder, then by renames to the optimized zone, then the landing files go.
 
     The staged files are complete before anything is published, and a manifest names the old and the
@@ -46,7 +50,9 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     fs, make = filesystem(spark, root)
     run = uuid.uuid4().hex
     staging, day = f"{root}/_staging/{run}", f"{root}/{OPTIMIZED}/{what.day}"
-    entries = spark.read.parquet(*what.files)
+    if not noted:
+        note_promotions(spark, root, promote or {})
+    entries = spark.read.schema(ENTRY).parquet(*what.files)
     for name, kind in (promote or {}).items():
         entries = entries.withColumn(name, ff.value(name, kind))
     parts = max(1, math.ceil(what.bytes / target_bytes))
@@ -58,10 +64,7 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     staged = [s.getPath() for s in fs.globStatus(make(f"{staging}/*.parquet"))]
     replaced = ["/".join(f.split("/")[-5:]) for f in what.files]
     manifest = {"replaced": replaced, "new": [f"{OPTIMIZED}/{what.day}/{p.getName()}" for p in staged]}
-    out = fs.create(make(f"{root}/{MANIFESTS}/{run}.part"), True)
-    out.write(json.dumps(manifest).encode())
-    out.close()
-    fs.rename(make(f"{root}/{MANIFESTS}/{run}.part"), make(f"{root}/{MANIFESTS}/{run}.json"))
+    write_text(spark, f"{root}/{MANIFESTS}/{run}.json", json.dumps(manifest))
     fs.mkdirs(make(day))
     for path in staged:
         if not fs.rename(path, make(f"{day}/{path.getName()}")):
@@ -92,9 +95,10 @@ def recover(spark: SparkSession, root: str) -> None:
 
 
 def compact(spark: SparkSession, root: str, older_than_s: float = 3600.0, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> list[str]:
-    """Compact every candidate; the days done."""
-    done = []
-    for what in candidates(spark, root, older_than_s):
-        compact_day(spark, root, what, promote, target_bytes)
-        done.append(what.day)
-    return done
+    """Compact every candidate; the days done. Several days run at once, each a job of its own."""
+    days = candidates(spark, root, older_than_s)
+    if days:
+        note_promotions(spark, root, promote or {})
+    with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
+        list(pool.map(lambda what: compact_day(spark, root, what, promote, target_bytes, noted=True), days))
+    return [what.day for what in days]

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from sawmill.config import FieldRule, ParserConfig, group_count
 from sawmill.operators.assemble import assemble, numbered, orphans
-from sawmill.schema import ENTRY, FIELD, NO_TIMESTAMP, UNKNOWN_LEVEL
+from sawmill.schema import ENTRY, FIELD, NO_TIMESTAMP, SLOTS, UNKNOWN_LEVEL
 
 #: What counts as a number before it is cast: integers with an optional sign, and decimals that may have
 #: thousands separators and an exponent; white space around.
 LONG_TEXT = r"^\s*[+-]?\d+\s*$"
 DOUBLE_TEXT = r"^\s*[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
+#: Keys of JSON lines that hold an entry's own columns.
+JSON_KEYS = {"timestamp": ("timestamp", "@timestamp", "time", "ts"), "level": ("level", "severity", "lvl"), "message": ("message", "msg")}
+
 
 def _group(regex: str) -> int:
     """Group 1 if the regex has groups, else the whole match."""
@@ -103,13 +106,51 @@ def template_hash(message: Column, parser: ParserConfig) -> Column:
     return F.xxhash64(template_of(text, parser.fields_regexes))
 
 
-def parse(lines: DataFrame, parser: ParserConfig, templates: bool = False) -> tuple[DataFrame, DataFrame]:
+def column_of(message: Column, rules: tuple[FieldRule, ...], name: str, kind: str) -> Column:
+    """What ``value`` finds of a field in ``fields_of``, straight from the message: only this field's regexes run."""
+    same = [r for r in rules if r.field_name == name and r.regex]
+    if not same:
+        return F.lit(None).cast("timestamp" if kind == "datetime" else FIELD[SLOTS[kind]].dataType)
+    found = F.coalesce(*[typed(name, last_match(message, r.regex), r.type, r.format) for r in reversed(same)])[SLOTS[kind]]
+    return found.try_cast("timestamp") if kind == "datetime" else found
+
+
+def parse_json(lines: DataFrame, parser: ParserConfig) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) of lines that are JSON objects, an entry each.
+
+    Timestamp, level and message come from the first of JSON_KEYS that the object has (message: else the
+    line); a rule's regex names the key of its field (empty: the field's own name). Lines that are no
+    objects are rejects; entries without a timestamp are as in ``parse``.
+    """
+    has = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+    rows = lines.where(F.trim("value") != "").withColumn("_o", F.when(F.trim("value").startswith("{"), has))
+    key = lambda what: F.coalesce(*[F.element_at("_o", F.lit(k)) for k in JSON_KEYS[what]])
+    good = F.col("_o").isNotNull() & (F.size("_o") > 0)
+    read = F.try_to_timestamp(key("timestamp"), F.lit(parser.timestamp_format)) if parser.timestamp_format else F.try_to_timestamp(key("timestamp"))
+    dated = rows.where(good).withColumn("_stamp", read)
+    strict = parser.on_missing_timestamp == "reject"
+    found = [typed(r.field_name, F.element_at("_o", F.lit(r.regex or r.field_name)), r.type, r.format) for r in parser.fields_regexes if r.field_name]
+    kind = ENTRY["Fields"].dataType.simpleString()
+    entries = (dated.where("_stamp is not null") if strict else dated).select(
+        F.coalesce("_stamp", F.lit(NO_TIMESTAMP).cast("timestamp")).alias("Timestamp"), F.upper(F.coalesce(key("level"), F.lit(UNKNOWN_LEVEL))).alias("Level"),
+        F.coalesce(key("message"), F.col("value")).alias("Message"), F.col("source").alias("Source"), F.lit(0).cast("long").alias("TemplateHash"),
+        (F.array_compact(F.array(*found)) if found else F.array()).cast(kind).alias("Fields"),
+    )
+    rejects = rows.where(~F.coalesce(good, F.lit(False))).select(F.col("source").alias("Source"), F.lit("No JSON object").alias("Error"), F.col("value").alias("Text"))
+    if strict:
+        rejects = rejects.union(dated.where("_stamp is null").select("source", F.lit("No timestamp"), "value"))
+    return entries, rejects
+
+
+def parse(lines: DataFrame, parser: ParserConfig, templates: bool | None = None, columns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of ``lines``.
 
     Entries have the columns of an entry: level and fields come from the whole message, the timestamp
     from the first line; an unread timestamp gets the sentinel, or is a reject if the parser says so.
-    TemplateHash is 0 unless ``templates``. Rejects have Source, Error and Text: each orphan line, too.
+    TemplateHash is 0 unless ``templates`` (default: as the parser says). ``columns`` adds fields, by name and type,
+    as columns of their own, each read by its own regexes only if it is used. Rejects have Source, Error and Text: each orphan line, too.
     """
+    templates = parser.template_hashes if templates is None else templates
     rows = numbered(lines, parser.start_of_entry_regex)
     message = F.col("message")
     texts = assemble(rows).withColumn("_stamp", timestamp_of(F.col("first_line"), parser))
@@ -122,6 +163,7 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool = False) -> tu
         F.col("source").alias("Source"),
         (template_hash(message, parser) if templates else F.lit(0).cast("long")).alias("TemplateHash"),
         fields_of(message, parser.fields_regexes).alias("Fields"),
+        *[column_of(message, parser.fields_regexes, name, kind).alias(name) for name, kind in (columns or {}).items()],
     )
     rejects = orphans(rows).select(F.col("source").alias("Source"), F.lit("Orphan log line").alias("Error"), F.col("value").alias("Text"))
     if strict:

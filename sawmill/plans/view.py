@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sawmill.config import BASE_COLUMNS, Settings
 from sawmill.functions import fields as ff
+from sawmill.schema import ENTRY
 
 
 class Registry:
@@ -48,23 +49,36 @@ class Registry:
 def logs_view(entries: DataFrame, registry: Registry, promoted: tuple[str, ...] = ()) -> DataFrame:
     """``entries`` with a column for each registered field, and ``<field>__raw`` with its text in any slot.
 
-    Fields in ``promoted`` are columns of the files already (written at compaction); predicates on
-    them reach the scan. The others are higher-order functions over Fields, not read unless used.
+    Fields in ``promoted`` are columns of all of ``entries`` already; predicates on them reach the scan.
+    Other fields that ``entries`` has a column for may lack it in some files, where Fields has them. The
+    rest are higher-order functions over Fields, not read unless used.
     """
-    there = {c.lower() for c in entries.columns}
+    there = {c.lower(): c for c in entries.columns}
+    own = {there[n.lower()] for n in registry.types if n.lower() in there}
     columns = []
     for name, kind in registry.types.items():
-        if not (name in promoted and name.lower() in there):
-            columns.append(ff.value(name, kind).alias(name))
-        columns.append(ff.raw(name).alias(f"{name}__raw"))
-    return entries.select("*", *columns)
-
-
-def open_logs(spark: SparkSession, root: str, registry: Registry, promoted: tuple[str, ...] = ()) -> DataFrame:
-    """The view over both zones of a store, also registered as ``logs``."""
-    from sawmill.sources.store import read_entries
-
-    out = logs_view(read_entries(spark, root), registry, promoted)
+        value = ff.value(name, kind)
+        if name.lower() in there:
+            column = F.col(there[name.lower()])
+            value = column if name in promoted else F.coalesce(column, value)
+        columns += [value.alias(name), ff.raw(name).alias(f"{name}__raw")]
+    return entries.select(*[c for c in entries.columns if c not in own], *columns)
+
+
+def open_logs(spark: SparkSession, root: str, registry: Registry) -> DataFrame:
+    """The view over both zones of a store, also registered as ``logs``. The store knows which fields are columns."""
+    from sawmill.sources.store import DAY, promotions, read_entries, read_zones
+
+    every = promotions(spark, root)[1]
+    full = tuple(n for n, kind in registry.types.items() if every.get(n) == kind)
+    base = [*ENTRY.names, *DAY]
+    zones = []
+    for zone in read_zones(spark, root):
+        known = [c for c in zone.columns if c in base or registry.types.get(c)]
+        zones.append(logs_view(zone.select(*known), registry, full))
+    out = zones[0] if zones else logs_view(read_entries(spark, root), registry)
+    for more in zones[1:]:
+        out = out.unionByName(more)
     out.createOrReplaceTempView("logs")
     return out
 

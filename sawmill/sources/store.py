@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sawmill.schema import ENTRY
 
@@ -15,6 +16,11 @@ LANDING, OPTIMIZED, REJECTS = "landing", "optimized", "rejects"
 MANIFESTS = "_manifests"
 MARKER = "_COMPACTION_COMPLETE"
 DAY = ("year", "month", "day")
+#: Fields that are columns of the optimized zone, by name and type: of some files, and of all.
+PROMOTED = "promoted.json"
+#: Batches of streams that were published.
+BATCHES = "_batches"
+COLUMN_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "datetime": T.TimestampType()}
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -39,6 +45,67 @@ def write_rejects(rejects: DataFrame, root: str) -> None:
     rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or not there: written beside, then renamed."""
+    fs, make = filesystem(spark, path)
+    out = fs.create(make(f"{path}.part"), True)
+    out.write(text.encode())
+    out.close()
+    fs.delete(make(path), False)
+    if not fs.rename(make(f"{path}.part"), make(path)):
+        raise OSError(f"could not write {path}")
+
+
+def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int) -> None:
+    """Publish a stream's micro-batch, frames by zone, once, however often it is run.
+
+    Files are staged, get names of the stream and batch, and are moved to their zones; a mark says that
+    all are there. A batch that has its mark is left alone; of one without, what an earlier run had
+    moved is taken away first.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    fs, make = filesystem(spark, root)
+    mark, staging, name = f"{root}/{BATCHES}/{stream}/{batch}.done", f"{root}/_staging/{stream}-{batch}", f"s{stream}-{batch}-"
+    if fs.exists(make(mark)):
+        return
+    for zone, rows in parts.items():
+        dated = zone == LANDING
+        below = "year=*/month=*/day=*/" if dated else ""
+        for status in fs.globStatus(make(f"{root}/{zone}/{below}{name}*.parquet")) or []:
+            fs.delete(status.getPath(), False)
+        writer = (with_day(rows).write.partitionBy(*DAY) if dated else rows.write).mode("overwrite")
+        writer.parquet(f"{staging}/{zone}")
+        for status in fs.globStatus(make(f"{staging}/{zone}/{below}*.parquet")) or []:
+            source = status.getPath()
+            days = "/".join(source.toString().split("/")[-4:-1]) + "/" if dated else ""
+            fs.mkdirs(make(f"{root}/{zone}/{days}"))
+            if not fs.rename(source, make(f"{root}/{zone}/{days}{name}{source.getName()}")):
+                raise OSError(f"could not publish {source}")
+    write_text(spark, mark, "")
+    fs.delete(make(staging), True)
+
+
+def promotions(spark: SparkSession, root: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Fields that are columns of some, and those that are columns of all files of the optimized zone."""
+    fs, make = filesystem(spark, root)
+    if not fs.exists(make(f"{root}/{PROMOTED}")):
+        return {}, {}
+    data = json.loads("".join(r.value for r in spark.read.text(f"{root}/{PROMOTED}", wholetext=True).collect()))
+    return data["some"], data["all"]
+
+
+def note_promotions(spark: SparkSession, root: str, promote: dict[str, str]) -> None:
+    """Say, before files with these columns are published, which columns the optimized zone will have."""
+    fs, make = filesystem(spark, root)
+    some, every = promotions(spark, root)
+    for name, kind in promote.items():
+        if some.get(name, kind) != kind:
+            raise ValueError(f"field {name!r} was promoted as {some[name]} before, not {kind}")
+    first = not (fs.globStatus(make(f"{root}/{OPTIMIZED}/year=*/month=*/day=*/*.parquet")) or [])
+    every = dict(promote) if first else {k: v for k, v in every.items() if k in promote}
+    write_text(spark, f"{root}/{PROMOTED}", json.dumps({"some": some | promote, "all": every}))
+
+
 def manifests(spark: SparkSession, root: str) -> list[tuple[str, list[str], list[str]]]:
     """(path, replaced landing files, new files) of the compactions under way; files from the zone's name on."""
     fs, make = filesystem(spark, root)
@@ -63,26 +130,35 @@ def hidden_files(spark: SparkSession, root: str) -> set[str]:
 
 
 def read_zone(spark: SparkSession, root: str, zone: str, hidden: set[str] = frozenset()) -> DataFrame | None:
-    """A zone's entries; None if it has no file. Only *.parquet counts: others are unfinished."""
+    """A zone's entries; None if it has no file. Only *.parquet counts: others are unfinished. The optimized
+    zone has the promoted fields as columns, null in files that lack them."""
     path = f"{root}/{zone}"
     fs, make = filesystem(spark, path)
     found = fs.globStatus(make(f"{path}/year=*/month=*/day=*/*.parquet")) or []
+    extra = promotions(spark, root)[0] if zone == OPTIMIZED else {}
+    days = [T.StructField(d, T.IntegerType()) for d in DAY]
+    reader = spark.read.schema(T.StructType([*ENTRY, *(T.StructField(n, COLUMN_TYPES[k]) for n, k in extra.items()), *days]))
     if hidden:
         files = [s.getPath().toString() for s in found]
         files = [f for f in files if "/".join(f.split("/")[-5:]) not in hidden]
-        return spark.read.option("basePath", path).parquet(*files) if files else None
-    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path) if len(found) else None
+        return reader.option("basePath", path).parquet(*files) if files else None
+    return reader.option("pathGlobFilter", "*.parquet").parquet(path) if len(found) else None
+
+
+def read_zones(spark: SparkSession, root: str) -> list[DataFrame]:
+    """The zones that have entries, optimized first."""
+    hidden = hidden_files(spark, root)
+    return [z for z in (read_zone(spark, root, zone, hidden) for zone in (OPTIMIZED, LANDING)) if z is not None]
 
 
 def read_entries(spark: SparkSession, root: str) -> DataFrame:
     """Both zones as one table, year, month and day as integers; no files: no rows."""
-    hidden = hidden_files(spark, root)
-    zones = [z for z in (read_zone(spark, root, OPTIMIZED, hidden), read_zone(spark, root, LANDING, hidden)) if z is not None]
+    zones = read_zones(spark, root)
     if not zones:
         return spark.createDataFrame([], ENTRY).selectExpr("*", "0 year", "0 month", "0 day")
-    out = zones[0]
+    out = zones[0].select(*ENTRY.names, *DAY)
     for more in zones[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
+        out = out.unionByName(more)
     return out
 
 

@@ -61,18 +61,23 @@ class TailReader(DataSourceStreamReader):
         self.start = re.compile(options.get("startregex", options.get("startRegex", "")))
         self.flush = float(options.get("flushseconds", options.get("flushSeconds", "5")))
         self.limit = int(options.get("maxbytesperbatch", options.get("maxBytesPerBatch", str(256 << 20))))
+        self.earlier = json.loads(options.get("earlier", "[]"))  # (include, exclude) of plugins that come first
         self.last: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
+    @staticmethod
+    def _takes(name: str, local: str, include: list[str], exclude: list[str]) -> bool:
+        return any(fnmatch(name, p) or fnmatch(local, p) for p in include) and not any(fnmatch(name, p) or fnmatch(local, p) for p in exclude)
+
     def files(self) -> Iterator[tuple[str, str, os.stat_result]]:
         for folder, names, found in os.walk(self.root):
             names.sort()
             for name in sorted(found):
                 path = os.path.join(folder, name)
                 local = os.path.relpath(path, self.root)
-                if any(fnmatch(name, p) or fnmatch(local, p) for p in self.include) and not any(fnmatch(name, p) or fnmatch(local, p) for p in self.exclude):
+                if self._takes(name, local, self.include, self.exclude) and not any(self._takes(name, local, i, e) for i, e in self.earlier):
                     try:
                         stat = os.stat(path)
                     except OSError:
@@ -104,7 +109,7 @@ class TailReader(DataSourceStreamReader):
         if whole and time.time() - stat.st_mtime >= self.flush:
             return stat.st_size
         held = last_start(path, begin, end, self.start)
-        return held if held > begin else begin if held == begin else begin
+        return max(held, begin)
 
     def latestOffset(self) -> dict:
         now = {}

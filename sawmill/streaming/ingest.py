@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.config import ParserConfig, Plugin, Settings
-from sawmill.operators.extract import parse
+from sawmill.operators.extract import parse, parse_json
 from sawmill.sources.lines import read_lines, routed
-from sawmill.sources.store import write_entries, write_rejects
+from sawmill.sources.store import LANDING, REJECTS, write_batch, write_entries, write_rejects
 from sawmill.sources.tail import TailSource
 
 #: Parsers by plugin type: callables of (lines, plugin) that give (entries, rejects).
-PARSERS = {"regex": lambda lines, plugin: parse(lines, plugin.parser)}
+PARSERS = {"regex": lambda lines, plugin: parse(lines, plugin.parser), "json": lambda lines, plugin: parse_json(lines, plugin.parser)}
 
 
 def register_parser(kind: str, parser) -> None:
@@ -35,23 +38,39 @@ def ingest(spark: SparkSession, settings: Settings) -> None:
     write_rejects(rejects, settings.data_path)
 
 
-def ingest_stream(spark: SparkSession, folder: str, parser: ParserConfig, root: str, checkpoint: str, include: str = "*", exclude: str = "",
-                  flush_seconds: float = 5, available_now: bool = False, interval: str = "5 seconds") -> StreamingQuery:
+def ingest_stream(spark: SparkSession, folder: str, parser: ParserConfig | Plugin, root: str, checkpoint: str, include: str = "*", exclude: str = "",
+                  flush_seconds: float = 5, available_now: bool = False, interval: str = "5 seconds", max_bytes: int = 64 << 20,
+                  earlier: tuple[Plugin, ...] = ()) -> StreamingQuery:
     """Follow the files of ``folder`` into the landing zone.
 
     Each micro-batch holds whole entries, so it is parsed like any batch of lines; the checkpoint holds
-    the files' offsets, and a restart goes on there.
+    the files' offsets, and a restart goes on there. A batch that is run again is published once
+    (``write_batch``). Files that ``earlier`` plugins take are left to them.
     """
+    plugin = parser if isinstance(parser, Plugin) else Plugin(parser=parser)
     spark.dataSource.register(TailSource)
+    start = ".*" if plugin.type == "json" else plugin.parser.start_of_entry_regex or "^$"
     lines = (
-        spark.readStream.format("logtail").option("startRegex", parser.start_of_entry_regex or "^$").option("include", include)
-        .option("exclude", exclude).option("flushSeconds", str(flush_seconds)).load(folder)
+        spark.readStream.format("logtail").option("startRegex", start).option("include", include).option("exclude", exclude)
+        .option("flushSeconds", str(flush_seconds)).option("maxBytesPerBatch", str(max_bytes))
+        .option("earlier", json.dumps([[p.include, p.exclude] for p in earlier])).load(folder)
     )
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def write(batch: DataFrame, _: int) -> None:
-        entries, rejects = parse(batch, parser)
-        write_entries(entries, root)
-        write_rejects(rejects, root)
+    def write(batch: DataFrame, number: int) -> None:
+        entries, rejects = PARSERS[plugin.type](batch, plugin)
+        write_batch({LANDING: entries, REJECTS: rejects}, root, stream, number)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def ingest_streams(spark: SparkSession, settings: Settings, checkpoint: str, available_now: bool = False) -> list[StreamingQuery]:
+    """A stream for each plugin and log path, each with its own folder of the checkpoint."""
+    return [
+        ingest_stream(
+            spark, folder, plugin, settings.data_path, f"{checkpoint}/{plugin.name}-{k}-{i}", ",".join(plugin.include), ",".join(plugin.exclude),
+            settings.flush_seconds, available_now, max_bytes=settings.max_bytes_per_batch, earlier=settings.plugins[:k],
+        )
+        for k, plugin in enumerate(settings.plugins) for i, folder in enumerate(settings.log_paths)
+    ]

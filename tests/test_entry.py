@@ -7,4 +7,5 @@ def test_names_agree(spark):
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).columns == ["Timestamp", "Level", "user_id"]
+    rows = entry.entry(spark)
+    assert rows.columns == ["event_id", "Timestamp", "user_id"] and rows.count() == 10

@@ -15,9 +15,9 @@ from sawmill.operators.compact import candidates, compact, recover
 from sawmill.operators.extract import parse
 from sawmill.plans.view import Registry, between, logs_view, open_logs
 from sawmill.sources.lines import glob_regex, read_lines, reconcile, split_texts
-from sawmill.sources.store import file_stats, read_entries, read_files_between, read_nested, write_entries
+from sawmill.sources.store import LANDING, REJECTS, file_stats, promotions, write_batch, read_entries, read_files_between, read_nested, write_entries
 from sawmill.sources.tail import TailReader
-from sawmill.streaming.ingest import ingest, ingest_stream
+from sawmill.streaming.ingest import ingest, ingest_stream, ingest_streams
 
 CONFIG = ParserConfig(
     r"^\d{4}-\d{2}-\d{2}", r"^(\S+Z)", level_regex=r"\b(INFO|ERROR)\b",
@@ -57,7 +57,7 @@ def test_view_fields_and_raw(spark):
     logs = logs_view(some(spark), REGISTRY)
     rows = logs.select("http_status", "http_status__raw").collect()
     assert sum(r.http_status is None for r in rows) == 1 and {r.http_status__raw for r in rows} == {"200", "201", "OK", "203", "204", "205"}
-    assert logs.select(ff.render().alias("x")).first().x.endswith('note="a b"')
+    assert logs.select(ff.render().alias("x")).first().x.endswith("note='a b'")
     assert logs.where(ff.has("http_status", lambda f: f.LongValue > 203)).count() == 2
 
 
@@ -78,7 +78,7 @@ def test_store_stats_compaction(spark, tmp_path):
     assert sorted(map(str, read_entries(spark, root).select(*[c for c in some(spark).columns if c != "Fields"], "year", "month", "day").collect())) == before
     folder = f"{root}/optimized/year=2025/month=08/day=18"
     assert "_COMPACTION_COMPLETE" in os.listdir(folder) and len([f for f in os.listdir(folder) if f.endswith(".parquet")]) == 1
-    logs = open_logs(spark, root, REGISTRY, promoted=("http_status",))
+    logs = open_logs(spark, root, REGISTRY)
     assert logs.where("http_status = 205").count() == 3
     write_entries(some(spark), root)  # late entries make the day a candidate again
     assert len(candidates(spark, root, -1)) == 2 and read_entries(spark, root).count() == 24
@@ -183,3 +183,71 @@ def test_interrupted_compaction(spark, tmp_path, published, monkeypatch):
     assert read_entries(spark, root).count() == 12 and not list((tmp_path / "s" / "_manifests").glob("*.json"))
     compact(spark, root, -1)
     assert read_entries(spark, root).count() == 12
+
+
+def test_promoted_columns_in_mixed_stores(spark, tmp_path):
+    """Compacted days with a column, late entries without, and files of another promotion."""
+    root = str(tmp_path / "m")
+    write_entries(some(spark), root)
+    compact(spark, root, -1, promote={"http_status": "long"})
+    plan = open_logs(spark, root, REGISTRY).where("http_status > 203")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(http_status,203)" in plan
+    write_entries(some(spark), root)
+    logs = open_logs(spark, root, REGISTRY)
+    assert logs.where("http_status > 203").count() == 4 and logs.where("http_status is null").count() == 2
+    compact(spark, root, -1, promote={"note": "string"})
+    logs = open_logs(spark, root, REGISTRY)
+    assert promotions(spark, root) == ({"http_status": "long", "note": "string"}, {})
+    assert logs.where("http_status > 203").count() == 4 and logs.where("note = 'a b'").count() == 12
+    assert "http_status" not in read_entries(spark, root).columns
+    with pytest.raises(ValueError):
+        compact_again = some(spark)
+        write_entries(compact_again, root)
+        compact(spark, root, -1, promote={"note": "long"})
+
+
+def test_a_batch_is_published_once(spark, tmp_path, monkeypatch):
+    from sawmill.sources import store
+
+    root = str(tmp_path / "b")
+    reject = spark.createDataFrame([("s", "e", "t")], "Source string, Error string, Text string")
+    parts = {LANDING: some(spark), REJECTS: reject}
+    write_batch(parts, root, "q", 0)
+    write_batch(parts, root, "q", 0)  # as after a crash before its commit
+    write_batch(parts, root, "q", 1)
+    assert read_entries(spark, root).count() == 12 and spark.read.parquet(f"{root}/rejects").count() == 2
+    done = store.write_text
+    monkeypatch.setattr(store, "write_text", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        write_batch(parts, root, "q", 2)  # all files moved, no mark
+    monkeypatch.setattr(store, "write_text", done)
+    write_batch(parts, root, "q", 2)
+    assert read_entries(spark, root).count() == 18 and spark.read.parquet(f"{root}/rejects").count() == 3
+
+
+def test_streams_of_all_plugins_and_paths(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.log").write_text("2025-08-18T01:00:00Z INFO status=200\n more\n2025-08-18T02:00:00Z ERROR status=500\n")
+        (tmp_path / folder / "b.json").write_text('{"ts": "2025-08-18T03:00:00Z", "level": "warn", "msg": "m", "code": "7"}\nnot json\n')
+    rules = (FieldRule("code", "", "long"),)
+    plugins = (Plugin("json", "json", ("*.json",), parser=ParserConfig(fields_regexes=rules)), Plugin("text", include=("*",), parser=CONFIG))
+    settings = Settings((str(tmp_path / "x"), str(tmp_path / "y")), str(tmp_path / "d"), plugins, flush_seconds=0)
+    for query in ingest_streams(spark, settings, str(tmp_path / "c"), available_now=True):
+        query.awaitTermination()
+    logs = open_logs(spark, settings.data_path, Registry({"code": "long", "http_status": "long"}))
+    assert sorted((r.Level, r.code, r.http_status) for r in logs.where("Level <> 'WARN'").collect()) == [("ERROR", None, 500)] * 2 + [("INFO", None, 200)] * 2
+    assert [(r.code, r.Message) for r in logs.where("Level = 'WARN'").collect()] == [(7, "m")] * 2
+    assert spark.read.parquet(f"{settings.data_path}/rejects").count() == 2
+
+
+def test_approximate_queries_are_near(spark):
+    from sawmill.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    exact = {r.Level: r.users for r in QUERIES["distinct_users"](spark, sf).collect()}
+    for r in QUERIES["approx_users"](spark, sf).collect():
+        assert abs(r.users - exact[r.Level]) <= max(2, 0.15 * exact[r.Level])
+    n, sample = events.count(), QUERIES["sampled_logs"](spark, sf).collect()
+    assert 0.05 * n < len(sample) < 0.16 * n and {r.event_id for r in sample} <= {r.event_id for r in events.collect()}
