@@ -182,6 +182,13 @@ def wide_masks(n: int, words: int, radius: int, apart: float = APART, miss: floa
     return [tuple(sum(1 << (b % 64) for b in some if b // 64 == w) for w in range(words)) for some in drawn]
 
 
+def least_ids(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The least id of each row's local component: the same in most buckets that hold it, so that links repeat and few are left."""
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    return least[root]
+
+
 def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
     """(a, b) links of distinct fingerprints (fp: array of ``words`` longs, rep: long) that differ in at most ``radius`` bits.
 
@@ -230,9 +237,10 @@ def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1,
                 apart = root[x] != root[y]
                 root = local_roots(n, np.concatenate([np.arange(n), x[apart]]), np.concatenate([root, y[apart]]))
                 step = upto
-            out = np.flatnonzero(root != np.arange(n))
+            low = least_ids(rep, root)
+            out = np.flatnonzero(rep != low)
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], names=["a", "b"])
 
     return dealt.mapInArrow(lambda b: released(compare(b)), "a long, b long")
 
@@ -314,9 +322,10 @@ def verified(docs: DataFrame, members: DataFrame, similarity: float, shingle: in
                 if b - a > 1:
                     asks = np.flatnonzero(blk[a:b] == cols[1][a])  # of two blocks the first asks
                     root = jaccard_roots(values[at[a] : at[b]], sizes[a:b], asks, similarity)
-                    out = np.flatnonzero(root != np.arange(b - a))
+                    low = least_ids(ids[a:b], root)
+                    out = np.flatnonzero(ids[a:b] != low)
                     if len(out):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][out]), pa.array(ids[a:b][root[out]])], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][out]), pa.array(low[out])], names=["a", "b"])
 
     return rows.mapInArrow(lambda b: released(compare(b)), "a long, b long")
 
