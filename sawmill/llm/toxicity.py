@@ -35,6 +35,8 @@ BATCH = 256
 LOOKUP_ROWS, LOOKUP_BYTES = 4000, 6 << 20
 #: Bytes of a word that make its stem.
 STEM = 4
+#: Share of pairs of a toxic and a clean held example that the votes must order right; a model of less tells nothing.
+ORDERED = 0.6
 THRESHOLD = 0.3
 
 #: ASCII capitals to lower case, other ASCII but letters and digits to spaces; bytes of other characters stay.
@@ -232,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     several labels of a document: the largest). Terms are all of the examples', and their document
     frequencies are counted over all of ``docs``. A quarter of each class's examples stays out of the
     index to fit the calibration, weighted to the classes' share of all training labels. Of rows that
-    share a doc_id one gives the vector. With fewer than two examples of a class, or where votes don't rise
-    with the label, nothing can be told apart: the model is not usable, and every text gets the score 0.
+    share a doc_id one gives the vector. With fewer than two examples of a class, or where votes don't order
+    ORDERED of the held pairs right, nothing can be told apart: the model is not usable, and every text gets the score 0.
     """
     spark = small_batches(docs, LOOKUP_ROWS).sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
@@ -280,7 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
         number = np.cumsum(held) - 1
         votes = np.array([v for v, _, _ in model.votes_of(number[doc[mine]], at[mine], weight[mine], int(held.sum()))])
         model.slope, model.offset = _platt(votes, y[held], share)
-        model.usable = model.slope > 0
+        apart = votes[y[held] == 1][:, None] - votes[y[held] == 0][None, :]
+        model.usable = model.slope > 0 and float((apart > 0).mean() + (apart == 0).mean() / 2) >= ORDERED
     model.index.matrix = None
     give_back()
     return model
