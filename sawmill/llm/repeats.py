@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import materialize, ranges, released, small_batches
+from sawmill.llm.common import FEW_HOT, materialize, ranges, released, small_batches
 
 #: Windows of a segment, at most; also what is left for the count in a packed place.
 LONGEST, SHIFT = 256, 10
@@ -202,14 +202,16 @@ def wanted_pieces(found: DataFrame) -> DataFrame:
 
     Segments that aren't whole repeats, with weight 1, and for keys that have such a segment one
     representative of each whole repeat with weight 2: its windows repeat already, and others may equal
-    them. ``hot``: the key has over GROUP_ROWS of these, counted over all, more than one task should hold.
+    them. ``hot``: the key has over GROUP_ROWS of these, counted over all, more than one task should hold;
+    so few keys that their table is broadcast, the pieces aren't shuffled by key for them.
     """
     edges = found.where("not whole").select("rk", "at", "key", F.lit(1).alias("weight"))
     whole = found.where("whole").groupBy("key", "seg").agg(F.min(F.struct("rk", "at")).alias("one"))
     whole = whole.join(edges.select("key").distinct(), "key", "left_semi")
     pieces = edges.union(whole.select("one.rk", "one.at", "key", F.lit(2).alias("weight")))
     hot = pieces.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key", F.lit(True).alias("hot"))
-    pieces = pieces.join(hot, "key", "left").select("rk", F.struct("at", "key", F.coalesce("hot", F.lit(False)).alias("hot"), "weight").alias("p"))
+    few = found.count() // GROUP_ROWS <= FEW_HOT  # each piece is a row of ``found``, so more keys can't be hot
+    pieces = pieces.join(F.broadcast(hot) if few else hot, "key", "left").select("rk", F.struct("at", "key", F.coalesce("hot", F.lit(False)).alias("hot"), "weight").alias("p"))
     return pieces.groupBy("rk").agg(F.collect_set("p").alias("wanted"))  # a text's own segments; rows alike have the same
 
 
