@@ -51,6 +51,9 @@ MAPPINGS = (
     Mapping("question_answer", single=(("user", "question"), ("assistant", "answer"))),
     Mapping("instruction_output", single=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input_output", single=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("system_prompt_response", single=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("system_instruction_input_output", single=(
+        ("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("system_instruction_output", single=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
 )
 #: Names of roles in other layouts.
@@ -130,25 +133,48 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return df.select(id_col, _single(m, lambda p: F.col(p).cast("string")).alias("turns"))
 
 
-def json_fingerprint(variant: Column) -> Column:
-    """Fingerprint of one row's JSON value (a variant): its nested field paths, as for a schema."""
-    text = F.schema_of_variant(variant)
-    # OBJECT<a: ARRAY<OBJECT<x: STRING, y: STRING>>, b: STRING> -> a[].x, a[].y, b for the two depths the mappings have
-    inner = F.regexp_extract_all(text, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(1))
-    fields = F.regexp_extract_all(text, F.lit(r"(\w+): ARRAY<OBJECT<([^<>]*)>>"), F.lit(2))
-    nested = F.flatten(F.zip_with(inner, fields, lambda a, f: F.transform(
-        F.split(f, ", "), lambda x: F.concat(a, F.lit("[]."), F.split_part(x, F.lit(":"), F.lit(1))))))
-    flat = F.regexp_extract_all(F.regexp_replace(text, r"\w+: ARRAY<OBJECT<[^<>]*>>", ""), F.lit(r"(\w+): \w"), F.lit(1))
-    return F.sha2(F.array_join(F.array_sort(F.concat(nested, flat)), "\n"), 256)
+def json_paths(variant: Column) -> Column:
+    """The nested field paths of one row's JSON value (a variant) that mappings of whole rows know, as ``field_paths``
+    names them, in order; an array's name with ``[]`` where it has no objects. A row whose only such field is an empty
+    or null turn array has its mapping's paths."""
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.map_keys(F.try_variant_get(variant, "$", "map<string,variant>")), none)
+    known, found, blank = {p for m in MAPPINGS if not m.row for p in m.paths()}, [top], []
+
+    def inner(array: str):
+        """The paths that an element has; one that is no object is a path itself."""
+        def paths(x: Column) -> Column:
+            keys = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+            named = F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
+            return F.when(F.is_variant_null(x), none).otherwise(F.coalesce(named, F.array(F.lit(f"{array}[]"))))
+
+        return paths
+
+    for m in MAPPINGS:
+        if not m.turns:
+            continue
+        array = m.turns[0]
+        value = F.try_variant_get(variant, f"$.{array}", "variant")
+        items = F.try_variant_get(variant, f"$.{array}", "array<variant>")
+        is_blank = F.coalesce(F.is_variant_null(value) | (F.size(items) == 0), F.lit(False))
+        blank.append(F.when(is_blank, F.array(*map(F.lit, m.paths()))).otherwise(none))
+        found.append(F.coalesce(F.flatten(F.transform(items, inner(array))), none))
+        found.append(F.when(value.isNotNull() & ~is_blank & items.isNull(), F.array(F.lit(f"{array}[]"))).otherwise(none))
+        known.add(f"{array}[]")
+    paths = F.array_sort(F.array_intersect(F.concat(*found), F.array(*map(F.lit, sorted(known)))))
+    return F.when(F.size(paths) > 0, paths).otherwise(F.array_sort(F.concat(*blank)))
 
 
 def canonical_json(df: DataFrame, json_col: str = "json", id_col: str = "conv_id") -> DataFrame:
     """(id_col, layout, turns) of JSON texts of mixed layouts in one column, a mapping for each row.
 
-    Rows whose fingerprint no mapping has, invalid JSON and null: null layout and turns, kept for the caller to set aside.
+    The fingerprint of a row's known paths selects its mapping; other fields, in rows or turns, don't count.
+    Empty and null turn arrays: no turns. Rows whose fingerprint no mapping has (known fields that no mapping
+    takes together included, as one would be lost), invalid JSON and null: null layout and turns, kept for the
+    caller to set aside.
     """
     df = df.select(id_col, F.try_parse_json(json_col).alias("_v"))
-    df = df.select(id_col, "_v", json_fingerprint(F.col("_v")).alias("_f"))
+    df = df.select(id_col, "_v", F.sha2(F.array_join(json_paths(F.col("_v")), "\n"), 256).alias("_f"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in MAPPINGS:
         if m.row:
@@ -156,7 +182,7 @@ def canonical_json(df: DataFrame, json_col: str = "json", id_col: str = "conv_id
         if m.turns:
             array, role, text = m.turns
             given = F.try_variant_get("_v", f"$.{array}", f"array<struct<{role}:string,{text}:string>>")
-            found = F.transform(given, _reader(role, text))
+            found = F.coalesce(F.transform(given, _reader(role, text)), F.array().cast(TURNS))
         else:
             found = _single(m, lambda p: F.try_variant_get("_v", f"$.{p}", "string"))
         is_it = F.col("_f") == fingerprint(m.paths())

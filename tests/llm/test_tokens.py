@@ -154,3 +154,24 @@ def test_layouts(spark):
         assert [tuple(t) for t in chat.canonical_turns(typed).first().turns] == turns
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.createDataFrame([(1, 2)], "conv_id int, z int"))
+
+
+@pytest.mark.parametrize(("layout", "turns", "row"), [
+    ("messages", [("user", "a"), ("assistant", "")], {"id": 1, "messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "gpt", "content": None}]}),
+    ("messages", [("user", "b")], {"messages": [{"role": "user", "content": "b", "meta": {"k": [1]}}], "text": "t"}),
+    ("messages", [], {"messages": []}),
+    ("messages", [], {"messages": None}),
+    ("prompt_response", [("user", "p"), ("assistant", "r")], {"prompt": "p", "response": "r", "meta": {"x": {"y": 1}}}),
+    ("prompt_response", [("assistant", "r")], {"prompt": None, "response": "r"}),
+    ("instruction_output", [("user", "i"), ("assistant", "o")], {"instruction": "i", "output": "o", "messages": []}),
+    ("system_instruction_input_output", [("system", "s"), ("user", "i\n\nn"), ("assistant", "o")], {"instruction": "i", "input": "n", "output": "o", "system": "s"}),
+    (None, None, {"messages": [{"role": "user", "content": "b"}, 5]}),
+    (None, None, {"messages": "text", "prompt": "p", "response": "r"}),
+    (None, None, {"prompt": "p", "response": "r", "question": "q"}),
+    (None, None, {"turns": [], "messages": []}),
+    (None, None, [1]),
+])
+def test_json_layouts(spark, layout, turns, row):
+    df = spark.createDataFrame([(1, json.dumps(row))], "conv_id long, json string")
+    found = chat.canonical_json(df).first()
+    assert (found.layout, found.turns if found.turns is None else [tuple(t) for t in found.turns]) == (layout, turns)
