@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm import ann, bpe, chat, embedding_dedup, mixing, recompression, simhash, suffix_dedup, token_files, toxicity
+from sawmill.llm import ann, bpe, chat, embedding_dedup, mixing, pii, recompression, simhash, spelling, suffix_dedup, token_files, toxicity, vector_codes
 from sawmill.llm.common import shared_path, table
 
 
@@ -84,15 +84,28 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_mixing, op3_chat, op4_suffix_dedup, op5_ann, op6_token_files, op7_embedding_dedup, op8_simhash,
-        op9_toxicity, op10_recompression,
+        op9_toxicity, op10_recompression, op11_spelling, op12_pii, op13_vector_codes,
     )
 }
-#: Where SQL can say it. Not: 1 and 6 (merges by rank), 2 (raking to convergence), 4 (200-byte windows are too many for
-#: whole tables), 5 (approximate), 8 (no XXH64 with a seed), 9 (a fitted model). The tests hold those against plain code.
+#: Where SQL can say it. Not: 1 and 6 (merges by rank), 2 (raking to convergence), 4 (200-byte windows are too
+#: many for whole tables), 5 (approximate), 8 (no XXH64 with a seed),
+#: 9 (a fitted model), 11 (no CRC-32), 12 (context scores and checksums of the kinds beyond the base). The tests hold those against plain code.
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -115,4 +128,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_vector_codes": """WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, e[k * (len(e) // 16) + 1 : (k + 1) * (len(e) // 16)] AS x FROM v, range(16) r(k)),
+b0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS j, x FROM p QUALIFY j < 64),
+a0 AS MATERIALIZED (SELECT p.vec_id, p.k, p.x, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j := b.j)) AS m FROM p JOIN b0 b USING (k) GROUP BY ALL),
+m0 AS (SELECT k, m.j AS j, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS c FROM a0, range(1, 65) r(i) WHERE i <= len(x) GROUP BY ALL),
+b1 AS MATERIALIZED (SELECT k, j, coalesce(n.x, b.x) AS x FROM b0 b LEFT JOIN (SELECT k, j, list(c ORDER BY i) AS x FROM m0 GROUP BY k, j) n USING (k, j)),
+a1 AS MATERIALIZED (SELECT p.vec_id, p.k, p.x, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j := b.j)) AS m FROM p JOIN b1 b USING (k) GROUP BY ALL),
+m1 AS (SELECT k, m.j AS j, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS c FROM a1, range(1, 65) r(i) WHERE i <= len(x) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT k, j, coalesce(n.x, b.x) AS x FROM b1 b LEFT JOIN (SELECT k, j, list(c ORDER BY i) AS x FROM m1 GROUP BY k, j) n USING (k, j)),
+a2 AS MATERIALIZED (SELECT p.vec_id, p.k, p.x, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j := b.j)) AS m FROM p JOIN b2 b USING (k) GROUP BY ALL),
+c AS (SELECT vec_id, string_agg(lower(lpad(to_hex(m.j), 2, '0')), '' ORDER BY k) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h""",
 }
