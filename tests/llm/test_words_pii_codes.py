@@ -139,7 +139,7 @@ def test_pii_query_against_plain_code(docs, spark, tmp_path):
         expected[(i, n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(shown.encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found) == expected
     last = next(r for r in found if r.doc_id == 1040)
-    assert last.spans == "email:50:56,iban:15:42"
+    assert last.spans == "email:51:57,iban:15:42"
     redacted = {r.doc_id: r.text for r in pii.redact(given).where("doc_id is not null").collect()}
     assert redacted[1040] == "pay to account <iban> now, 日本 <email>" and redacted[0] is None
 
