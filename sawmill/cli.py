@@ -13,7 +13,7 @@ from sawmill.config import load_config, validate_config
 from sawmill.functions.fields import render
 from sawmill.operators.compact import compact
 from sawmill.plans.view import Registry, open_logs
-from sawmill.streaming.ingest import ingest, ingest_streams
+from sawmill.streaming.ingest import REGISTRY, ingest, ingest_streams, registered
 
 
 def session() -> SparkSession:
@@ -85,7 +85,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if got.command == "query":
         spark = session()
-        open_logs(spark, got.data, Registry.load(spark, got.db or f"{got.data}/registry"))
+        open_logs(spark, got.data, Registry.load(spark, got.db or f"{got.data}/{REGISTRY}"))
         if got.sql:
             return run_query(spark, got.sql, got.output)
         return max([run_query(spark, line, got.output) for line in sys.stdin if line.strip()], default=0)
@@ -95,12 +95,11 @@ def main(args: list[str] | None = None) -> int:
     if wrong or got.command == "validate":
         return int(bool(wrong))
     spark = session()
-    registry, conflicts = Registry.of(settings)
+    registry, _, conflicts = registered(spark, settings.plugins, settings.data_path)
     for name in conflicts:
-        print(f"field {name!r} has another type already; {registry.types[name]} stays", file=sys.stderr)
-    registry.save(spark, f"{settings.data_path}/registry")
+        print(f"field {name!r} has another type already; {registry.types[name]} stays, other values are kept as text", file=sys.stderr)
     if got.command == "ingest":
-        ingest(spark, settings)
+        print(", ".join(f"{n} {kind.lower()}" for kind, n in ingest(spark, settings).items()), file=sys.stderr)
         return 0
     ingest_streams(spark, settings, got.checkpoint)
     spark.streams.awaitAnyTermination()

@@ -54,6 +54,7 @@ class Settings:
     plugins: tuple[Plugin, ...] = ()
     flush_seconds: int = 5
     max_bytes_per_batch: int = 64 << 20
+    max_entries_per_batch: int = 0
 
 
 def _snake(name: str) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 
 def numbered(lines: DataFrame, start_regex: str | None) -> DataFrame:
-    """``lines`` (source, block, pos, value) with ``entry``, the number of entries begun in the source up to the line.
+    """``lines`` (source, block, pos, value) with ``entry``, the number of entries begun in the source up to the line, and
+    ``line``, its number in the source, from 1.
 
     A line begins an entry where the regex is found in it (null: only empty lines). The count runs
     within each block of a source; the blocks' totals, a row a block, are then summed over the source,
@@ -18,11 +19,12 @@ def numbered(lines: DataFrame, start_regex: str | None) -> DataFrame:
     lines = lines.withColumn("_begins", begins.cast("long"))
     local = Window.partitionBy("source", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = lines.groupBy("source", "block").agg(F.sum("_begins").alias("_n"))
-    totals = totals.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counted = lines.withColumn("_local", F.sum("_begins").over(local))
+    totals = lines.groupBy("source", "block").agg(F.sum("_begins").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    above = {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_above": F.coalesce(F.sum("_m").over(before), F.lit(0))}
+    totals = totals.select(F.col("source").alias("_s"), F.col("block").alias("_b"), *[c.alias(n) for n, c in above.items()])
+    counted = lines.withColumns({"_local": F.sum("_begins").over(local), "_row": F.count(F.lit(1)).over(local)})
     joined = counted.join(totals, (F.col("source") == F.col("_s")) & (F.col("block") == F.col("_b")))
-    return joined.select("source", "block", "pos", "value", (F.col("_before") + F.col("_local")).alias("entry"))
+    return joined.select("source", "block", "pos", "value", (F.col("_before") + F.col("_local")).alias("entry"), (F.col("_above") + F.col("_row")).alias("line"))
 
 
 def assemble(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import SparkSession
 
 from sawmill.functions import fields as ff
 from sawmill.schema import ENTRY
-from sawmill.sources.store import LANDING, MANIFESTS, MARKER, OPTIMIZED, filesystem, manifests, note_promotions, write_text
+from sawmill.sources.publish import filesystem, settle, write_text
+from sawmill.sources.state import MERGE_FILES
+from sawmill.sources.store import LANDING, MANIFESTS, MARKER, OPTIMIZED, file_table, index_replaced, manifests, note_promotions
 
 TARGET_BYTES = 128 << 20
 #: Days that are compacted at a time.
@@ -69,11 +71,12 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     for path in staged:
         if not fs.rename(path, make(f"{day}/{path.getName()}")):
             raise OSError(f"could not publish {path}")
-    _finish(spark, root, f"{root}/{MANIFESTS}/{run}.json", replaced, what.day)
+    _finish(spark, root, f"{root}/{MANIFESTS}/{run}.json", replaced, manifest["new"], what.day)
     fs.delete(make(staging), True)
 
 
-def _finish(spark: SparkSession, root: str, manifest: str, replaced: list[str], day: str) -> None:
+def _finish(spark: SparkSession, root: str, manifest: str, replaced: list[str], new: list[str], day: str) -> None:
+    index_replaced(spark, root, replaced, new)
     fs, make = filesystem(spark, root)
     for path in replaced:
         fs.delete(make(f"{root}/{path}"), False)
@@ -86,12 +89,12 @@ def recover(spark: SparkSession, root: str) -> None:
     fs, make = filesystem(spark, root)
     for path, replaced, new in manifests(spark, root):
         if all(fs.exists(make(f"{root}/{f}")) for f in new):
-            _finish(spark, root, path, replaced, "/".join(replaced[0].split("/")[1:4]))
+            _finish(spark, root, path, replaced, new, "/".join(replaced[0].split("/")[1:4]))
         else:
             for f in new:
                 fs.delete(make(f"{root}/{f}"), False)
             fs.delete(make(path), False)
-    fs.delete(make(f"{root}/_staging"), True)
+    settle(spark, root)
 
 
 def compact(spark: SparkSession, root: str, older_than_s: float = 3600.0, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> list[str]:
@@ -101,4 +104,5 @@ def compact(spark: SparkSession, root: str, older_than_s: float = 3600.0, promot
         note_promotions(spark, root, promote or {})
     with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
         list(pool.map(lambda what: compact_day(spark, root, what, promote, target_bytes, noted=True), days))
+    file_table(spark, root).vacuum(MERGE_FILES)
     return [what.day for what in days]

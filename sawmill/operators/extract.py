@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.config import FieldRule, ParserConfig, group_count
 from sawmill.operators.assemble import assemble, numbered, orphans
+from sawmill.operators.templates import json_template_of, template_of
 from sawmill.schema import ENTRY, FIELD, NO_TIMESTAMP, SLOTS, UNKNOWN_LEVEL
 
 #: What counts as a number before it is cast: integers with an optional sign, and decimals that may have
@@ -85,27 +84,6 @@ def fields_of(message: Column, rules: tuple[FieldRule, ...]) -> Column:
     return F.array_compact(F.array(*found)).cast(kind) if found else F.array().cast(kind)
 
 
-def template_of(message: Column, rules: tuple[FieldRule, ...]) -> Column:
-    """The message with each field's matched value replaced by its name in braces."""
-    def one(text: Column, rule: FieldRule) -> Column:
-        if group_count(rule.regex) != 1:
-            return F.regexp_replace(text, rule.regex, "{%s}" % rule.field_name)
-        head, tail = rule.regex.split("(", 1)[0], rule.regex.rsplit(")", 1)[1]
-        inner = rule.regex[len(head) + 1 : len(rule.regex) - len(tail) - 1]
-        return F.regexp_replace(text, f"({head})(?:{inner})({tail})", "$1{%s}$2" % rule.field_name)
-
-    return reduce(one, [r for r in rules if r.field_name and r.regex], message)
-
-
-def template_hash(message: Column, parser: ParserConfig) -> Column:
-    """A 64-bit hash of the template; timestamp and level texts are left out, so alike messages share it."""
-    text = message
-    for regex in (parser.timestamp_regex, parser.level_regex):
-        if regex:
-            text = F.regexp_replace(text, regex, "")
-    return F.xxhash64(template_of(text, parser.fields_regexes))
-
-
 def column_of(message: Column, rules: tuple[FieldRule, ...], name: str, kind: str) -> Column:
     """What ``value`` finds of a field in ``fields_of``, straight from the message: only this field's regexes run."""
     same = [r for r in rules if r.field_name == name and r.regex]
@@ -119,23 +97,32 @@ def parse_json(lines: DataFrame, parser: ParserConfig) -> tuple[DataFrame, DataF
     """(entries, rejects) of lines that are JSON objects, an entry each.
 
     Timestamp, level and message come from the first of JSON_KEYS that the object has (message: else the
-    line); a rule's regex names the key of its field (empty: the field's own name). Lines that are no
-    objects are rejects; entries without a timestamp are as in ``parse``.
+    line); a timestamp may be a number of seconds, milli- or microseconds since 1970. A rule's regex names the key of its field
+    (empty: the field's own name). ``message_regex`` and template hashes are as in ``parse``. Lines that are no
+    objects, or go on after one, are rejects; entries without a timestamp are as in ``parse``.
     """
-    has = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
-    rows = lines.where(F.trim("value") != "").withColumn("_o", F.when(F.trim("value").startswith("{"), has))
+    some = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>", {"mode": "PERMISSIVE"})  # in a list nothing can follow unseen
+    rows = lines.where(F.trim("value") != "").withColumn("_l", F.when(F.trim("value").rlike(r"(?s)^\{.*\}$"), some))
+    rows = rows.withColumn("_o", F.when(F.size("_l") == 1, F.get("_l", F.lit(0))))
     key = lambda what: F.coalesce(*[F.element_at("_o", F.lit(k)) for k in JSON_KEYS[what]])
     good = F.col("_o").isNotNull() & (F.size("_o") > 0)
     read = F.try_to_timestamp(key("timestamp"), F.lit(parser.timestamp_format)) if parser.timestamp_format else F.try_to_timestamp(key("timestamp"))
+    number = F.when(key("timestamp").rlike(r"^\d+(\.\d+)?$"), key("timestamp").try_cast("double"))
+    micros = F.when(number < 1e11, number * 1e6).when(number < 1e14, number * 1e3).when(number < 1e17, number).cast("long")
+    read = F.coalesce(F.timestamp_micros(micros), F.when(number.isNull(), read))
     dated = rows.where(good).withColumn("_stamp", read)
     strict = parser.on_missing_timestamp == "reject"
     found = [typed(r.field_name, F.element_at("_o", F.lit(r.regex or r.field_name)), r.type, r.format) for r in parser.fields_regexes if r.field_name]
     kind = ENTRY["Fields"].dataType.simpleString()
+    message = F.coalesce(key("message"), F.col("value"))
+    shown = message if parser.message_regex is None else F.coalesce(first_match(message, parser.message_regex), message)
     entries = (dated.where("_stamp is not null") if strict else dated).select(
         F.coalesce("_stamp", F.lit(NO_TIMESTAMP).cast("timestamp")).alias("Timestamp"), F.upper(F.coalesce(key("level"), F.lit(UNKNOWN_LEVEL))).alias("Level"),
-        F.coalesce(key("message"), F.col("value")).alias("Message"), F.col("source").alias("Source"), F.lit(0).cast("long").alias("TemplateHash"),
+        shown.alias("Message"), F.col("source").alias("Source"), F.lit(0).cast("long").alias("TemplateHash"),
         (F.array_compact(F.array(*found)) if found else F.array()).cast(kind).alias("Fields"),
     )
+    if parser.template_hashes:
+        entries = entries.withColumn("TemplateHash", F.xxhash64(json_template_of(F.col("Message"), F.col("Fields"))))
     rejects = rows.where(~F.coalesce(good, F.lit(False))).select(F.col("source").alias("Source"), F.lit("No JSON object").alias("Error"), F.col("value").alias("Text"))
     if strict:
         rejects = rejects.union(dated.where("_stamp is null").select("source", F.lit("No timestamp"), "value"))
@@ -147,7 +134,7 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool | None = None,
 
     Entries have the columns of an entry: level and fields come from the whole message, the timestamp
     from the first line; an unread timestamp gets the sentinel, or is a reject if the parser says so.
-    TemplateHash is 0 unless ``templates`` (default: as the parser says). ``columns`` adds fields, by name and type,
+    TemplateHash, a 64-bit hash of the template, is 0 unless ``templates`` (default: as the parser says). ``columns`` adds fields, by name and type,
     as columns of their own, each read by its own regexes only if it is used. Rejects have Source, Error and Text: each orphan line, too.
     """
     templates = parser.template_hashes if templates is None else templates
@@ -161,7 +148,7 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool | None = None,
         level_of(message, parser).alias("Level"),
         shown.alias("Message"),
         F.col("source").alias("Source"),
-        (template_hash(message, parser) if templates else F.lit(0).cast("long")).alias("TemplateHash"),
+        (F.xxhash64(template_of(shown, parser)) if templates else F.lit(0).cast("long")).alias("TemplateHash"),
         fields_of(message, parser.fields_regexes).alias("Fields"),
         *[column_of(message, parser.fields_regexes, name, kind).alias(name) for name, kind in (columns or {}).items()],
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sawmill.config import BASE_COLUMNS, Settings
 from sawmill.functions import fields as ff
 from sawmill.schema import ENTRY
+from sawmill.sources.publish import create_text, filesystem, read_text
 
 
 class Registry:
@@ -34,18 +35,49 @@ class Registry:
         conflicts = [r.field_name for p in settings.plugins for r in p.parser.fields_regexes if not out.register(r.field_name, r.type)]
         return out, conflicts
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(k, v) for k, v in self.types.items()]
-        spark.createDataFrame(rows, "FieldName string, FieldType string").coalesce(1).write.mode("overwrite").parquet(path)
+    def merge(self, types: dict[str, str]) -> list[str]:
+        """Register what is new; the fields whose type is another than the registered one."""
+        return [name for name, kind in types.items() if not self.register(name, kind)]
+
+    def save(self, spark: SparkSession, path: str) -> list[str]:
+        """Put these fields into the registry stored at ``path``, whose types stay, and take over all of it; the fields
+        whose types gave way.
+
+        Read, merge and write end only if no one else has written meanwhile: versions are numbered files, and of two
+        writers of one number the later begins anew.
+        """
+        fs, make = filesystem(spark, path)
+        own = self.types
+        while True:
+            last, stored = _stored_types(spark, path)
+            self.types = dict(stored)
+            conflicts = self.merge(own)
+            if self.types == stored:
+                return conflicts
+            fs.mkdirs(make(path))
+            if create_text(spark, f"{path}/{last + 1:010d}.json", json.dumps(self.types)):
+                return conflicts
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Registry:
-        return cls({r.FieldName: r.FieldType for r in spark.read.parquet(path).collect()})  # a row a field name
+        """The registry stored at ``path``; none there: no fields."""
+        return cls(_stored_types(spark, path)[1])
 
     def __repr__(self) -> str:
         return json.dumps(self.types)
 
 
+def _stored_types(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """(number of the last version, its types); 0 if there is none. Parquet files of a registry of old are read too."""
+    fs, make = filesystem(spark, path)
+    versions = sorted(s.getPath().toString() for s in fs.globStatus(make(f"{path}/[0-9]*.json")) or [])
+    if versions:
+        return int(versions[-1].rsplit("/", 1)[1].removesuffix(".json")), json.loads(read_text(spark, versions[-1]))
+    if fs.globStatus(make(f"{path}/*.parquet")):
+        return 0, {r.FieldName: r.FieldType for r in spark.read.parquet(path).collect()}  # a row a field name
+    return 0, {}
+
+
 def logs_view(entries: DataFrame, registry: Registry, promoted: tuple[str, ...] = ()) -> DataFrame:
     """``entries`` with a column for each registered field, and ``<field>__raw`` with its text in any slot.
 

@@ -7,6 +7,7 @@ entries of many lines.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from sawmill.operators.assemble import numbered
 from sawmill.operators.extract import parse, typed
 from sawmill.plans.view import Registry, logs_view
 from sawmill.sources.lines import reconcile, split_texts
+from sawmill.sources.store import LANDING, read_entries, write_entries, write_zones
 
 START = r"^\d{4}-\d{2}-\d{2}T"
 STAMP = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z)"
@@ -334,8 +336,6 @@ def sampled_logs(spark, sf_dir):
 # --- storage -------------------------------------------------------------------------------------
 
 def _stored(spark: SparkSession, sf_dir: str, root: str) -> None:
-    from sawmill.sources.store import write_entries
-
     entries, _ = parse(event_lines(spark, sf_dir), EVENTS)
     write_entries(entries, root)
 
@@ -385,8 +385,6 @@ def mixed_zones(spark, sf_dir):
     compaction that promotes another field."""
     from sawmill.operators.compact import compact
     from sawmill.plans.view import open_logs
-    from sawmill.sources.store import write_entries
-
     root = _temporary(spark)
     entries, _ = parse(event_lines(spark, sf_dir), EVENTS)
     third = F.pmod(F.xxhash64("Message"), F.lit(3))
@@ -399,40 +397,66 @@ def mixed_zones(spark, sf_dir):
 
 @query(BASE + 'SELECT event_id, user_id, "Level" FROM logs')
 def tail_available_now(spark, sf_dir):
-    """Followed as files by the streaming source until all is read, then queried."""
+    """Followed as files by the streaming source in batches far below the files' sizes until all is read, then queried."""
     from sawmill.plans.view import open_logs
     from sawmill.streaming.ingest import ingest_stream
 
     root = _temporary(spark)
     event_lines(spark, sf_dir).select("value").repartition(4).write.text(f"{root}/logs")
     folder = f"{root}/logs".removeprefix("file://")
-    ingest_stream(spark, folder, EVENTS, f"{root}/store", f"{root}/checkpoint", include="*.txt", flush_seconds=0, available_now=True).awaitTermination()
+    size = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".txt"))
+    ingest_stream(spark, folder, EVENTS, f"{root}/store", f"{root}/checkpoint", include="*.txt", flush_seconds=0, available_now=True, max_bytes=size // 6).awaitTermination()
     return open_logs(spark, f"{root}/store", REGISTRY).select("event_id", "user_id", "Level")
 
 
 @query("SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type")
 def template_lookup(spark, sf_dir):
-    """Entries joined with the table of their templates' texts by hash."""
-    from sawmill.operators.extract import template_of
+    """Entries joined by hash with the store's table of templates, to which each of two batches has added what it lacked."""
+    from sawmill.operators.templates import template_table
 
     config = ParserConfig(START, STAMP, level_regex=LEVELS, fields_regexes=EVENTS.fields_regexes[:4], template_hashes=True)
-    entries, _ = parse(event_lines(spark, sf_dir), config)
-    known = entries.groupBy("TemplateHash").agg(F.min(template_of(F.col("Message"), config.fields_regexes)).alias("template"))
-    kind = F.regexp_extract("template", r" (?:INFO|WARN|ERROR) (\w+) ", 1).alias("event_type")
-    joined = entries.select("TemplateHash", ff.value("event_id", "long").alias("event_id")).join(known.select("TemplateHash", kind), "TemplateHash")
+    root = _templated(spark, sf_dir, config)
+    kind = F.regexp_extract("template", r"^\{Timestamp\} \{Level\} (\w+) ", 1).alias("event_type")
+    known = template_table(spark, root).current().select("TemplateHash", kind)
+    joined = read_entries(spark, root).select("TemplateHash", ff.value("event_id", "long").alias("event_id")).join(F.broadcast(known), "TemplateHash")
     return joined.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
+def _templated(spark: SparkSession, sf_dir: str, config: ParserConfig) -> str:
+    """A store with the events of even and of odd days, a batch each, and their templates."""
+    from sawmill.config import Plugin
+    from sawmill.operators.templates import template_table, unknown_templates
+
+    root, plugin = _temporary(spark), Plugin(parser=config)
+    entries, _ = parse(event_lines(spark, sf_dir), config)
+    table = template_table(spark, root)
+    for k in (0, 1):
+        write_zones({LANDING: entries.where(F.dayofmonth("Timestamp") % 2 == k)}, root, more=lambda new: {table.folder: table.change(unknown_templates(new, plugin, root)).coalesce(1)})
+    return root
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END || ' ' || event_type ||
+  ' event_id=' || event_id || ' user_id=' || user_id AS message FROM events""")
+def template_rebuild(spark, sf_dir):
+    """Messages made from the stored template and the entry's fields, the pattern of every field at work."""
+    from sawmill.operators.templates import rebuilt, template_table
+
+    root = _templated(spark, sf_dir, ParserConfig(**{**EVENTS.__dict__, "template_hashes": True}))
+    joined = read_entries(spark, root).drop("Message").join(F.broadcast(template_table(spark, root).current()), "TemplateHash")
+    message = F.split_part(rebuilt(F.col("template")), F.lit(" response_time_ms="), F.lit(1))
+    return joined.select(ff.value("event_id", "long").alias("event_id"), message.alias("message"))
+
+
 @query(BASE + """SELECT event_id, "Level" FROM logs WHERE "Timestamp" >= (SELECT date_trunc('day', min("Timestamp")) + INTERVAL 1 DAY FROM logs) AND "Timestamp" < (SELECT date_trunc('day', min("Timestamp")) + INTERVAL 2 DAY FROM logs)""")
 def file_skip_range(spark, sf_dir):
-    """A day of the store, from the files whose statistics meet it."""
+    """A day of the store, from the files that the stored index names for it; no other one is opened."""
     from datetime import timedelta, timezone
 
-    from sawmill.sources.store import file_stats, read_files_between
+    from sawmill.sources.store import indexed_stats, read_files_between
 
     root = _temporary(spark)
     _stored(spark, sf_dir, root)
-    stats = file_stats(spark, root)
+    stats = indexed_stats(spark, root)
     first = stats.agg(F.date_format(F.to_utc_timestamp(F.min("min_timestamp"), F.current_timezone()), "yyyy-MM-dd").alias("d")).first().d
     from datetime import datetime
 

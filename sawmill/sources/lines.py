@@ -14,17 +14,15 @@ def read_lines(spark: SparkSession, paths: list[str] | str, include: str | None
     """(source, block, pos, value): the lines of all files below ``paths``, in order by (block, pos) in a source.
 
     ``block`` is where the file's split starts, so one large file is read and parsed by many tasks.
-    ``include`` is a glob of file names, ``exclude`` globs that paths must not match.
+    ``include`` is a glob that paths must match, ``exclude`` globs that they must not (``glob_regex``); other files are not opened.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if include:
-        reader = reader.option("pathGlobFilter", include)
-    lines = reader.text(paths)
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
     path = F.col("_metadata.file_path")
-    out = lines.select(path.alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+    if include:
+        lines = lines.where(path.rlike(glob_regex(include)))
     for pattern in exclude:
-        out = out.where(~F.col("source").rlike(glob_regex(pattern)))
-    return out
+        lines = lines.where(~path.rlike(glob_regex(pattern)))
+    return lines.select(path.alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
 
 
 def split_texts(df: DataFrame, source: str | Column, text: str | Column, block: str | Column | None = None) -> DataFrame:
@@ -36,14 +34,25 @@ def split_texts(df: DataFrame, source: str | Column, text: str | Column, block:
 
 
 def glob_regex(pattern: str) -> str:
-    """A regular expression for a glob over whole paths: ** over folders, * and ? within one."""
-    known = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
-    out, i = "", 0
+    """A regular expression, for a search in a path, that says what a glob takes: batch, stream and routing all use it.
+
+    A pattern names the last parts of a path, so one without a slash is of file names. ``**/`` stands for any
+    folders or none, ``*`` and ``?`` for characters of one part, ``[ab]`` and ``[!ab]`` for one character, ``{a,b}`` for either.
+    """
+    known = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}
+    out, i, either = "", 0, 0
     while i < len(pattern):
-        token = "**" if pattern.startswith("**", i) else pattern[i]
-        out += known.get(token, "\\" + token if token in r".\+()[]{}^$|" else token)
+        closing = pattern.find("]", i + 2) if pattern[i] == "[" else -1
+        if closing > 0:
+            token = pattern[i : closing + 1]
+            inner = token[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out += "[" + ("^/" + inner[1:] if inner.startswith("!") else inner.replace("^", "\\^")) + "]"
+        else:
+            token = next((t for t in ("**/", "**") if pattern.startswith(t, i)), pattern[i])
+            either += (token == "{") - (token == "}")
+            out += "|" if token == "," and either > 0 else known.get(token, "\\" + token if token in r"\.+()[]^$|" else token)
         i += len(token)
-    return f"(^|/){out}$"
+    return f"(?:^|/)(?:{out})$"
 
 
 def routed(lines: DataFrame, plugins: tuple[Plugin, ...]) -> list[tuple[Plugin, DataFrame]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sawmill.schema import ENTRY
+from sawmill.sources.publish import filesystem, publish, read_text, write_text
+from sawmill.sources.state import StateTable
 
 LANDING, OPTIMIZED, REJECTS = "landing", "optimized", "rejects"
 #: Compactions under way: which landing files give way to which new ones.
@@ -18,71 +22,77 @@ MARKER = "_COMPACTION_COMPLETE"
 DAY = ("year", "month", "day")
 #: Fields that are columns of the optimized zone, by name and type: of some files, and of all.
 PROMOTED = "promoted.json"
-#: Batches of streams that were published.
+#: The last batch of each stream that was published.
 BATCHES = "_batches"
 COLUMN_TYPES = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "datetime": T.TimestampType()}
 
 
-def filesystem(spark: SparkSession, path: str):
-    """(Hadoop file system, path class) for a path in any store that Spark reaches."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
 def with_day(entries: DataFrame) -> DataFrame:
     """``entries`` with year, month and day of their own timestamps, zero-padded as the folders have them."""
     stamp = F.col("Timestamp")
     return entries.withColumns({"year": F.date_format(stamp, "yyyy"), "month": F.date_format(stamp, "MM"), "day": F.date_format(stamp, "dd")})
 
 
-def write_entries(entries: DataFrame, root: str, zone: str = LANDING) -> None:
-    """Append entries to a zone. Spark's committer publishes whole files only; failed tasks are tried again."""
-    with_day(entries).write.mode("append").partitionBy(*DAY).parquet(f"{root}/{zone}")
+FILES = "path string, zone string, entries long, bytes long, min_timestamp timestamp, max_timestamp timestamp"
 
 
-def write_rejects(rejects: DataFrame, root: str) -> None:
-    rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
+def file_table(spark: SparkSession, root: str) -> StateTable:
+    """The stored index of the store's files: (path below the root, zone, entries, bytes, earliest and latest timestamp)."""
+    return StateTable(spark, root, "files", ("path",), FILES)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, complete or not there: written beside, then renamed."""
-    fs, make = filesystem(spark, path)
-    out = fs.create(make(f"{path}.part"), True)
-    out.write(text.encode())
-    out.close()
-    fs.delete(make(path), False)
-    if not fs.rename(make(f"{path}.part"), make(path)):
-        raise OSError(f"could not write {path}")
+def _measured(spark: SparkSession, root: str, files: list[tuple[str, str]]) -> DataFrame:
+    """Rows of the index for files that hold entries, (where they are now, where they will be): of their data only
+    the timestamps are read."""
+    names = spark.createDataFrame([(_key(now), to.removeprefix(f"{root}/")) for now, to in files], "_now string, path string")
+    here = F.regexp_replace("_metadata.file_path", "^[a-z]+:/*", "/")
+    found = spark.read.schema(ENTRY).parquet(*[now for now, _ in files]).groupBy(here.alias("_now"), F.col("_metadata.file_size").alias("bytes")).agg(
+        F.count(F.lit(1)).alias("entries"), F.min("Timestamp").alias("min_timestamp"), F.max("Timestamp").alias("max_timestamp")
+    )
+    return found.join(F.broadcast(names), "_now").withColumn("zone", F.split_part("path", F.lit("/"), F.lit(1))).select("path", "zone", "entries", "bytes", "min_timestamp", "max_timestamp")
+
 
+def _key(path: str) -> str:
+    """A path as ``_measured`` compares it: without its scheme."""
+    return re.sub("^[a-z]+:/*", "/", path)
 
-def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int) -> None:
-    """Publish a stream's micro-batch, frames by zone, once, however often it is run.
 
-    Files are staged, get names of the stream and batch, and are moved to their zones; a mark says that
-    all are there. A batch that has its mark is left alone; of one without, what an earlier run had
-    moved is taken away first.
-    """
+def write_zones(parts: dict[str, DataFrame], root: str, name: str | None = None, states: dict[str, DataFrame] | None = None,
+                more: Callable[[DataFrame], dict[str, DataFrame]] | None = None, note: tuple[str, str] | None = None) -> None:
+    """Publish frames by zone (entries by day) and changes of state tables by folder, all or none. The new files of
+    entries go into the index in the same step, and so does what ``more`` makes of the staged entries, by folder."""
     spark = next(iter(parts.values())).sparkSession
+    dated = {zone: with_day(rows) if zone in (LANDING, OPTIMIZED) else rows for zone, rows in parts.items()}
+    files = file_table(spark, root)
+
+    def indexed(staged: dict[str, list[tuple[str, str]]]) -> dict[str, DataFrame]:
+        new = [f for zone in (LANDING, OPTIMIZED) for f in staged.get(zone, [])]
+        if not new:
+            return {}
+        found = more(spark.read.schema(ENTRY).parquet(*[now for now, _ in new])) if more else {}
+        return {files.folder: files.change(_measured(spark, root, new)).coalesce(1), **found}
+
+    publish(spark, root, dated | (states or {}), name, DAY, also=indexed, note=note)
+
+
+def write_entries(entries: DataFrame, root: str, zone: str = LANDING) -> None:
+    """Append entries to a zone, published whole. Failed tasks are tried again."""
+    write_zones({zone: entries}, root)
+
+
+def write_rejects(rejects: DataFrame, root: str) -> None:
+    rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
+
+
+def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int, more: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> None:
+    """Publish a stream's micro-batch, frames by zone, once, however often it is run: the last batch of each stream that
+    was published is noted, and those up to it are left alone."""
+    spark = next(iter(parts.values())).sparkSession
+    mark = f"{root}/{BATCHES}/{stream}.json"
     fs, make = filesystem(spark, root)
-    mark, staging, name = f"{root}/{BATCHES}/{stream}/{batch}.done", f"{root}/_staging/{stream}-{batch}", f"s{stream}-{batch}-"
-    if fs.exists(make(mark)):
+    if fs.exists(make(mark)) and json.loads(read_text(spark, mark))["batch"] >= batch:
         return
-    for zone, rows in parts.items():
-        dated = zone == LANDING
-        below = "year=*/month=*/day=*/" if dated else ""
-        for status in fs.globStatus(make(f"{root}/{zone}/{below}{name}*.parquet")) or []:
-            fs.delete(status.getPath(), False)
-        writer = (with_day(rows).write.partitionBy(*DAY) if dated else rows.write).mode("overwrite")
-        writer.parquet(f"{staging}/{zone}")
-        for status in fs.globStatus(make(f"{staging}/{zone}/{below}*.parquet")) or []:
-            source = status.getPath()
-            days = "/".join(source.toString().split("/")[-4:-1]) + "/" if dated else ""
-            fs.mkdirs(make(f"{root}/{zone}/{days}"))
-            if not fs.rename(source, make(f"{root}/{zone}/{days}{name}{source.getName()}")):
-                raise OSError(f"could not publish {source}")
-    write_text(spark, mark, "")
-    fs.delete(make(staging), True)
+    write_zones(parts, root, f"{stream}-{batch}", more=more, note=(mark, json.dumps({"batch": batch})))
 
 
 def promotions(spark: SparkSession, root: str) -> tuple[dict[str, str], dict[str, str]]:
@@ -90,7 +100,7 @@ def promotions(spark: SparkSession, root: str) -> tuple[dict[str, str], dict[str
     fs, make = filesystem(spark, root)
     if not fs.exists(make(f"{root}/{PROMOTED}")):
         return {}, {}
-    data = json.loads("".join(r.value for r in spark.read.text(f"{root}/{PROMOTED}", wholetext=True).collect()))
+    data = json.loads(read_text(spark, f"{root}/{PROMOTED}"))
     return data["some"], data["all"]
 
 
@@ -112,8 +122,7 @@ def manifests(spark: SparkSession, root: str) -> list[tuple[str, list[str], list
     out = []
     for status in fs.globStatus(make(f"{root}/{MANIFESTS}/*.json")) or []:
         path = status.getPath().toString()
-        text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-        data = json.loads(text)
+        data = json.loads(read_text(spark, path))
         out.append((path, data["replaced"], data["new"]))
     return out
 
@@ -175,11 +184,47 @@ def file_stats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def indexed_stats(spark: SparkSession, root: str) -> DataFrame:
+    """``file_stats`` from the stored index, with bytes: no file of entries is opened. Files written by other means than this
+    module's are not in it until ``reindex``."""
+    return file_table(spark, root).current().withColumn("path", F.concat(F.lit(f"{root}/"), "path"))
+
+
+def index_replaced(spark: SparkSession, root: str, replaced: list[str], new: list[str]) -> None:
+    """One change of the index: files, named from their zone on, that gave way, and those that hold their entries now."""
+    files = file_table(spark, root)
+    gone = files.change(spark.createDataFrame([(p,) for p in replaced], "path string"), deleted=True)
+    publish(spark, root, {files.folder: files.change(_measured(spark, root, [(f"{root}/{p}", f"{root}/{p}") for p in new])).unionByName(gone).coalesce(1)})
+
+
+def reindex(spark: SparkSession, root: str) -> int:
+    """Bring the index up to date with the files that are there; how many were put in or taken out."""
+    files = file_table(spark, root)
+    hidden, (fs, make) = hidden_files(spark, root), filesystem(spark, root)
+    there = [s.getPath().toString() for zone in (LANDING, OPTIMIZED) for s in fs.globStatus(make(f"{root}/{zone}/year=*/month=*/day=*/*.parquet")) or []]
+    paths = ["/".join(f.split("/")[-5:]) for f in there]
+    listed = spark.createDataFrame([(p,) for p in paths if p not in hidden], "path string")
+    known = files.current().select("path")
+    new = [r.path for r in listed.join(known, "path", "left_anti").collect()]
+    gone = known.join(listed, "path", "left_anti")
+    n_gone = gone.count()
+    if n_gone:
+        files.delete(gone)
+    if new:
+        files.upsert(_measured(spark, root, [(f"{root}/{p}", f"{root}/{p}") for p in new]).coalesce(1))
+    return len(new) + n_gone
+
+
+def files_between(stats: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The rows of ``stats`` whose files can hold entries of the half-open time range."""
+    start, end = (t if t.tzinfo else t.replace(tzinfo=timezone.utc) for t in (start, end))
+    return stats.where((F.col("max_timestamp") >= F.lit(start)) & (F.col("min_timestamp") < F.lit(end)))
+
+
 def read_files_between(spark: SparkSession, stats: DataFrame, start: datetime, end: datetime, base: str | None = None) -> DataFrame:
     """Entries of the half-open time range from the files whose statistics meet it; no other file is opened."""
     start, end = (t if t.tzinfo else t.replace(tzinfo=timezone.utc) for t in (start, end))
-    meets = stats.where((F.col("max_timestamp") >= F.lit(start)) & (F.col("min_timestamp") < F.lit(end)))
-    paths = [r.path for r in meets.select("path").collect()]  # the files of the range
+    paths = [r.path for r in files_between(stats, start, end).select("path").collect()]  # the files of the range
     if not paths:
         return spark.createDataFrame([], ENTRY)
     reader = spark.read.option("basePath", base) if base else spark.read
