@@ -41,8 +41,14 @@ def candidates(spark: SparkSession, root: str, older_than_s: float = 3600.0) ->
     return [Candidate(day, sum(f[1] for f in files), tuple(f[0] for f in files)) for day, files in sorted(days.items()) if all(f[2] <= limit for f in files)]
 
 
-def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES, noted: bool = False) -> None:
-    """Rewrite one day: to a staging folder, then by renames to the optimized zone, then the landing files go.
+def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None = None, target_bytes: int = TARGET_BYTES) -> None:
+    """Rewrite one day: to a staging folder, then by renames to the optimized zone, then the landing files go."""
+    note_promotions(spark, root, promote or {})
+    _finish(spark, root, [_rewritten(spark, root, what, promote, target_bytes)])
+
+
+def _rewritten(spark: SparkSession, root: str, what: Candidate, promote: dict[str, str] | None, target_bytes: int) -> tuple[str, list[str], list[str]]:
+    """(manifest, landing files that gave way, new files) of a day, all published.
 
     The staged files are complete before anything is published, and a manifest names the old and the
     new files until the old ones are gone, so readers see every entry once and ``recover`` can end or
@@ -52,8 +58,6 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     fs, make = filesystem(spark, root)
     run = uuid.uuid4().hex
     staging, day = f"{root}/_staging/{run}", f"{root}/{OPTIMIZED}/{what.day}"
-    if not noted:
-        note_promotions(spark, root, promote or {})
     entries = spark.read.schema(ENTRY).parquet(*what.files)
     for name, kind in (promote or {}).items():
         entries = entries.withColumn(name, ff.value(name, kind))
@@ -71,17 +75,21 @@ def compact_day(spark: SparkSession, root: str, what: Candidate, promote: dict[s
     for path in staged:
         if not fs.rename(path, make(f"{day}/{path.getName()}")):
             raise OSError(f"could not publish {path}")
-    _finish(spark, root, f"{root}/{MANIFESTS}/{run}.json", replaced, manifest["new"], what.day)
     fs.delete(make(staging), True)
+    return f"{root}/{MANIFESTS}/{run}.json", replaced, manifest["new"]
 
 
-def _finish(spark: SparkSession, root: str, manifest: str, replaced: list[str], new: list[str], day: str) -> None:
-    index_replaced(spark, root, replaced, new)
+def _finish(spark: SparkSession, root: str, days: list[tuple[str, list[str], list[str]]]) -> None:
+    """The index changes for all days at once, then the replaced files go."""
+    if not days:
+        return
+    index_replaced(spark, root, [f for _, replaced, _ in days for f in replaced], [f for _, _, new in days for f in new])
     fs, make = filesystem(spark, root)
-    for path in replaced:
-        fs.delete(make(f"{root}/{path}"), False)
-    fs.create(make(f"{root}/{OPTIMIZED}/{day}/{MARKER}"), True).close()
-    fs.delete(make(manifest), False)
+    for manifest, replaced, new in days:
+        for path in replaced:
+            fs.delete(make(f"{root}/{path}"), False)
+        fs.create(make(f"{root}/{new[0].rsplit('/', 1)[0]}/{MARKER}"), True).close()
+        fs.delete(make(manifest), False)
 
 
 def recover(spark: SparkSession, root: str) -> None:
@@ -89,7 +97,7 @@ def recover(spark: SparkSession, root: str) -> None:
     fs, make = filesystem(spark, root)
     for path, replaced, new in manifests(spark, root):
         if all(fs.exists(make(f"{root}/{f}")) for f in new):
-            _finish(spark, root, path, replaced, new, "/".join(replaced[0].split("/")[1:4]))
+            _finish(spark, root, [(path, replaced, new)])
         else:
             for f in new:
                 fs.delete(make(f"{root}/{f}"), False)
@@ -103,6 +111,7 @@ def compact(spark: SparkSession, root: str, older_than_s: float = 3600.0, promot
     if days:
         note_promotions(spark, root, promote or {})
     with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
-        list(pool.map(lambda what: compact_day(spark, root, what, promote, target_bytes, noted=True), days))
+        done = list(pool.map(lambda what: _rewritten(spark, root, what, promote, target_bytes), days))
+    _finish(spark, root, done)
     file_table(spark, root).vacuum(MERGE_FILES)
     return [what.day for what in days]

@@ -160,11 +160,16 @@ def coercion_fallback(spark, sf_dir):
     return logs_view(entries, Registry({"event_id": "long", "code": "long"})).select("event_id", "code", ff.value("code", "string").alias("code_text"), "code__raw")
 
 
-@query("SELECT v AS given, l AS as_long, d AS as_double, t AS as_text FROM (VALUES ('12', 12, 12.0, NULL), ('+12', 12, 12.0, NULL), ('5.0', NULL, 5.0, '5.0'), ('1e3', NULL, 1000.0, '1e3'), ('99999999999999999999', NULL, 1e20, '99999999999999999999'), ('1,234', NULL, 1234.0, '1,234'), ('1d', NULL, NULL, '1d'), ('OK', NULL, NULL, 'OK')) x(v, l, d, t)")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id WHEN 1 THEN user_id ELSE NULL END AS as_long,
+  CASE event_id % 6 WHEN 2 THEN user_id + 0.5 WHEN 3 THEN user_id * 1000 WHEN 4 THEN user_id * 1000 + 234 WHEN 5 THEN NULL ELSE user_id END AS as_double,
+  CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN user_id || '.5' WHEN 3 THEN user_id || 'e3' WHEN 4 THEN user_id || ',234' ELSE user_id || 'd' END AS as_text
+  FROM events""")
 def coercion_edges(spark, sf_dir):
-    given = spark.createDataFrame([(v,) for v in ("12", "+12", "5.0", "1e3", "99999999999999999999", "1,234", "1d", "OK")], "given string")
-    as_long = typed("f", F.col("given"), "long")
-    return given.select("given", as_long["LongValue"].cast("int").alias("as_long"), typed("f", F.col("given"), "double")["DoubleValue"].alias("as_double"), as_long["StringValue"].alias("as_text"))
+    """What counts as a number, over the spellings that users' numbers are given."""
+    u = F.col("user_id").cast("string")
+    spelt = F.element_at(F.array(u, F.concat(F.lit("+"), u), F.concat(u, F.lit(".5")), F.concat(u, F.lit("e3")), F.concat(u, F.lit(",234")), F.concat(u, F.lit("d"))), (F.col("event_id") % 6 + 1).cast("int"))
+    as_long, as_double = typed("f", spelt, "long"), typed("f", spelt, "double")["DoubleValue"]
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", as_long["LongValue"].alias("as_long"), as_double.alias("as_double"), as_long["StringValue"].alias("as_text"))
 
 
 @query("SELECT 'docs-' || CAST(doc_id % 16 AS VARCHAR) AS source, count(*) AS n FROM documents GROUP BY 1")
@@ -463,3 +468,151 @@ def file_skip_range(spark, sf_dir):
     day = datetime.fromisoformat(first).replace(tzinfo=timezone.utc)
     found = read_files_between(spark, stats, day + timedelta(days=1), day + timedelta(days=2))
     return found.select(ff.value("event_id", "long").alias("event_id"), "Level")
+
+
+# --- ingestion that keeps state --------------------------------------------------------------------
+
+def _log_files(spark: SparkSession, sf_dir: str, root: str, extra: Column | None = None) -> str:
+    """The events as a folder of four log files."""
+    event_lines(spark, sf_dir, extra).repartition(4, "source").sortWithinPartitions("source", "block", "pos").select("value").write.text(f"{root}/logs")
+    return f"{root}/logs"
+
+
+@query(BASE + 'SELECT event_id, "Level", user_id FROM logs')
+def ingest_twice(spark, sf_dir):
+    """Batch ingestion run again reads nothing again: each entry once."""
+    from sawmill.config import Plugin, Settings
+    from sawmill.plans.view import open_logs
+    from sawmill.streaming.ingest import ingest
+
+    root = _temporary(spark)
+    settings = Settings((_log_files(spark, sf_dir, root),), f"{root}/store", (Plugin(include=("*.txt",), parser=EVENTS),))
+    for _ in range(2):
+        ingest(spark, settings)
+    return open_logs(spark, settings.data_path, REGISTRY).select("event_id", "Level", "user_id")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS code, CASE WHEN user_id % 3 = 0 THEN 'x' ELSE '' END || user_id AS code__raw,
+  (SELECT count(*) FROM events WHERE user_id % 3 = 0) AS conflicts FROM events""")
+def registry_conflict(spark, sf_dir):
+    """Two configurations in turn, the second with another type for a field: the first type stays, values that don't read as
+    it are kept as text and told as rejects."""
+    from sawmill.config import Plugin, Settings
+    from sawmill.plans.view import open_logs
+    from sawmill.streaming.ingest import REGISTRY as STORED
+    from sawmill.streaming.ingest import ingest
+
+    def coded(text: Column) -> Column:
+        return F.concat(text, F.lit(" code="), F.when(F.col("user_id") % 3 == 0, "x").otherwise(""), F.col("user_id").cast("string"))
+
+    root = _temporary(spark)
+    folder, first = _log_files(spark, sf_dir, root, coded), EVENTS.fields_regexes[0]
+    none = ParserConfig(START, STAMP, fields_regexes=(FieldRule("code", r" code=(\S+)", "long"),))
+    both = ParserConfig(START, STAMP, level_regex=LEVELS, fields_regexes=(first, FieldRule("code", r" code=(\S+)", "string")))
+    ingest(spark, Settings((folder,), f"{root}/store", (Plugin(include=("*.none",), parser=none),)))
+    spark.read.text(folder).write.text(f"{root}/more")
+    ingest(spark, Settings((f"{root}/more",), f"{root}/store", (Plugin(include=("*.txt",), parser=both),)))
+    logs = open_logs(spark, f"{root}/store", Registry.load(spark, f"{root}/store/{STORED}"))
+    told = spark.read.parquet(f"{root}/store/rejects").where("Error = 'Field code is long'").agg(F.count(F.lit(1)).alias("conflicts"))
+    return logs.select("event_id", "code", "code__raw").join(F.broadcast(told))
+
+
+@query(BASE + 'SELECT event_id, "Timestamp", "Level", event_type, user_id FROM logs')
+def plugin_parser(spark, sf_dir):
+    """The events by a parser of a user's own, a line at a time with what it remembers."""
+    from sawmill.streaming.plugins import parse_whole
+
+    entries, _ = parse_whole(event_lines(spark, sf_dir), _line_parser())
+    out = logs_view(entries, REGISTRY).withColumn("Timestamp", utc(F.col("Timestamp")))
+    return out.select("event_id", "Timestamp", "Level", "event_type", "user_id")
+
+
+def _line_parser():
+    """A parser as users write them: an entry is closed by the next one's first line."""
+    from datetime import datetime
+
+    from sawmill.streaming.plugins import Entry, LogParser
+
+    class KeyValues(LogParser):
+        held = ""
+
+        def parse(self, lines):
+            for line in lines:
+                if line[:2] == "20":
+                    yield from self.flush()
+                    self.held = line
+                elif self.held:
+                    self.held += "\n" + line
+
+        def flush(self):
+            if self.held:
+                stamp, level, kind, *pairs = self.held.split()
+                fields = {k: float(v) if k == "response_time_ms" else int(v) for k, v in (p.split("=") for p in pairs)}
+                yield Entry(self.held, datetime.fromisoformat(stamp), level, {**fields, "event_type": kind})
+            self.held = ""
+
+        def state(self):
+            return self.held
+
+        def restore(self, state):
+            self.held = state
+
+    return KeyValues
+
+
+# --- joins by time ---------------------------------------------------------------------------------
+
+@query(BASE + """SELECT w.event_id, max(e.event_id) AS last_error FROM (SELECT event_id, "Timestamp" AS t FROM logs WHERE "Level" = 'WARN') w
+  ASOF LEFT JOIN (SELECT "Timestamp" AS t, max(event_id) AS event_id FROM logs WHERE "Level" = 'ERROR' GROUP BY 1) e ON w.t >= e.t GROUP BY w.event_id""")
+def asof_any_error(spark, sf_dir):
+    """For each warning the last error of any user: all rows are one group, cut by time."""
+    from sawmill.operators.asof import asof_join
+
+    logs = events(spark, sf_dir).select("event_id", "Timestamp", "Level")
+    errors = logs.where("Level = 'ERROR'").groupBy("Timestamp").agg(F.max("event_id").alias("last_error"))
+    return asof_join(logs.where("Level = 'WARN'"), errors, on="Timestamp", by=[], slices=16).select("event_id", "last_error")
+
+
+@query(BASE + """SELECT a.event_id, count(b.event_id) AS near FROM (SELECT * FROM logs WHERE "Level" = 'ERROR') a
+  LEFT JOIN (SELECT * FROM logs WHERE "Level" = 'WARN') b ON b."Timestamp" <= a."Timestamp" + to_minutes(CAST(10 + a.user_id AS INTEGER)) AND b."Timestamp" + INTERVAL 5 MINUTES >= a."Timestamp" GROUP BY a.event_id""")
+def interval_overlaps(spark, sf_dir):
+    """For each error the warnings whose five minutes meet its own stretch of time, whoever the user: a join without an equal key."""
+    from sawmill.operators.ranges import overlap_counts
+
+    logs = events(spark, sf_dir).select("event_id", "user_id", "Timestamp", "Level")
+    errors = logs.where("Level = 'ERROR'").withColumn("until", F.col("Timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10) + F.col("user_id").cast("int")))
+    warnings = logs.where("Level = 'WARN'").select("Timestamp", (F.col("Timestamp") + F.expr("INTERVAL 5 MINUTES")).alias("until"))
+    return overlap_counts(errors, warnings, "event_id", ("Timestamp", "until"), ("Timestamp", "until"), 3_600_000_000).withColumnRenamed("n", "near")
+
+
+# --- sketches and search ---------------------------------------------------------------------------
+
+@query(BASE + """SELECT "Level", count(*) AS n, true AS users_right, true AS median_right FROM logs GROUP BY ALL""")
+def sketch_merge(spark, sf_dir):
+    """Sketches by day and level, of two parts of the entries, merged by level: counts, and estimates held against exact values."""
+    from sawmill.operators import sketches as sk
+
+    root = _temporary(spark)
+    entries, _ = parse(event_lines(spark, sf_dir), EVENTS)
+    fields = {"user_id": "long", "response_time_ms": "double"}
+    for k in (0, 1):
+        sk.sketch_part(entries.where(F.dayofmonth("Timestamp") % 2 == k), fields, root, f"part-{k}")
+    found = sk.merged(sk.sketch_table(spark, root).current(), "Level", "field")
+    users = found.where("field = 'user_id'").select("Level", "n", sk.approx_distinct().alias("users"))
+    times = found.where("field = 'response_time_ms'").select("Level", sk.approx_quantile(0.48).alias("low"), sk.approx_quantile(0.52).alias("high"))
+    exact = entries.groupBy("Level").agg(F.count_distinct(ff.value("user_id", "long")).alias("true_users"), F.percentile(ff.value("response_time_ms", "double"), 0.5).alias("median"))
+    return users.join(times, "Level").join(exact, "Level").select(
+        "Level", "n", (F.abs(F.col("users") - F.col("true_users")) <= 0.08 * F.col("true_users")).alias("users_right"), F.col("median").between(F.col("low"), F.col("high")).alias("median_right"),
+    )
+
+
+@query(BASE + "SELECT event_id, user_id FROM logs WHERE user_id = 42")
+def search_words(spark, sf_dir):
+    """Entries with a text anywhere, as LIKE finds them, from the files whose filters may hold its words."""
+    from sawmill.operators.search import index_words, search
+
+    root = _temporary(spark)
+    _stored(spark, sf_dir, root)
+    index_words(spark, root)
+    found = search(spark, root, " user_id=42 ", words=False)
+    return found.select(ff.value("event_id", "long").alias("event_id"), ff.value("user_id", "long").alias("user_id"))

@@ -68,8 +68,9 @@ def staged_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 def publish(spark: SparkSession, root: str, parts: dict[str, DataFrame], name: str | None = None, dated: tuple[str, ...] = (), removed: list[str] = (),
-            also: Callable[[dict[str, list[tuple[str, str]]]], dict[str, DataFrame]] | None = None, note: tuple[str, str] | None = None) -> dict[str, list[str]]:
-    """Write frames to folders of the store, all or none, and remove files that they stand for; the new files by folder.
+            also: Callable[[dict[str, list[tuple[str, str]]]], dict[str, DataFrame]] | None = None, note: tuple[str, str] | None = None) -> bool:
+    """Write frames to folders of the store, all or none, and remove files that they stand for; whether this run wrote them,
+    not an earlier one.
 
     Files are staged, then a list of what goes where is written: from there on the step counts as done, and ``settle``
     ends it if this run doesn't. A folder may be named more than once, with ``#`` and a word after it. ``dated`` columns make
@@ -81,7 +82,8 @@ def publish(spark: SparkSession, root: str, parts: dict[str, DataFrame], name: s
     staging = f"{root}/{STAGING}/{name}"
     fs, make = filesystem(spark, root)
     if fs.exists(make(f"{staging}/{MOVES}")):
-        return _end(spark, root, staging)
+        _end(spark, root, staging)
+        return False
     fs.delete(make(staging), True)
     files: dict[str, list[tuple[str, str]]] = {}
 
@@ -99,10 +101,11 @@ def publish(spark: SparkSession, root: str, parts: dict[str, DataFrame], name: s
     if also is not None:
         stage(also(files))
     write_text(spark, f"{staging}/{MOVES}", json.dumps({"files": files, "removed": list(removed), "note": note}))
-    return _end(spark, root, staging)
+    _end(spark, root, staging)
+    return True
 
 
-def _end(spark: SparkSession, root: str, staging: str) -> dict[str, list[str]]:
+def _end(spark: SparkSession, root: str, staging: str) -> None:
     fs, make = filesystem(spark, root)
     steps = json.loads(read_text(spark, f"{staging}/{MOVES}"))
     moves = [m for some in steps["files"].values() for m in some]
@@ -124,7 +127,6 @@ def _end(spark: SparkSession, root: str, staging: str) -> dict[str, list[str]]:
     if steps["note"]:
         write_text(spark, *steps["note"])
     fs.delete(make(staging), True)
-    return {folder: [to for _, to in some] for folder, some in steps["files"].items()}
 
 
 def settle(spark: SparkSession, root: str, prefix: str = "") -> int:

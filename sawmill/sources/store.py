@@ -58,11 +58,12 @@ def _key(path: str) -> str:
 
 
 def write_zones(parts: dict[str, DataFrame], root: str, name: str | None = None, states: dict[str, DataFrame] | None = None,
-                more: Callable[[DataFrame], dict[str, DataFrame]] | None = None, note: tuple[str, str] | None = None) -> None:
+                more: Callable[[DataFrame], dict[str, DataFrame]] | None = None, note: tuple[str, str] | None = None) -> bool:
     """Publish frames by zone (entries by day) and changes of state tables by folder, all or none. The new files of
     entries go into the index in the same step, and so does what ``more`` makes of the staged entries, by folder."""
     spark = next(iter(parts.values())).sparkSession
-    dated = {zone: with_day(rows) if zone in (LANDING, OPTIMIZED) else rows for zone, rows in parts.items()}
+    by_day = lambda rows: with_day(rows).hint("rebalance", *DAY)  # few files a day, and many tasks for a large day
+    dated = {zone: by_day(rows) if zone in (LANDING, OPTIMIZED) else rows for zone, rows in parts.items()}
     files = file_table(spark, root)
 
     def indexed(staged: dict[str, list[tuple[str, str]]]) -> dict[str, DataFrame]:
@@ -72,7 +73,7 @@ def write_zones(parts: dict[str, DataFrame], root: str, name: str | None = None,
         found = more(spark.read.schema(ENTRY).parquet(*[now for now, _ in new])) if more else {}
         return {files.folder: files.change(_measured(spark, root, new)).coalesce(1), **found}
 
-    publish(spark, root, dated | (states or {}), name, DAY, also=indexed, note=note)
+    return publish(spark, root, dated | (states or {}), name, DAY, also=indexed, note=note)
 
 
 def write_entries(entries: DataFrame, root: str, zone: str = LANDING) -> None:
@@ -84,15 +85,16 @@ def write_rejects(rejects: DataFrame, root: str) -> None:
     rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
 
 
-def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int, more: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> None:
-    """Publish a stream's micro-batch, frames by zone, once, however often it is run: the last batch of each stream that
-    was published is noted, and those up to it are left alone."""
+def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int, more: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
+                states: dict[str, DataFrame] | None = None) -> bool:
+    """Publish a stream's micro-batch, frames by zone and changes of state tables, once, however often it is run: the last batch
+    of each stream that was published is noted, and those up to it are left alone. Whether this run wrote it."""
     spark = next(iter(parts.values())).sparkSession
     mark = f"{root}/{BATCHES}/{stream}.json"
     fs, make = filesystem(spark, root)
     if fs.exists(make(mark)) and json.loads(read_text(spark, mark))["batch"] >= batch:
-        return
-    write_zones(parts, root, f"{stream}-{batch}", more=more, note=(mark, json.dumps({"batch": batch})))
+        return False
+    return write_zones(parts, root, f"{stream}-{batch}", states, more, note=(mark, json.dumps({"batch": batch})))
 
 
 def promotions(spark: SparkSession, root: str) -> tuple[dict[str, str], dict[str, str]]:

@@ -24,6 +24,8 @@ from sawmill.sources.publish import filesystem, read_text, settle
 from sawmill.sources.state import StateTable
 from sawmill.sources.store import LANDING, REJECTS, write_batch, write_zones
 from sawmill.sources.tail import TailSource
+from sawmill.streaming import plugins
+from sawmill.streaming.metrics import Metrics, Observed
 
 #: Parsers by plugin type: callables of (lines, plugin) that give (entries, rejects).
 PARSERS = {"regex": lambda lines, plugin: parse(lines, plugin.parser), "json": lambda lines, plugin: parse_json(lines, plugin.parser)}
@@ -37,9 +39,16 @@ def register_parser(kind: str, parser) -> None:
     PARSERS[kind] = parser
 
 
-def parse_routed(lines: DataFrame, plugins: tuple[Plugin, ...]) -> tuple[DataFrame, DataFrame]:
+def parsed(lines: DataFrame, plugin: Plugin) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects) of sources that end with these lines, by the plugin's parser."""
+    if plugin.type in plugins.FACTORIES:
+        return plugins.parse_whole(lines, plugins.FACTORIES[plugin.type])
+    return PARSERS[plugin.type](lines, plugin)
+
+
+def parse_routed(lines: DataFrame, routes: tuple[Plugin, ...]) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of lines of many sources, each by its plugin's parser; lines of no plugin are left out."""
-    parts = [PARSERS[plugin.type](mine, plugin) for plugin, mine in routed(lines, plugins)]
+    parts = [parsed(mine, plugin) for plugin, mine in routed(lines, routes)]
     entries, rejects = parts[0]
     for e, r in parts[1:]:
         entries, rejects = entries.unionByName(e), rejects.unionByName(r)
@@ -49,11 +58,11 @@ def parse_routed(lines: DataFrame, plugins: tuple[Plugin, ...]) -> tuple[DataFra
 # --- the registry ----------------------------------------------------------------------------------
 
 
-def registered(spark: SparkSession, plugins: tuple[Plugin, ...], root: str) -> tuple[Registry, tuple[Plugin, ...], list[str]]:
+def registered(spark: SparkSession, routes: tuple[Plugin, ...], root: str) -> tuple[Registry, tuple[Plugin, ...], list[str]]:
     """(the store's registry with the plugins' fields in it, the plugins with the registered types, the fields whose
     types gave way). The first type of a field stays, whichever run or plugin brought it."""
     registry, conflicts = Registry(), []
-    for plugin in plugins:
+    for plugin in routes:
         conflicts += registry.merge({r.field_name: r.type for r in plugin.parser.fields_regexes if r.field_name})
     conflicts += registry.save(spark, f"{root}/{REGISTRY}")
 
@@ -61,7 +70,7 @@ def registered(spark: SparkSession, plugins: tuple[Plugin, ...], root: str) -> t
         rules = tuple(replace(r, type=registry.types.get(r.field_name, r.type)) for r in plugin.parser.fields_regexes)
         return replace(plugin, parser=replace(plugin.parser, fields_regexes=rules))
 
-    return registry, tuple(canonical(p) for p in plugins), sorted(set(conflicts))
+    return registry, tuple(canonical(p) for p in routes), sorted(set(conflicts))
 
 
 def conflict_rejects(entries: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -74,15 +83,15 @@ def conflict_rejects(entries: DataFrame, types: dict[str, str]) -> DataFrame:
     return bad.select("Source", error.alias("Error"), F.col("_f.StringValue").alias("Text"))
 
 
-def _follow_ups(plugins: tuple[Plugin, ...], types: dict[str, str], root: str) -> Callable[[DataFrame], dict[str, DataFrame]]:
+def _follow_ups(routes: tuple[Plugin, ...], types: dict[str, str], root: str) -> Callable[[DataFrame], dict[str, DataFrame]]:
     """What is published with staged entries: rejects for values that conflict with the registry, and new templates."""
     def more(entries: DataFrame) -> dict[str, DataFrame]:
         out = {f"{REJECTS}#conflicts": conflict_rejects(entries, types).coalesce(1)}
-        hashed = [p for p in plugins if p.parser.template_hashes]
+        hashed = [p for p in routes if p.parser.template_hashes]
         if hashed:
             table = template_table(entries.sparkSession, root)
             named = entries.withColumnRenamed("Source", "source")
-            parts = [unknown_templates(mine, plugin, root) for plugin, mine in routed(named, plugins) if plugin in hashed]
+            parts = [unknown_templates(mine, plugin, root) for plugin, mine in routed(named, routes) if plugin in hashed]
             out[table.folder] = table.change(reduce(DataFrame.unionByName, parts)).coalesce(1)
         return out
 
@@ -106,7 +115,7 @@ def _listed(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
 
 
 def _starts(plugin: Plugin) -> str | None:
-    return "" if plugin.type == "json" else plugin.parser.start_of_entry_regex
+    return "" if plugin.type == "json" or plugin.type in plugins.FACTORIES else plugin.parser.start_of_entry_regex
 
 
 def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
@@ -121,7 +130,7 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
     """
     root = settings.data_path
     settle(spark, root, "ingest-")
-    registry, plugins, _ = registered(spark, settings.plugins, root)
+    registry, routes, _ = registered(spark, settings.plugins, root)
     table = tracked_files(spark, root)
     known = table.current()
     listed = _listed(spark, settings.log_paths)
@@ -134,9 +143,9 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
         before = F.broadcast(known.join(spark.createDataFrame([(p,) for p in paths], "path string"), "path"))  # the changed files' rows
         sizes = spark.createDataFrame([(r.path, r.bytes, r.now) for r in changes if r.change != "Removed"], "path string, bytes long, mtime timestamp")
         entries, rejects, seen = [], [], []
-        for plugin, mine in routed(lines, plugins):
+        for plugin, mine in routed(lines, routes):
             fresh, late, read = _unread(mine, _starts(plugin), before, sizes)
-            e, r = PARSERS[plugin.type](fresh, plugin)
+            e, r = parsed(fresh, plugin)
             entries.append(e)
             rejects += [r, late]
             seen.append(read)
@@ -150,7 +159,7 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
         states.append(table.change(spark.createDataFrame(gone, "path string"), deleted=True))
     if states:
         state = {table.folder: reduce(DataFrame.unionByName, states).coalesce(1)}
-        write_zones(parts or {table.folder: state.pop(table.folder)}, root, f"ingest-{uuid.uuid4().hex}", state, _follow_ups(plugins, registry.types, root))
+        write_zones(parts or {table.folder: state.pop(table.folder)}, root, f"ingest-{uuid.uuid4().hex}", state, _follow_ups(routes, registry.types, root))
         table.vacuum(64)
     return counts
 
@@ -226,19 +235,20 @@ class Drain:
 
 def ingest_stream(spark: SparkSession, folder: str, parser: ParserConfig | Plugin, root: str, checkpoint: str, include: str = "*", exclude: str = "",
                   flush_seconds: float = 5, available_now: bool = False, interval: str = "5 seconds", max_bytes: int = 64 << 20, max_entries: int = 0,
-                  earlier: tuple[Plugin, ...] = (), on_lost: str = "fail") -> StreamingQuery | Drain:
+                  earlier: tuple[Plugin, ...] = (), on_lost: str = "fail", metrics: Metrics | None = None) -> StreamingQuery | Drain:
     """Follow the files of ``folder`` into the landing zone.
 
     Each micro-batch holds whole entries, at most ``max_bytes`` and ``max_entries`` (0: any number) of them, so it is parsed like
     any batch of lines; the checkpoint holds the files' offsets, and a restart goes on there. ``available_now`` reads
     all that is there when it begins, in as many batches as that takes. A batch that is run again is published
     once (``write_batch``), under the id in the checkpoint's metadata. Fields get the types of the store's registry.
-    Files that ``earlier`` plugins take are left to them.
+    Files that ``earlier`` plugins take are left to them. ``metrics`` gets the counts of what is written. Of plugins with
+    parsers of users (``register_plugin``) the store keeps what these remember, and changes it with each batch.
     """
     plugin = parser if isinstance(parser, Plugin) else Plugin(parser=parser)
     registry, (plugin,), _ = registered(spark, (plugin,), root)
     spark.dataSource.register(TailSource)
-    start = "" if plugin.type == "json" else plugin.parser.start_of_entry_regex
+    start = _starts(plugin)
     lines = (
         spark.readStream.format("logtail").option("startRegex", "^$" if start is None else start).option("include", include).option("exclude", exclude)
         .option("flushSeconds", str(flush_seconds)).option("maxBytesPerBatch", str(max_bytes)).option("maxEntriesPerBatch", str(max_entries))
@@ -250,8 +260,18 @@ def ingest_stream(spark: SparkSession, folder: str, parser: ParserConfig | Plugi
     more = _follow_ups((replace(plugin, include=("*",), exclude=()),), registry.types, root)
 
     def write(batch: DataFrame, number: int) -> None:
-        entries, rejects = PARSERS[plugin.type](batch, plugin)
-        write_batch({LANDING: entries, REJECTS: rejects}, root, stream_id(spark, checkpoint), number, more)
+        stream, states, kept = stream_id(spark, checkpoint), None, None
+        if plugin.type in plugins.FACTORIES:
+            entries, rejects, states, kept = plugins.parse_batch(batch, plugins.FACTORIES[plugin.type], root, stream)
+        else:
+            entries, rejects = PARSERS[plugin.type](batch, plugin)
+        counted = Observed(entries, rejects) if metrics else None
+        if counted:
+            entries, rejects = counted.entries, counted.rejects
+        if write_batch({LANDING: entries, REJECTS: rejects}, root, stream, number, more, states) and counted:
+            counted.told(metrics)
+        if kept is not None:
+            kept.unpersist()
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     query = writer.trigger(processingTime="0 seconds" if available_now else interval).start()
