@@ -14,7 +14,7 @@ from sawmill.llm.common import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Sweeps over the dimensions between two looks at the gaps, and looks at most.
-SWEEPS, LOOKS = 5, 8
+SWEEPS, LOOKS = 5, 12
 #: Largest relative gap between a fitted marginal and its target at which the raking ends.
 GAP = 1e-6
 #: Exponent that turns the shares found into target shares where no targets are given: below 1 lifts the small.
@@ -23,8 +23,11 @@ TEMPER = 0.7
 TOPIC_SHARES = {"prose": 0.8, "legal": 0.08, "contact": 0.06, "tabular": 0.03, "loud": 0.03}
 #: Relative gap beyond which targets count as missed, and a warning says so.
 MISSED = 1e-2
-#: Share of all tokens that the sample should hold.
+#: Share of all tokens that the sample should hold, at most: it is smaller where the targets ask for more of a category
+#: than there is.
 BUDGET = 0.6
+#: By how much a sample that can't meet the targets is made smaller, and how often.
+LESS, TRIES = 0.9, 40
 #: Cells (combinations of categories) up to which their table is fitted on the driver and broadcast to the
 #: documents; a larger one is fitted by joins and windows. Both ways give the same.
 FEW_CELLS = 50_000
@@ -93,27 +96,60 @@ def rake(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None =
     return now.select(*cells.columns[: cells.columns.index("tokens") + 1], "fitted")
 
 
-def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``cells`` (tokens, fitted) with ``probability`` = min(1, scale * fitted / tokens), the scale such that
-    the expected sample holds ``budget`` of all tokens (or all that goals above zero allow)."""
-    total = cells.agg(F.sum("tokens").alias("n")).first().n or 0
-    ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
-    scale = budget
-    for _ in range(50):
-        full = scale * ratio >= 1
-        row = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("fitted"))).alias("rest")).first()
-        if not row.rest:
-            break
-        new = max(scale, (budget * total - (row.full or 0)) / row.rest)
-        if new <= scale * (1 + 1e-12):
+def calibrate(cells: DataFrame, budget: float = BUDGET, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """``cells`` (dimensions, tokens, fitted) with ``probability``, at most 1, whose expected sample keeps the marginals of
+    ``fitted``: of ``budget`` of all tokens, or of the largest part of them for which that can be.
+
+    No cell can give more tokens than it has. Where scaling asks for more, it gives all and the others of its
+    categories more instead: raking with upper bounds. What no raking reaches within MISSED is tried with a smaller part.
+    """
+    given = cells.columns
+    for d in dimensions:
+        every = Window.partitionBy(d)
+        cells = cells.withColumns({f"_goal_{d}": F.sum("fitted").over(every), f"_found_{d}": F.sum("tokens").over(every).cast("double")})
+    cells = materialize(cells, "cells")
+    rooms = [F.min(F.when(F.col(f"_goal_{d}") > 0, F.col(f"_found_{d}") / F.col(f"_goal_{d}"))) for d in dimensions]
+    part = min(budget, 1.0, *(r for r in cells.agg(*rooms).first() if r is not None))
+    for _ in range(TRIES):
+        now = cells.withColumn("_x", F.least(F.col("tokens").cast("double"), part * F.col("fitted")))
+        for _ in range(LOOKS):
+            for _ in range(SWEEPS):
+                for d in dimensions:
+                    now = _bounded(now, d, part)
+            now = materialize(now, "cells")
+            gap = max(_gap(now, d, part) for d in dimensions)
+            if gap <= GAP:
+                break
+        if gap <= MISSED:
             break
-        scale = new
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * ratio))
+        part *= LESS
+    _told(gap, part, budget)
+    ratio = F.when(F.col("tokens") > 0, F.col("_x") / F.col("tokens")).otherwise(0.0)
+    return now.select(*given, F.least(F.lit(1.0), ratio).alias("probability"))
+
 
+def _bounded(cells: DataFrame, d: str, part: float) -> DataFrame:
+    """``_x`` scaled to a dimension's goals, full cells left full where more is asked."""
+    full, every = F.col("_x") >= F.col("tokens"), Window.partitionBy(d)
+    cells = cells.withColumns({"_s": F.sum("_x").over(every), "_f": F.sum(F.when(full, F.col("_x")).otherwise(0.0)).over(every)})
+    goal = part * F.col(f"_goal_{d}")
+    down = F.when(F.col("_s") > 0, goal / F.col("_s")).otherwise(0.0)
+    up = F.when(F.col("_s") > F.col("_f"), (goal - F.col("_f")) / (F.col("_s") - F.col("_f"))).otherwise(1.0)
+    new = F.when(down <= 1, F.col("_x") * down).when(full, F.col("_x")).otherwise(F.col("_x") * up)
+    return cells.withColumn("_x", F.least(F.col("tokens").cast("double"), new)).drop("_s", "_f")
 
-def _told(gap: float) -> None:
+
+def _gap(cells: DataFrame, d: str, part: float) -> float:
+    sums = cells.groupBy(d).agg(F.sum("_x").alias("s"), (part * F.first(f"_goal_{d}")).alias("g"))
+    return sums.agg(F.max(F.abs(F.col("s") - F.col("g")) / F.greatest("g", F.lit(1.0)))).first()[0] or 0.0
+
+
+def _told(gap: float, part: float | None = None, budget: float | None = None) -> None:
+    """Warn of the sample's marginals off their targets, and of a sample smaller than asked for."""
     if gap > MISSED:
-        warnings.warn(f"raking ended with a marginal {gap:.1%} off its target: no weights of these cells meet them all", stacklevel=3)
+        warnings.warn(f"mixing ended with a marginal {gap:.1%} off its target: no weights of these cells meet them all", stacklevel=3)
+    if part is not None and part < budget * (1 - 1e-9):
+        warnings.warn(f"the targets hold for a sample of {part:.1%} of all tokens, not {budget:.1%}", stacklevel=3)
 
 
 def _rake_few(rows: list[Row], targets: dict[str, dict[str | None, float]] | None, dimensions: tuple[str, ...]) -> np.ndarray:
@@ -140,17 +176,33 @@ def _rake_few(rows: list[Row], targets: dict[str, dict[str | None, float]] | Non
     return fitted
 
 
-def _calibrate_few(tokens: np.ndarray, fitted: np.ndarray, budget: float) -> np.ndarray:
-    ratio = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
-    scale = budget
-    for _ in range(50):
-        full = scale * ratio >= 1
-        rest = fitted[~full].sum()
-        new = max(scale, (budget * tokens.sum() - tokens[full].sum()) / rest) if rest > 0 else scale
-        if new <= scale * (1 + 1e-12):
+def _calibrate_few(rows: list[Row], fitted: np.ndarray, budget: float, dimensions: tuple[str, ...]) -> np.ndarray:
+    """``calibrate`` for a bounded number of cells."""
+    tokens, sides = np.array([r.tokens for r in rows], float), []
+    for d in dimensions:
+        place = {n: i for i, n in enumerate(dict.fromkeys(r[d] for r in rows))}
+        own = np.array([place[r[d]] for r in rows])
+        sides.append((own, np.bincount(own, fitted), np.bincount(own, tokens)))
+    room = min([1.0, *((found[goal > 0] / goal[goal > 0]).min() for _, goal, found in sides if (goal > 0).any())])
+    part = min(budget, room)
+    for _ in range(TRIES):
+        x, gap = np.minimum(tokens, part * fitted), 0.0
+        for _ in range(LOOKS):
+            for _ in range(SWEEPS):
+                for own, goal, _ in sides:
+                    full = x >= tokens
+                    s, f, g = np.bincount(own, x, len(goal)), np.bincount(own, np.where(full, x, 0.0), len(goal)), part * goal
+                    down = np.divide(g, s, out=np.zeros_like(g), where=s > 0)[own]
+                    up = np.divide(g - f, s - f, out=np.ones_like(g), where=s > f)[own]
+                    x = np.minimum(tokens, np.where(down <= 1, x * down, np.where(full, x, x * up)))
+            gap = max((np.abs(np.bincount(own, x, len(goal)) - part * goal) / np.maximum(part * goal, 1)).max() for own, goal, _ in sides)
+            if gap <= GAP:
+                break
+        if gap <= MISSED:
             break
-        scale = new
-    return np.minimum(1.0, scale * ratio)
+        part *= LESS
+    _told(gap, part, budget)
+    return np.minimum(1.0, np.divide(x, tokens, out=np.zeros_like(x), where=tokens > 0))
 
 
 def chances(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, budget: float = BUDGET) -> tuple[DataFrame, bool]:
@@ -163,7 +215,7 @@ def chances(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None
     if not rows:
         return cells.sparkSession.createDataFrame([], schema), True
     fitted = _rake_few(rows, targets, DIMENSIONS)
-    found = _calibrate_few(np.array([r.tokens for r in rows], float), fitted, budget)
+    found = _calibrate_few(rows, fitted, budget, DIMENSIONS)
     return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), float(p)) for r, p in zip(rows, found)], schema), True
 
 

@@ -35,7 +35,7 @@ BATCH = 256
 LOOKUP_ROWS, LOOKUP_BYTES = 4000, 6 << 20
 #: Bytes of a word that make its stem.
 STEM = 4
-#: Share of pairs of a toxic and a clean held example that the votes must order right; a model of less tells nothing.
+#: Share of pairs of a toxic and a clean example that the others' votes must order right; a model of less tells nothing.
 ORDERED = 0.6
 THRESHOLD = 0.3
 
@@ -198,8 +198,12 @@ class Model:
         entries = unit_vectors(*self.vocabulary.count(texts), self.idf)
         return self.votes_of(*entries, len(texts))
 
-    def votes_of(self, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        for refs, cosines in self.index.nearest(doc, at, weight, n, NEIGHBOURS):
+    def votes_of(self, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, own: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Votes of texts given as entries; ``own``: each one's place among the examples, which then doesn't vote."""
+        for i, (refs, cosines) in enumerate(self.index.nearest(doc, at, weight, n, NEIGHBOURS + (own is not None))):
+            if own is not None:
+                other = refs != own[i]
+                refs, cosines = refs[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
             yield float((cosines * self.index.labels[refs]).sum() / (cosines.sum() + AGAINST)), refs, cosines
 
     def probability(self, vote: float) -> float:
@@ -232,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
 
     Examples are at most EXAMPLES rows of each class, those of least hash of doc_id (a bounded sample;
     several labels of a document: the largest). Terms are all of the examples', and their document
-    frequencies are counted over all of ``docs``. A quarter of each class's examples stays out of the
-    index to fit the calibration, weighted to the classes' share of all training labels. Of rows that
-    share a doc_id one gives the vector. With fewer than two examples of a class, or where votes don't order
-    ORDERED of the held pairs right, nothing can be told apart: the model is not usable, and every text gets the score 0.
+    frequencies are counted over all of ``docs``. The calibration is fitted on the votes that each example gets from
+    all others, weighted to the classes' share of all training labels, so that none is lost to it. Of rows that
+    share a doc_id one gives the vector. With fewer than two examples of a class, or where these votes don't order
+    ORDERED of the pairs of either class right, nothing can be told apart: the model is not usable, and every text gets the score 0.
     """
     spark = small_batches(docs, LOOKUP_ROWS).sparkSession
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
@@ -272,39 +276,32 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     doc, at, weight = unit_vectors(doc[order], at[order], n[order], idf)
     del got, order, n
     y = np.array([r.y for r in used], np.int64)
-    number, held = {r.doc_id: i for i, r in enumerate(used)}, np.zeros(len(used), bool)
-    for k in (0, 1):  # by hash
-        held[[number[i] for i in [r.doc_id for r in picked if r.y == k and r.doc_id in there][::4]]] = True
-    index = build_index([(r.doc_id, r.y) for r in used], ~held, doc, at, weight, len(vocabulary))
+    index, place = build_index([(r.doc_id, r.y) for r in used], doc, at, weight, len(vocabulary))
     model = Model(vocabulary, idf, index, 0.0, 0.0, min(int((y == k).sum()) for k in (0, 1)) > 1)
     if model.usable:
-        mine = held[doc]
-        number = np.cumsum(held) - 1
-        votes = np.array([v for v, _, _ in model.votes_of(number[doc[mine]], at[mine], weight[mine], int(held.sum()))])
-        model.slope, model.offset = _platt(votes, y[held], share)
-        apart = votes[y[held] == 1][:, None] - votes[y[held] == 0][None, :]
+        votes = np.array([v for v, _, _ in model.votes_of(doc, at, weight, len(used), place)])
+        model.slope, model.offset = _platt(votes, y, share)
+        apart = votes[y == 1][:, None] - votes[y == 0][None, :]
         model.usable = model.slope > 0 and float((apart > 0).mean() + (apart == 0).mean() / 2) >= ORDERED
     model.index.matrix = None
     give_back()
     return model
 
 
-def build_index(examples: list[tuple[int, int]], use: np.ndarray, doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n_terms: int) -> Index:
-    """Postings of the examples (id, label) in ``use`` from entries (example in order, term, weight); examples with the
-    same strongest term are put side by side, so that blocks' largest weights are close to their own."""
+def build_index(examples: list[tuple[int, int]], doc: np.ndarray, at: np.ndarray, weight: np.ndarray, n_terms: int) -> tuple[Index, np.ndarray]:
+    """Postings of the examples (id, label) from entries (example in order, term, weight), and each example's place; examples
+    with the same strongest term are put side by side, so that blocks' largest weights are close to their own."""
     strongest = np.full(len(examples), n_terms)
     order = np.lexsort((-weight, doc))
     first = runs(doc[order])[:-1]
     strongest[doc[order[first]]] = at[order[first]]
-    chosen = np.flatnonzero(use)
-    chosen = chosen[np.argsort(strongest[chosen], kind="stable")]
-    place = np.full(len(examples), -1)
+    chosen = np.argsort(strongest, kind="stable")
+    place = np.empty(len(examples), np.int64)
     place[chosen] = np.arange(len(chosen))
-    mine = place[doc] >= 0
-    ref, at, weight = place[doc[mine]], at[mine], weight[mine]
+    ref = place[doc]
     order = np.lexsort((ref, at))
     starts = np.searchsorted(at[order], np.arange(n_terms + 1))
-    return Index(np.array([examples[i][1] for i in chosen], float), [examples[i][0] for i in chosen], starts, ref[order], weight[order])
+    return Index(np.array([examples[i][1] for i in chosen], float), [examples[i][0] for i in chosen], starts, ref[order], weight[order]), place
 
 
 def _idf(docs: DataFrame, sent: Broadcast) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Substring dedup against counting every window, toxicity, mixing and the pipeline."""
 
 import collections
+import zlib
 
 import numpy as np
 import pytest
@@ -151,8 +152,8 @@ def test_toxicity_index_is_exact(heavy, monkeypatch):
         return doc, at, w / np.sqrt(np.bincount(doc, w * w))[doc]
 
     doc, at, w = entries(500, 9)
-    use = rng.random(500) < 0.8
-    index = toxicity.build_index([(i, int(i % 3 == 0)) for i in range(500)], use, doc, at, w, 60)
+    index, place = toxicity.build_index([(i, int(i % 3 == 0)) for i in range(500)], doc, at, w, 60)
+    assert [index.ids[p] for p in place] == list(range(500))
     plain = np.zeros((500, 60))
     plain[doc, at] = w
     asks = entries(300, 6)
@@ -191,6 +192,51 @@ def test_toxicity_scores_by_hand(spark, toxic):
         assert abs(r.evidence[0].cosine - near[best[0]]) < 1e-9
 
 
+def test_toxicity_query_against_plain_code(spark, toxic, tmp_path):
+    """The registered query: held-out rows, calibration on the votes of all other examples, scores and predictions."""
+    from sawmill.llm import queries
+
+    docs, labels = toxic
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.doc_id: r for r in queries.op9_toxicity(spark, str(tmp_path)).collect()}
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    train = sorted(i for i in texts if not out[i])
+    df = collections.Counter(t for x in texts.values() for t in toxicity.terms(x))
+    known = {t for i in train for t in toxicity.terms(texts[i])}
+    idf = {t: np.log((1 + len(texts)) / (1 + df[t])) for t in known}
+
+    def vector(text):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in toxicity.terms(text).items() if idf.get(t, 0) > 0}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(texts[i]) for i in texts}
+    names = sorted(known)
+    place = {t: k for k, t in enumerate(names)}
+    dense = np.zeros((len(texts), len(names)))
+    for i, v in vectors.items():
+        for t, x in v.items():
+            dense[i, place[t]] = x
+    near = dense @ dense[train].T
+
+    def vote(i, own):
+        some = sorted(((-near[i, k], k) for k, j in enumerate(train) if near[i, k] > 0 and not (own and j == i)))[: toxicity.NEIGHBOURS]
+        return sum(-c * y[train[k]] for c, k in some) / (sum(-c for c, _ in some) + toxicity.AGAINST)
+
+    votes = np.array([vote(i, True) for i in train])
+    labelled = np.array([y[i] for i in train])
+    slope, offset = toxicity._platt(votes, labelled, labelled.mean())
+    near_ties = 0
+    for i in texts:
+        score = 1 / (1 + np.exp(-(slope * vote(i, False) + offset)))
+        assert found[i].held_out == out[i] and found[i].predicted == int(found[i].score >= 0.3)
+        near_ties += abs(found[i].score - score) > 1e-3  # neighbours of equal cosine at the last place
+    assert len(found) == len(texts) and near_ties < 0.02 * len(texts)
+
+
 def test_toxicity_without_labels(spark, toxic):
     docs, labels = toxic
     model = toxicity.fit(docs, labels.where("false"), F.lit(True))
@@ -221,13 +267,54 @@ def test_rake_and_calibrate(spark):
         assert abs(r.fitted / w[r.source, r.lang, r.topic] - 1) < 1e-4
     chances = mixing.calibrate(fitted, 0.5).collect()
     assert all(0 <= r.probability <= 1 for r in chances)
-    assert abs(sum(r.tokens * r.probability for r in chances) / total - 0.5) < 1e-6
+    expected = sum(r.tokens * r.probability for r in chances)
+    assert expected / total <= 0.5 + 1e-6
+    for i, shares in enumerate(({"a": 0.4, "b": 0.3, "c": 0.2, None: 0.1}, {"x": 0.5, "y": 0.5})):
+        for name, share in shares.items():
+            assert abs(sum(r.tokens * r.probability for r in chances if r[i] == name) / expected / share - 1) < 0.01
     few, is_few = mixing.chances(cells, targets, 0.5)
     assert is_few
     few = {(r.source, r.lang, r.topic): r.probability for r in few.collect()}
     assert all(abs(few[r.source, r.lang, r.topic] - r.probability) < 1e-4 for r in chances)
 
 
+def test_mix_query_meets_its_targets(spark):
+    """The registered query's expected sample, over the whole table, by plain code: every marginal within 1 %, no
+    document more than once, and the selection what the hash draws."""
+    from sawmill.llm import queries
+
+    with pytest.warns(UserWarning, match="not 60.0%"):  # contacts are asked for beyond what there is
+        rows = queries.op2_mixing(spark, "/root/testdata/sf0.01").collect()
+    total, expected = sum(r.tokens for r in rows), sum(r.tokens * r.probability for r in rows)
+    assert len(rows) == 1000 and 0.05 < expected / total < 0.6 and all(0 <= r.probability <= 1 for r in rows)
+    assert {p for _, p in {((r.source, r.lang, r.topic), r.probability) for r in rows if r.tokens}} and len({(r.source, r.lang, r.topic) for r in rows if r.tokens}) == len({(r.source, r.lang, r.topic, r.probability) for r in rows if r.tokens})
+
+    def by(d, weight):
+        out = collections.defaultdict(float)
+        for r in rows:
+            out[r[d]] += weight(r)
+        return out
+
+    for d in mixing.DIMENSIONS:
+        found, sample = by(d, lambda r: r.tokens), by(d, lambda r: r.tokens * r.probability)
+        want = mixing.TOPIC_SHARES if d == "topic" else {k: n**mixing.TEMPER for k, n in found.items()}
+        for k, share in want.items():
+            assert abs(sample[k] / expected / (share / sum(want.values())) - 1) < 0.01, (d, k)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    drawn = spark.createDataFrame(list(docs.items()), "doc_id long, text string").select("doc_id", (F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 11).cast("double") / float(1 << 53)).alias("u"))
+    drawn = {r.doc_id: r.u for r in drawn.collect()}
+    assert all(r.selected == (drawn[r.doc_id] < r.probability) for r in rows if abs(drawn[r.doc_id] - r.probability) > 1e-6)
+
+
+def test_mix_says_when_no_weights_meet_the_targets():
+    """A category that is only found with another one can't have a larger share than it."""
+    from pyspark.sql import Row
+
+    rows = [Row(source="a", lang="x", topic="p", tokens=100), Row(source="b", lang="y", topic="p", tokens=100)]
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing._rake_few(rows, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}, mixing.DIMENSIONS)
+
+
 @pytest.mark.parametrize("few", [mixing.FEW_CELLS, 0])
 def test_mix(docs, texts, few, monkeypatch):
     monkeypatch.setattr(mixing, "FEW_CELLS", few)
