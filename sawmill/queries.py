@@ -161,7 +161,7 @@ def coercion_fallback(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN user_id WHEN 1 THEN user_id ELSE NULL END AS as_long,
-  CASE event_id % 6 WHEN 2 THEN user_id + 0.5 WHEN 3 THEN user_id * 1000 WHEN 4 THEN user_id * 1000 + 234 WHEN 5 THEN NULL ELSE user_id END AS as_double,
+  CAST(CASE event_id % 6 WHEN 2 THEN user_id + 0.5 WHEN 3 THEN user_id * 1000 WHEN 4 THEN user_id * 1000 + 234 WHEN 5 THEN NULL ELSE user_id END AS DOUBLE) AS as_double,
   CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN user_id || '.5' WHEN 3 THEN user_id || 'e3' WHEN 4 THEN user_id || ',234' ELSE user_id || 'd' END AS as_text
   FROM events""")
 def coercion_edges(spark, sf_dir):
@@ -319,6 +319,10 @@ over_logs("math_fns", "SELECT event_id, round(sqrt(response_time_ms + 1), 4) AS
           "SELECT event_id, round(sqrt(response_time_ms + 1), 4) AS root, CAST(floor(response_time_ms) AS BIGINT) AS low, CAST(ceil(response_time_ms) AS BIGINT) AS high, abs(k - 5) AS away, power(k, 2) AS sq, greatest(k, user_id) AS most FROM logs")
 over_logs("array_fns", "SELECT event_id, size(Fields) AS n, array_contains(transform(Fields, f -> f.Key), 'k') AS has_k, size(filter(Fields, f -> f.LongValue IS NOT NULL)) AS longs FROM logs",
           "SELECT event_id, CAST(5 AS INTEGER) AS n, true AS has_k, CAST(3 AS INTEGER) AS longs FROM logs")
+over_logs("map_fns", """SELECT event_id, element_at(m, 'k') AS k, try_element_at(m, 'nothing') IS NULL AS lacks, array_join(array_sort(map_keys(m)), ',') AS names, cardinality(m) AS n,
+  aggregate(map_values(map_filter(m, (key, v) -> key LIKE '%\\\\_id')), 0L, (a, v) -> a + v) AS ids, named_struct('u', user_id, 'm', m).u AS u
+  FROM (SELECT event_id, user_id, map_from_entries(transform(filter(Fields, f -> f.LongValue IS NOT NULL), f -> struct(f.Key, f.LongValue))) AS m FROM logs)""",
+          "SELECT event_id, k, true AS lacks, 'event_id,k,user_id' AS names, CAST(3 AS INTEGER) AS n, event_id + user_id AS ids, user_id AS u FROM logs")
 over_logs("cond_cast", "SELECT event_id, CASE WHEN k > 5 THEN 'high' ELSE 'low' END AS band, coalesce(nullif(k, 3), -1) AS k3, try_cast(event_type AS INT) AS none, user_id::string AS uid FROM logs",
           "SELECT event_id, CASE WHEN k > 5 THEN 'high' ELSE 'low' END AS band, coalesce(nullif(k, 3), -1) AS k3, try_cast(event_type AS INTEGER) AS none, user_id::varchar AS uid FROM logs")
 
