@@ -105,7 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 #: Where SQL can say it. Not: 1 and 6 (merges by rank), 2 (raking to convergence), 4 (200-byte windows are too
 #: many for whole tables), 5 (approximate), 8 (no XXH64 with a seed),
-#: 9 (a fitted model), 11 (no CRC-32), 12 (context scores and checksums of the kinds beyond the base). The tests hold those against plain code.
+#: 9 (a fitted model), 12 (context scores and checksums of the kinds beyond the base). The tests hold those against plain code.
 ORACLE_SQL: dict[str, str] = {
     "op3_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -128,6 +128,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_spelling": """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')) AS run FROM documents),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs GROUP BY ALL),
+x AS (SELECT w, n, hex(encode(id || ':' || w)) AS x FROM r),
+c AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(x) // 2 AS BIGINT)), lambda i: CAST(strpos('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 17 AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM x, t),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM c),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN words w ON w.word = d.d UNION SELECT w.word, d.word FROM d JOIN words w ON w.word = d.d),
+k AS (SELECT near.word, near.near, w.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, near.near) AS p FROM near JOIN words w ON w.word = near.near),
+f AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN k.n >= 2 * words.n THEN near END AS form, CASE WHEN k.n >= 2 * words.n THEN k.n END AS form_n FROM words LEFT JOIN k ON k.word = words.word AND p = 1),
+g(word, root) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word JOIN f e ON e.word = g.root AND e.form IS NULL""",
     "op13_vector_codes": """WITH v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS MATERIALIZED (SELECT vec_id, k, e[k * (len(e) // 16) + 1 : (k + 1) * (len(e) // 16)] AS x FROM v, range(16) r(k)),
