@@ -354,7 +354,7 @@ def _temporary(spark: SparkSession) -> str:
     import uuid
 
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{named}/store-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-sawmill-store-")
 
