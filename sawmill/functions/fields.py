@@ -12,7 +12,7 @@ def _column(fields: Column | str) -> Column:
     return F.col(fields) if isinstance(fields, str) else fields
 
 
-def element(name: str, fields: Column | str = "Fields") -> Column:
+def element(name: str | Column, fields: Column | str = "Fields") -> Column:
     """The tagged value of a field; null if the entry lacks it."""
     return F.get(F.filter(_column(fields), lambda f: f.Key == name), F.lit(0))
 
@@ -23,7 +23,7 @@ def value(name: str, kind: str, fields: Column | str = "Fields") -> Column:
     return out.try_cast("timestamp") if kind == "datetime" else out
 
 
-def raw(name: str, fields: Column | str = "Fields") -> Column:
+def raw(name: str | Column, fields: Column | str = "Fields") -> Column:
     """The field as text whatever its slot, for values that didn't fit their type."""
     e = element(name, fields)
     return F.coalesce(e.StringValue, e.LongValue.cast("string"), e.DoubleValue.cast("string"), e.BoolValue.cast("string"))

@@ -113,9 +113,7 @@ def rebuilt(text: Column, stamp_format: str | None = None) -> Column:
 
     def one(part: Column) -> Column:
         name = F.substring(part, F.lit(2), F.length(part) - 2)
-        e = F.get(F.filter("Fields", lambda f: f.Key == name), F.lit(0))
-        value = F.coalesce(e.StringValue, e.LongValue.cast("string"), e.DoubleValue.cast("string"), e.BoolValue.cast("string"))
-        named = F.when(name == STAMP, F.date_format("Timestamp", stamp_format or ISO)).when(name == LEVEL, F.col("Level")).otherwise(value)
+        named = F.when(name == STAMP, F.date_format("Timestamp", stamp_format or ISO)).when(name == LEVEL, F.col("Level")).otherwise(ff.raw(name))
         return F.when(part == "{{", F.lit("{")).when(part == "}}", F.lit("}")).when(part.startswith("{"), named).otherwise(part)
 
     return F.array_join(F.transform(parts, one), "")

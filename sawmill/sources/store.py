@@ -81,10 +81,6 @@ def write_entries(entries: DataFrame, root: str, zone: str = LANDING) -> None:
     write_zones({zone: entries}, root)
 
 
-def write_rejects(rejects: DataFrame, root: str) -> None:
-    rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
-
-
 def write_batch(parts: dict[str, DataFrame], root: str, stream: str, batch: int, more: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
                 states: dict[str, DataFrame] | None = None) -> bool:
     """Publish a stream's micro-batch, frames by zone and changes of state tables, once, however often it is run: the last batch
