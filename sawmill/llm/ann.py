@@ -152,8 +152,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = RECALL,
     of least hash; all rows are then put to the leaves. Queries go to as many leaves, best bin first, as
     let PROBES queries reach ``recall`` of their true neighbours, which one pass over all rows finds, and
     on until the leaves hold more than ``k`` rows. Leaves of over ``block`` rows or queries are dealt out in
-    blocks. Null, empty, zero and non-finite vectors and null ids take no part; equal rows ask once, and
-    candidates that share a vec_id are candidates of their own, but not the query's if it has that id; fewer candidates than ``k``: all of them.
+    blocks. Null, empty, zero and non-finite vectors and null ids take no part; equal rows ask once, rows
+    that share an id with different vectors have a ranking each, and candidates that share a vec_id are candidates of their own, but not the query's if it has that id; fewer candidates than ``k``: all of them.
     """
     spark = df.sparkSession
     rows = usable(df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("is_query")))
@@ -199,19 +199,20 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, recall: float = RECALL,
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = routes.join(parts, "leaf", "left").withColumn("blk", every(nb)).withColumn("ask", F.pmod("query", na).cast("int"))
     vectors = asking.select("query", F.col("embedding").alias("asks"))
-    asked = asked.join(vectors, "query").select("leaf", "blk", "ask", "query_id", F.col("asks").alias("query"))
+    asked = asked.join(vectors, "query").select("leaf", "blk", "ask", "query_id", F.col("query").alias("row"), F.col("asks").alias("query"))
     held = indexed.join(parts, "leaf", "left").withColumn("ask", every(na)).withColumn("blk", F.pmod(F.xxhash64("vec_id"), nb).cast("int")).select("leaf", "blk", "ask", "vec_id", "embedding")
 
     def search(q: pa.Table, v: pa.Table) -> pa.Table:
-        cols = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        cols = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
         if q.num_rows and v.num_rows:
             a, b = matrix(q.column("query")), matrix(v.column("embedding"))
             qid, vid = q.column("query_id").to_numpy(), v.column("vec_id").to_numpy()
-            cols = [pa.array(c) for c in _pairs(qid, qid, a, vid, vid, b, unit(a), unit(b), k)]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
+            at, near, score = _pairs(qid, np.arange(len(qid)), a, vid, vid, b, unit(a), unit(b), k)
+            cols = [pa.array(qid[at]), q.column("row").take(pa.array(at)).combine_chunks(), pa.array(near), pa.array(score)]
+        return pa.table(cols, names=["query_id", "row", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "blk", "ask").cogroup(held.groupBy("leaf", "blk", "ask")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.groupBy("leaf", "blk", "ask").cogroup(held.groupBy("leaf", "blk", "ask")).applyInArrow(search, "query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

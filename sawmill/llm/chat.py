@@ -20,6 +20,8 @@ TURNS = "array<struct<role:string,text:string>>"
 HEAD, AFTER_ROLE, END = "### ", ": ", "</turn>\n"
 #: Escapes, in the order of escaping; each backslash of an escaped text starts one of them.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
+#: Turns, or spans, of a block.
+WIDTH = 256
 
 
 @dataclass(frozen=True)
@@ -203,28 +205,40 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def blocks(array: Column, width: int = WIDTH) -> Column:
+    """An array in pieces of ``width`` elements, the last one shorter."""
+    n = F.ceil(F.size(array) / width).cast("int")
+    numbers = F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    return F.transform(numbers, lambda k: F.slice(array, k * width + 1, F.lit(width)))
+
+
 def format_turns(df: DataFrame, id_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
     """(id_col, formatted, loss_spans) of (id_col, turns).
 
     ``formatted`` is HEAD role AFTER_ROLE text END for each turn, role and text escaped. ``loss_spans``
-    holds (start, length) in code points of each text of ``loss_role``. No turns: an empty text.
+    holds (start, length) in code points of each text of ``loss_role``. No turns: an empty text. Spans are made
+    by blocks of turns, whose starts are summed after, so that long conversations don't copy growing arrays.
     """
     pieces = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(HEAD), escape(t.role, True), F.lit(AFTER_ROLE)).alias("head"),
         escape(t.text).alias("text"), (t.role == loss_role).alias("loss")))
     df = df.select(id_col, pieces.alias("_p"))
+    size = lambda p: (F.length(p.head) + F.length(p.text)).cast("long") + len(END)
     whole = F.array_join(F.transform("_p", lambda p: F.concat(p.head, p.text, F.lit(END))), "")
     start = T.StructType([T.StructField("at", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([
         T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
     empty = F.from_json(F.lit('{"at": 0, "spans": []}'), start)
 
     def add(acc: Column, p: Column) -> Column:
-        head, text = F.length(p.head).cast("long"), F.length(p.text).cast("long")
-        span = F.struct((acc.at + head).alias("start"), text.alias("length"))
+        span = F.struct((acc.at + F.length(p.head)).alias("start"), F.length(p.text).cast("long").alias("length"))
         spans = F.when(p.loss, F.concat(acc.spans, F.array(span))).otherwise(acc.spans)
-        return F.struct((acc.at + head + text + len(END)).alias("at"), spans.alias("spans"))
+        return F.struct((acc.at + size(p)).alias("at"), spans.alias("spans"))
 
-    return df.select(id_col, whole.alias("formatted"), F.aggregate("_p", empty, add, lambda a: a.spans).alias("loss_spans"))
+    starts = F.aggregate("_b", F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b.at)))
+    df = df.select(id_col, whole.alias("formatted"), F.transform(blocks(F.col("_p")), lambda b: F.aggregate(b, empty, add)).alias("_b"))
+    df = df.select(id_col, "formatted", "_b", starts.alias("_s"))
+    placed = F.zip_with("_b", F.slice("_s", 1, F.size("_b")), lambda b, at: F.transform(b.spans, lambda s: F.struct((s.start + at).alias("start"), s.length.alias("length"))))
+    return df.select(id_col, "formatted", F.flatten(placed).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -241,5 +255,13 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, in order."""
-    return F.transform(spans, lambda s: unescape(F.substring(formatted, (s.start + 1).cast("int"), s.length.cast("int"))))
+    """The texts under the loss mask, unescaped, in order. Spans are in order, as ``format_turns`` gives them: each
+    block of them is cut from the text once, as finding a place in a text means going there from its beginning."""
+    cut = lambda text, at, length: F.substring(text, (at + 1).cast("int"), length.cast("int"))
+
+    def part(b: Column) -> Column:
+        first, last = F.get(b, F.lit(0)).start, F.element_at(b, -1)
+        return F.struct(first.alias("at"), cut(formatted, first, last.start + last.length - first).alias("text"), b.alias("spans"))
+
+    texts = F.transform(F.transform(blocks(spans), part), lambda p: F.transform(p.spans, lambda s: unescape(cut(p.text, s.start - p["at"], s.length))))
+    return F.flatten(texts)

@@ -132,6 +132,18 @@ def test_chat_round_trip(spark):
     assert chat.format_turns(chat.canonical_turns(df.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 512, 1500])
+def test_chat_of_many_turns(spark, n):
+    texts = [NASTY[i % len(NASTY)] + str(i) for i in range(n)]
+    df = spark.range(1).select(F.col("id").alias("conv_id"), F.transform(F.array(*map(F.lit, texts)), lambda t, i: F.struct(
+        F.when(i % 3 == 0, "user").otherwise("assistant").alias("role"), t.alias("text"))).alias("turns"))
+    out = chat.format_turns(df).select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in out.back] == texts
+    assert out.loss == [t for i, t in enumerate(texts) if i % 3]
+    cut = [out.formatted[s.start : s.start + s.length] for s in out.loss_spans]
+    assert len(cut) == len(out.loss) and all(out.formatted[s.start + s.length :].startswith(chat.END) for s in out.loss_spans)
+
+
 def test_layouts(spark):
     turns = [("user", "q"), ("assistant", "a")]
     layouts = {

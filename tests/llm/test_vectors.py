@@ -108,6 +108,12 @@ def test_nearest(vectors, block):
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_rows_of_one_id_have_a_ranking_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, k=1).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(50, 1, 1), (50, 1, 2)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7)]
