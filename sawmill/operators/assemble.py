@@ -27,16 +27,26 @@ def numbered(lines: DataFrame, start_regex: str | None) -> DataFrame:
     return joined.select("source", "block", "pos", "value", (F.col("_before") + F.col("_local")).alias("entry"), (F.col("_above") + F.col("_row")).alias("line"))
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """(source, entry, first_line, message) of each entry of ``numbered`` lines: its lines joined by line
-    feeds, trailing line ends cut.
+def assemble(lines: DataFrame, start_regex: str | None) -> DataFrame:
+    """(source, first_line, message) of each entry of ``lines`` (source, block, pos, value): its lines joined by line feeds,
+    trailing line ends cut.
 
-    Lines of entry 0 come before a source's first start; they are left out, as a source without any
-    start would be one entry of any size.
+    Lines begin entries as in ``numbered``; a null line begins none. Lines are shuffled once, by block: entries that another one
+    of their block follows are whole there. Only the lines before a block's first start and those of its last entry
+    are put together over a source's blocks. Lines before a source's first start belong to no entry.
     """
-    grouped = rows.where("entry > 0").groupBy("source", "entry").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("rows"))
+    begins = F.coalesce(F.col("value").rlike(r"^$" if start_regex is None else start_regex), F.lit(False)).cast("long")
+    block, source = Window.partitionBy("source", "block").orderBy("pos"), Window.partitionBy("source").orderBy("block", "pos")
+    first, here, last = Window.unboundedPreceding, 0, Window.unboundedFollowing
+    lines = lines.select("source", "block", "pos", "value", begins.alias("_begins"))
+    counted = lines.withColumns({"_local": F.sum("_begins").over(block.rowsBetween(first, here)), "_total": F.sum("_begins").over(block.rowsBetween(first, last))})
+    edges = counted.where("_local = 0 or _local = _total").withColumn("_entry", F.sum("_begins").over(source.rowsBetween(first, here)))
+    rows = F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("rows")
+    inner = counted.where("_local > 0 and _local < _total").groupBy("source", "block", "_local").agg(rows)
+    crossing = edges.where("_entry > 0").groupBy("source", "_entry").agg(rows)
     text = F.array_join(F.transform("rows", lambda r: r.value), "\n")
-    return grouped.select("source", "entry", F.col("rows")[0]["value"].alias("first_line"), F.regexp_replace(text, r"[\r\n]+\z", "").alias("message"))
+    both = inner.select("source", "rows").union(crossing.select("source", "rows"))
+    return both.select("source", F.col("rows")[0]["value"].alias("first_line"), F.regexp_replace(text, r"[\r\n]+\z", "").alias("message"))
 
 
 def orphans(rows: DataFrame) -> DataFrame:

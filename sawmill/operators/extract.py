@@ -38,7 +38,7 @@ def timestamp_of(first_line: Column, parser: ParserConfig) -> Column:
     """The first line's timestamp in UTC, null if there is none that reads as one."""
     if not parser.timestamp_regex:
         return F.lit(None).cast("timestamp")
-    text = first_match(first_line, parser.timestamp_regex)
+    text = F.regexp_extract(first_line, parser.timestamp_regex, _group(parser.timestamp_regex))  # empty, which reads as none, where none is
     read = F.try_to_timestamp(text, F.lit(parser.timestamp_format)) if parser.timestamp_format else F.try_to_timestamp(text)
     zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
     return read if parser.timestamp_zone == "UTC" else F.when(zoned, read).otherwise(F.to_utc_timestamp(read, parser.timestamp_zone))
@@ -72,24 +72,32 @@ def typed(key: str, value: Column, kind: str, fmt: str | None = None) -> Column:
     return F.when(value.isNotNull(), F.struct(F.lit(key).alias("Key"), *[c.alias(n) for n, c in empty.items()]))
 
 
-def fields_of(message: Column, rules: tuple[FieldRule, ...]) -> Column:
-    """All fields found, in the rules' order; of rules for one name the last that matches counts; rules
+def matches_of(message: Column, rules: tuple[FieldRule, ...]) -> dict[str, Column]:
+    """The last match of each rule with a name and regex, by the column that ``fields_of`` and ``column_of`` read it from:
+    as a column of its own it is searched once, however often its value is looked at, and only if it is used."""
+    return {f"_match{i}": last_match(message, r.regex) for i, r in enumerate(rules) if r.field_name and r.regex}
+
+
+def _field(rules: tuple[FieldRule, ...], name: str) -> Column | None:
+    """A field's tagged value, of the last rule for it that matches."""
+    same = [typed(name, F.col(f"_match{i}"), r.type, r.format) for i, r in enumerate(rules) if r.field_name == name and r.regex]
+    return F.coalesce(*reversed(same)) if same else None
+
+
+def fields_of(rules: tuple[FieldRule, ...]) -> Column:
+    """All fields found by ``matches_of``, in the rules' order; of rules for one name the last that matches counts; rules
     without a name or regex are skipped."""
-    by_name: dict[str, list[FieldRule]] = {}
-    for rule in rules:
-        if rule.field_name and rule.regex:
-            by_name.setdefault(rule.field_name, []).append(rule)
-    found = [F.coalesce(*[typed(name, last_match(message, r.regex), r.type, r.format) for r in reversed(same)]) for name, same in by_name.items()]
+    found = [_field(rules, name) for name in dict.fromkeys(r.field_name for r in rules if r.field_name and r.regex)]
     kind = ENTRY["Fields"].dataType.simpleString()
     return F.array_compact(F.array(*found)).cast(kind) if found else F.array().cast(kind)
 
 
-def column_of(message: Column, rules: tuple[FieldRule, ...], name: str, kind: str) -> Column:
-    """What ``value`` finds of a field in ``fields_of``, straight from the message: only this field's regexes run."""
-    same = [r for r in rules if r.field_name == name and r.regex]
-    if not same:
+def column_of(rules: tuple[FieldRule, ...], name: str, kind: str) -> Column:
+    """What ``value`` finds of a field in ``fields_of``, straight from its matches: only this field's regexes run."""
+    field = _field(rules, name)
+    if field is None:
         return F.lit(None).cast("timestamp" if kind == "datetime" else FIELD[SLOTS[kind]].dataType)
-    found = F.coalesce(*[typed(name, last_match(message, r.regex), r.type, r.format) for r in reversed(same)])[SLOTS[kind]]
+    found = field[SLOTS[kind]]
     return found.try_cast("timestamp") if kind == "datetime" else found
 
 
@@ -138,9 +146,8 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool | None = None,
     as columns of their own, each read by its own regexes only if it is used. Rejects have Source, Error and Text: each orphan line, too.
     """
     templates = parser.template_hashes if templates is None else templates
-    rows = numbered(lines, parser.start_of_entry_regex)
     message = F.col("message")
-    texts = assemble(rows).withColumn("_stamp", timestamp_of(F.col("first_line"), parser))
+    texts = assemble(lines, parser.start_of_entry_regex).withColumns({"_stamp": timestamp_of(F.col("first_line"), parser), **matches_of(message, parser.fields_regexes)})
     shown = message if parser.message_regex is None else F.coalesce(first_match(message, parser.message_regex), message)
     strict = parser.on_missing_timestamp == "reject"
     entries = (texts.where("_stamp is not null") if strict else texts).select(
@@ -149,10 +156,10 @@ def parse(lines: DataFrame, parser: ParserConfig, templates: bool | None = None,
         shown.alias("Message"),
         F.col("source").alias("Source"),
         (F.xxhash64(template_of(shown, parser)) if templates else F.lit(0).cast("long")).alias("TemplateHash"),
-        fields_of(message, parser.fields_regexes).alias("Fields"),
-        *[column_of(message, parser.fields_regexes, name, kind).alias(name) for name, kind in (columns or {}).items()],
+        fields_of(parser.fields_regexes).alias("Fields"),
+        *[column_of(parser.fields_regexes, name, kind).alias(name) for name, kind in (columns or {}).items()],
     )
-    rejects = orphans(rows).select(F.col("source").alias("Source"), F.lit("Orphan log line").alias("Error"), F.col("value").alias("Text"))
+    rejects = orphans(numbered(lines, parser.start_of_entry_regex)).select(F.col("source").alias("Source"), F.lit("Orphan log line").alias("Error"), F.col("value").alias("Text"))
     if strict:
         undated = texts.where("_stamp is null")
         rejects = rejects.union(undated.select("source", F.lit("No timestamp"), "message"))
