@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from sawmill.llm.common import complete_groups, local_roots, materialize, put_columns, ranges, released, runs, small_batches, split_pairs, with_fields
+from sawmill.llm.common import FEW_HOT, complete_groups, local_roots, materialize, put_columns, ranges, released, runs, small_batches, split_pairs, with_fields
 from sawmill.llm.components import connected_components
 from sawmill.llm.repeats import mix
 
@@ -27,8 +26,17 @@ BLOCK = 4096
 CHUNK = 1 << 14
 #: ``near_copies``: shingle sets of this Jaccard similarity and more link. Bits of the fingerprints of two such sets differ
 #: with probability APART at most (four shingles and the same with a fifth; larger sets: 0.162), so that of 256 bits over
-#: WIDE differ in one of 10,000 pairs; as many tables as miss MISS of the pairs at APART.
-SIMILARITY, APART, WIDE, MISS = 0.8, 3 / 16, 72, 0.001
+#: WIDE differ in one of 10,000 pairs.
+SIMILARITY, APART, WIDE = 0.8, 3 / 16, 72
+#: Tables in which fingerprints of shingle sets meet, whatever their number, and the minima of the sets' hashes that a key
+#: is made of: two sets at SIMILARITY share no key with probability (1 - 0.8 ** 5) ** 18 = 0.0008.
+TABLES, MINIMA = 18, 5
+#: Odd factors that order the hashes of shingles anew for each minimum.
+FACTORS = np.random.default_rng(23).integers(0, 1 << 63, TABLES * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingle sets, and shingles in them, that one task compares at once (twice as many where two blocks meet).
+SETS, SHINGLES = 1024, 1 << 20
+#: Members of groups whose table (two longs each) is broadcast, at most.
+FEW_MEMBERS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, words: int = 1) -> np.ndarray:
@@ -159,27 +167,15 @@ def near(planes: np.ndarray, valid: np.ndarray, query: np.ndarray, word: np.ndar
     return alive, valid[word] & ~far
 
 
-def missed(bits: int, tables: int, words: int, radius: int, apart: float) -> float:
-    """Chance that two fingerprints whose bits differ with probability ``apart`` each are beyond ``radius`` or agree
-    in none of ``tables`` choices of ``bits`` bits."""
-    size = 64 * words
-    chance = np.array([math.comb(size, d) * apart**d * (1 - apart) ** (size - d) for d in range(size + 1)])
-    alike = np.array([math.comb(size - d, bits) / math.comb(size, bits) for d in range(size + 1)])
-    return float((chance * (1 - alike) ** tables)[: radius + 1].sum() + chance[radius + 1 :].sum())
-
-
-def wide_masks(n: int, words: int, radius: int, apart: float = APART, miss: float = MISS, per_bucket: int = 512, seed: int = 23) -> list[tuple[int, ...]]:
-    """Masks of randomly drawn bits, as many as ``missed`` is at most ``miss`` with; few bits, as comparing is cheap."""
-    bits = min(40, max(6, math.ceil(math.log2(max(n, 2) / per_bucket))))
-    if missed(bits, 1 << 40, words, radius, apart) > miss:
-        raise ValueError("the radius alone misses more")
-    most = 1
-    while missed(bits, most, words, radius, apart) > miss:
-        most *= 2
-    tables = most // 2 + 1 + bisect_left(range(most // 2 + 1, most), -miss, key=lambda t: -missed(bits, t, words, radius, apart))
-    rng = np.random.default_rng(seed)
-    drawn = [rng.choice(64 * words, bits, replace=False).tolist() for _ in range(tables)]
-    return [tuple(sum(1 << (b % 64) for b in some if b // 64 == w) for w in range(words)) for some in drawn]
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of TABLES: MINIMA minima of the set's hashes in as many orders."""
+    low = np.full(TABLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(low, (hashes[at : at + 4096, None] * FACTORS).min(axis=0), out=low)
+    keys = np.zeros(TABLES, np.uint64)
+    for column in low.reshape(TABLES, MINIMA).T:
+        keys = mix(keys ^ column)
+    return keys
 
 
 def least_ids(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -189,23 +185,26 @@ def least_ids(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
     return least[root]
 
 
-def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1, masks: list[tuple[int, ...]] | None = None) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 4, block: int = BLOCK, words: int = 1, keys: str | None = None) -> DataFrame:
     """(a, b) links of distinct fingerprints (fp: array of ``words`` longs, rep: long) that differ in at most ``radius`` bits.
 
-    All of them for one word; for more, those that ``masks`` (``sampled_masks``) bring together. Links are local: each task gives for each fingerprint of its buckets a representative of those it
-    reaches there, so components of the links are those of all near pairs, without the pairs.
+    All of them for one word; for more, those that ``sampled_masks`` bring together. With ``keys``, a column of TABLES
+    longs, those with a key in common. Links are local: each task gives for each fingerprint of its buckets a
+    representative of those it reaches there, so components of the links are those of all near pairs, without the pairs.
     """
     n = fps.count()
-    if masks is None:
-        masks = masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
+    masks = [] if keys else masks_for(n, radius) if words == 1 else sampled_masks(n, words, radius)
 
     def key(i: int, mask: tuple[int, ...]) -> Column:
         parts = [F.col("fp")[k].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(mask) if m]
         return F.struct(F.lit(i).alias("tab"), F.xxhash64(*parts).alias("key"))
 
-    rows = fps.select("fp", "rep", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.tab", "k.key", "fp", "rep")
+    if keys:
+        rows = fps.select(F.posexplode(keys).alias("tab", "key"), "fp", "rep")
+    else:
+        rows = fps.select("fp", "rep", F.explode(F.array(*[key(i, m) for i, m in enumerate(masks)])).alias("k")).select("k.tab", "k.key", "fp", "rep")
     order = ["tab", "key", "part_i", "part_j"]
-    dealt = split_pairs(rows, ["tab", "key"], "rep", block, n * len(masks)).repartition(*order).sortWithinPartitions(*order)
+    dealt = split_pairs(rows, ["tab", "key"], "rep", block, n * (len(masks) or TABLES)).repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in complete_groups(batches, order):
@@ -262,31 +261,50 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, words: i
 
 
 def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, the 128-bit hash (k1, k2) and the size n of the text's set of shingles, and the set's fingerprint fp."""
+    """doc_id, the 128-bit hash (k1, k2) and the size n of the text's set of shingles, the set's fingerprint fp and its ``table_keys``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in batch.column("text").cast(pa.binary())]
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             flat = np.concatenate([majority(s, words) for s in sets] or [np.zeros(0, np.uint64)]).view(np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(flat))
+            found = np.concatenate([table_keys(s) for s in sets] or [np.zeros(0, np.uint64)]).view(np.int64)
+            tables = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), pa.array(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(s) for s in sets], pa.int32()), fp],
-                names=["doc_id", "k1", "k2", "n", "fp"])
+                [batch.column("doc_id"), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(s) for s in sets], pa.int32()), fp, tables],
+                names=["doc_id", "k1", "k2", "n", "fp", "keys"])
+
+    return small_batches(docs).mapInArrow(lambda b: released(run(b)), "doc_id long, k1 long, k2 long, n int, fp array<long>, keys array<long>")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """component, node, number n of shingles, and set, their sorted 64-bit hashes as bytes, of each of ``members``
+    (node, component); texts of other documents are not shuffled while the members are few."""
+    few = members.count() <= FEW_MEMBERS
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(members) if few else members, "node")
+    texts = texts.groupBy("node", "component").agg(F.min("text").alias("text"))  # rows alike come once
 
-    return small_batches(docs).mapInArrow(lambda b: released(run(b)), "doc_id long, k1 long, k2 long, n int, fp array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("component"), batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["component", "node", "n", "set"])
 
+    return materialize(small_batches(texts).mapInArrow(lambda b: released(run(b)), "component long, node long, n long, set binary"), "sets")
 
-def jaccard_roots(values: np.ndarray, sizes: np.ndarray, asks: np.ndarray, similarity: float) -> np.ndarray:
+
+def jaccard_roots(values: np.ndarray, sizes: np.ndarray, asks: np.ndarray, similarity: float, root: np.ndarray) -> np.ndarray:
     """The least row of each row's component under links of the rows ``asks`` to any whose sets have that Jaccard
-    similarity; ``values`` holds the sets one after another. Shared shingles are counted by postings, for all rows."""
-    m = len(sizes)
+    similarity, and of ``root`` as known before; ``values`` holds the sets one after another. Shared shingles are
+    counted by postings, for all rows."""
+    m, root = len(sizes), root.copy()
     code = np.unique(values, return_inverse=True)[1]
     order = np.argsort(code, kind="stable")
     rows = np.repeat(np.arange(m), sizes)[order]
     counts = np.bincount(code)
     starts = np.cumsum(counts) - counts
     ends = np.cumsum(sizes)
-    root = np.arange(m)
     for x in asks:
         if (root == root[x]).all():
             continue
@@ -298,53 +316,90 @@ def jaccard_roots(values: np.ndarray, sizes: np.ndarray, asks: np.ndarray, simil
     return root
 
 
-def verified(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links of the nodes of ``members`` (node, component) whose texts' shingle sets have a Jaccard similarity
-    of ``similarity`` or more, by exact counts, between all nodes of a component. Large components are dealt out in
-    pairs of blocks; links are local as in ``linked``."""
-    members = members.withColumnRenamed("node", "doc_id")
-    parts = split_pairs(members, ["component"], "doc_id", block, members.count()).groupBy("doc_id", "component", "blk").agg(F.collect_list(F.struct("part_i", "part_j")).alias("parts"))
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # rows alike come once
+def set_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links of the groups ``known`` whose sets reach each other within (component, part_i, part_j), rows
+    with ``asks`` compared with all of there; links are local as in ``linked``."""
     order = ["component", "part_i", "part_j"]
-    rows = small_batches(texts).join(parts, "doc_id").withColumn("part", F.explode("parts"))
-    rows = rows.select("doc_id", "component", "blk", "part.part_i", "part.part_j", "text").repartition(*order).sortWithinPartitions(*order)
+    rows = rows.select(*order, "node", "known", "asks", "set").repartition(*order).sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in complete_groups(batches, order):
-            cols = [groups.column(c).to_numpy() for c in order]
-            ids, blk = (groups.column(c).to_numpy() for c in ("doc_id", "blk"))
-            texts = (t for chunk in groups.column("text").chunks for t in chunk.cast(pa.binary()))
-            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else None, shingle)) for t in texts]
-            sizes = np.array([len(f) for f in found], np.int64)
-            values, at = np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
-            bounds = runs(*cols)
+            bounds = runs(*[groups.column(c).to_numpy() for c in order])
+            known, asks = (groups.column(c).to_numpy() for c in ("known", "asks"))
             for a, b in zip(bounds, bounds[1:]):
-                if b - a > 1:
-                    asks = np.flatnonzero(blk[a:b] == cols[1][a])  # of two blocks the first asks
-                    root = jaccard_roots(values[at[a] : at[b]], sizes[a:b], asks, similarity)
-                    low = least_ids(ids[a:b], root)
-                    out = np.flatnonzero(ids[a:b] != low)
-                    if len(out):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][out]), pa.array(low[out])], names=["a", "b"])
+                if b - a < 2:
+                    continue
+                sets = [s.as_py() for s in groups.column("set").slice(a, b - a)]
+                sizes = np.array([len(s) // 8 for s in sets], np.int64)
+                names, at, which = np.unique(known[a:b], return_index=True, return_inverse=True)
+                values = np.frombuffer(b"".join(sets), np.uint64) if sizes.any() else np.zeros(0, np.uint64)
+                root = jaccard_roots(values, sizes, np.flatnonzero(asks[a:b]), similarity, at[which])
+                low = least_ids(known[a:b], root)[at]
+                out = np.flatnonzero(names != low)
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(low[out])], names=["a", "b"])
 
     return rows.mapInArrow(lambda b: released(compare(b)), "a long, b long")
 
 
+def verified(sets: DataFrame, similarity: float, block: int = SETS, shingles: int = SHINGLES) -> DataFrame:
+    """(a, b) links of the nodes of ``sets`` (``member_sets``) that have a Jaccard similarity of ``similarity`` or more,
+    by exact counts, between all nodes of a component, without the pairs.
+
+    Components beyond ``block`` sets or ``shingles`` shingles are dealt out twice, each time a set to one block, by other
+    hashes: what truly is alike has become one cluster by then. Only sets of different clusters are compared
+    further, all of them: each large cluster in cells of its own, small ones in common cells, cells of one
+    large cluster never with each other. A component that is one cluster is done, and its sets were sent twice.
+    """
+    def blocks(m: str, t: str) -> Column:
+        return F.greatest(F.ceil(F.col(m) / block), F.ceil(F.col(t) / shingles)).cast("int")
+
+    total = sets.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+    few = total.m // block + total.t // shingles <= FEW_HOT  # components, and clusters, of more than one block at most
+    small = F.broadcast if few else lambda df: df
+    sums = (F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    heavy = materialize(sets.groupBy("component").agg(*sums).withColumn("nb", blocks("m", "t")).where("nb > 1").select("component", "nb"), "heavy")
+
+    def dealt(rows: DataFrame, seed: int) -> DataFrame:
+        blk = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("nb", F.lit(1))).cast("int")
+        return set_links(rows.select("component", blk.alias("part_i"), blk.alias("part_j"), "node", F.col("node").alias("known"), F.lit(1).alias("asks"), "set"), similarity)
+
+    held = sets.join(small(heavy), "component")
+    links = materialize(dealt(sets.join(small(heavy), "component", "left"), 1).union(dealt(held, 2)), "links")
+    if heavy.isEmpty():
+        return links
+    clusters = connected_components(links).select("node", F.col("component").alias("known"))
+    light = held.select("component", "node", "n").join(clusters, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    light = materialize(light, "clusters")
+    large = light.groupBy("component", "known").agg(*sums).where(blocks("m", "t") > 1).select("component", "known", F.col("known").alias("own"))
+    light = light.join(small(large), ["component", "known"], "left")  # own: the large cluster, null in small ones
+    cells = light.groupBy("component", "own").agg(*sums).withColumn("i", F.explode(F.sequence(F.lit(1), blocks("m", "t"))))
+    cells = cells.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("own", "i"))).alias("cells"))
+    at = F.sequence(F.lit(0), F.size("cells") - 1)
+    mine = F.filter(at, lambda p: F.col("cells")[p]["own"].eqNullSafe(F.col("own")))
+    others = F.when(F.col("own").isNull(), at).otherwise(F.filter(at, lambda p: ~F.col("cells")[p]["own"].eqNullSafe(F.col("own"))))
+    light = light.join(small(cells.where("size(cells) > 1 or cells[0].own is null")), "component").withColumn("mine", mine).withColumn("others", others)
+    light = light.select("node", "known", F.col("mine")[F.pmod(F.xxhash64(F.lit(3), "node"), F.size("mine")).cast("int")].alias("cell"), "others")
+    rest = held.join(light, "node").withColumn("o", F.explode("others"))
+    rest = rest.withColumn("part_i", F.least("cell", "o")).withColumn("part_j", F.greatest("cell", "o"))
+    return links.union(set_links(rest.withColumn("asks", (F.col("cell") == F.col("part_i")).cast("int")), similarity))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, words: int = 4) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs`` (doc_id: long and not null, text); rows of one doc_id have one text.
 
     Texts link if their sets of word shingles (words as in ``near_duplicates``, shingles by their 64-bit hashes) have
     a Jaccard similarity of SIMILARITY or more; component_id is the smallest doc_id reachable. Equal sets are compared
-    once. Fingerprints of the sets only search: those within WIDE bits in one of ``wide_masks``'s tables make groups,
-    in which ``verified`` counts shared shingles. A pair right at SIMILARITY comes to no table with probability MISS at
+    once. Fingerprints of the sets only search: those with one of their ``table_keys`` in common and within WIDE bits make
+    groups, in which ``verified`` counts shared shingles. A pair right at SIMILARITY is lost here with probability 0.001 at
     most, and less if others bring it into one group. Sets too small to reach SIMILARITY with another are not compared.
     """
     docs = docs.select("doc_id", "text")
     prints = materialize(shingle_sets(docs, shingle, words), "prints")
     key = ["k1", "k2"]
-    reps = materialize(prints.groupBy(*key, "n", "fp").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = materialize(prints.groupBy(*key, "n", "fp", "keys").agg(F.min("doc_id").alias("rep")), "reps")
     some = reps.where(F.col("n") + 1e-9 >= SIMILARITY * (F.col("n") + 1))
-    groups = connected_components(linked(some.select("fp", "rep"), WIDE, BLOCK, words, wide_masks(some.count(), words, WIDE)))
-    parts = connected_components(verified(docs, groups, SIMILARITY, shingle))
+    groups = connected_components(linked(some.select("fp", "rep", "keys"), WIDE, BLOCK, words, "keys"))
+    parts = connected_components(verified(member_sets(docs, groups, shingle), SIMILARITY))
     known = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(known, key).select("doc_id", "component_id")
+    return prints.select("doc_id", *key).join(known, key).select("doc_id", "component_id")

@@ -1,6 +1,7 @@
 """Substring dedup against counting every window, toxicity, mixing and the pipeline."""
 
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -345,3 +346,28 @@ def test_pipeline(spark, toxic, tmp_path, texts):
     empty = spark.read.parquet(str(tmp_path / "documents.parquet")).where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_near_copies_against_all_pairs(spark, texts):
+    """The stage keeps the rows that all pairs by exact similarity leave: one of each group, with all its columns."""
+    rng = random.Random(21)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))]
+        other = words[: int(len(words) * (0.8 + 0.2 * rng.random()))] + [f"v{rng.randrange(99)}" for _ in range(rng.randrange(4))]
+        rows += [(1000 + i, " ".join(words)), (2000 + i, "  ".join(other).upper())]
+    rows += [(5000, rows[-1][1]), (5000, rows[-1][1]), (None, rows[-2][1]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(7).alias("Component_ID"))
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert kept[0].asDict().keys() == set(df.columns) and all(r.Component_ID == 7 for r in kept)
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if label[x] != label[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
+                label = [min(label[x], label[y]) if v in (label[x], label[y]) else v for v in label]
+    group = dict(zip(rows, label))  # rows alike are one
+    assert sorted(group[r.doc_id, r.text] for r in kept) == sorted(set(label))

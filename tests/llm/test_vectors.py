@@ -1,5 +1,7 @@
 """Embedding operators, components and SimHash against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 import xxhash
@@ -207,23 +209,39 @@ def test_near_copies_are_those_of_jaccard(spark):
     assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == dict(zip(ids, want))
 
 
-def test_jaccard_links_in_blocks(spark):
+@pytest.mark.parametrize("block, shingles", [(4096, 1 << 20), (7, 1 << 20), (1, 1 << 20), (4096, 400)])
+def test_jaccard_links_in_blocks(spark, block, shingles):
+    """A chain of links, a large cluster with small ones beside it and single sets, all in one component, as all pairs give them."""
+    rng = np.random.default_rng(16)
     text = [f"w{i}" for i in range(100)]
-    rows = [(i, " ".join(text[: 100 - i])) for i in range(40)] + [(50, " ".join(text[30:]))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    members = df.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
-    for block in (4096, 7):
-        parts = {r.node: r.component for r in connected_components(simhash.verified(df, members, 0.8, 5, block)).collect()}
-        assert parts == {i: 0 for i in range(40)}
-
-
-def test_wide_tables_miss_few():
-    for n in (1000, 10**6):
-        masks = simhash.wide_masks(n, 4, simhash.WIDE)
-        bits = sum(m.bit_count() for m in masks[0])
-        assert simhash.missed(bits, len(masks), 4, simhash.WIDE, simhash.APART) <= 0.001 < simhash.missed(bits, len(masks) - 1, 4, simhash.WIDE, simhash.APART)
-        rng = np.random.default_rng(15)
-        differ = rng.random((4000, 256)) < simhash.APART
-        drawn = np.array([[b for b in range(256) if m[b // 64] >> b % 64 & 1] for m in masks])
-        met = (~differ[:, drawn].any(axis=2)).any(axis=1) & (differ.sum(axis=1) <= simhash.WIDE)
-        assert met.mean() > 0.995
+    sets = {i: text[: 100 - i] for i in range(40)} | {50: text[30:]}
+    sets |= {100 + i: [*text[20:90], f"x{i}"] for i in range(30)}  # alike among themselves
+    sets |= {200 + i: [f"y{i % 4}-{k}" for k in range(60)] + [f"z{x}" for x in rng.integers(0, 99, rng.integers(0, 30))] for i in range(24)}
+    ids = [*sets]
+    shingled = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in sets.values()]
+    near = [(x, y) for x in range(len(ids)) for y in range(x) if len(shingled[x] & shingled[y]) >= 0.8 * len(shingled[x] | shingled[y]) - 1e-9]
+    want = [ids[r] for r in groups(len(ids), near)]
+    assert 3 < len(set(want)) < 40
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in sets.items()] + [(3, " ".join(text[:97]))], "doc_id long, text string")
+    members = df.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component")).distinct()
+    links = simhash.verified(simhash.member_sets(df, members, 5), 0.8, block, shingles)
+    parts = {r.node: r.component for r in connected_components(links).collect()}
+    assert [parts.get(i, i) for i in ids] == want
+    assert simhash.verified(simhash.member_sets(df, members.where("false"), 5), 0.8, block, shingles).count() == 0
+
+
+def test_tables_miss_few():
+    """The chance that a pair right at the similarity is lost: by the numbers and on sets."""
+    beyond = sum(math.comb(256, d) * simhash.APART**d * (1 - simhash.APART) ** (256 - d) for d in range(simhash.WIDE + 1, 257))
+    assert beyond + (1 - simhash.SIMILARITY**simhash.MINIMA) ** simhash.TABLES < 0.001
+    rng = np.random.default_rng(15)
+    lost, unlike = 0, 0
+    for _ in range(3000):
+        own = rng.integers(0, 2**63, 100, np.uint64)
+        other = np.concatenate([own[:80], rng.integers(0, 2**63, 10, np.uint64)])
+        ours = simhash.table_keys(own[:90])
+        lost += not (ours == simhash.table_keys(other)).any()  # 80 shared of 100
+        unlike += bool((ours == simhash.table_keys(np.concatenate([own[:20], other[80:]]))).any())
+    assert lost <= 12 and unlike < 60
+    long = rng.integers(0, 2**63, 10000, np.uint64)
+    assert (simhash.table_keys(long) == simhash.table_keys(rng.permutation(long))).all()
