@@ -48,6 +48,17 @@ def test_interval_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_overlap_counts_make_no_pairs(spark):
+    left = spark.createDataFrame([(1, 0, 10), (1, 5, 5), (2, -(1 << 62), 1 << 62), (3, 9, 8), (4, None, 3), (None, 3, 1 << 40)], "i int, b long, e long")
+    right = spark.range(5000).selectExpr("id % 10 AS c", "id % 10 + shiftleft(1L, int(id % 50)) AS d").union(spark.createDataFrame([(-(1 << 61), -(1 << 60))], "c long, d long"))
+    counts = overlap_counts(left, right, "i", ("b", "e"), ("c", "d"), 16)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert not [step for step in plan.splitlines() if "Join" in step and "<=" in step]  # places meet by equality only
+    rows = [(r.c, r.d) for r in right.collect()]
+    meet = lambda lo, hi: sum(lo <= d and c <= hi for c, d in rows)
+    assert {r.i: r.n for r in counts.collect()} == {1: meet(0, 10) + meet(5, 5), 2: 5001, 3: 0, 4: 0, None: meet(3, 1 << 40)} and counts.count() == 5
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_in_slices_is_asof(spark, strict):
     rng = random.Random(1)
