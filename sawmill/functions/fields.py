@@ -25,8 +25,8 @@ def value(name: str, kind: str, fields: Column | str = "Fields") -> Column:
 
 def raw(name: str | Column, fields: Column | str = "Fields") -> Column:
     """The field as text whatever its slot, for values that didn't fit their type."""
-    e = element(name, fields)
-    return F.coalesce(e.StringValue, e.LongValue.cast("string"), e.DoubleValue.cast("string"), e.BoolValue.cast("string"))
+    text = lambda e: F.coalesce(e.StringValue, e.LongValue.cast("string"), e.DoubleValue.cast("string"), e.BoolValue.cast("string"))
+    return F.get(F.transform(F.filter(_column(fields), lambda f: f.Key == name), text), F.lit(0))  # the list is searched once for all slots
 
 
 def has(name: str, test=None, fields: Column | str = "Fields") -> Column:

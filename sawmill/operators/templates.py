@@ -106,10 +106,15 @@ def made_by(plugin: Plugin) -> Column:
     return json_template_of(F.col("Message"), F.col("Fields")) if plugin.type == "json" else template_of(F.col("Message"), plugin.parser)
 
 
-def rebuilt(text: Column, stamp_format: str | None = None) -> Column:
+def parts_of(text: Column) -> Column:
+    """A template cut into names in braces, doubled braces and what is between."""
+    return F.regexp_extract_all(text, F.lit(r"(\{\{|\}\}|\{[^{}]+\}|[^{}]+)"), F.lit(1))
+
+
+def rebuilt(text: Column | None = None, stamp_format: str | None = None, parts: Column | None = None) -> Column:
     """The message of an entry (Timestamp, Level, Fields) whose template is ``text``: what it was, if each value is
-    written as its type is rendered."""
-    parts = F.regexp_extract_all(text, F.lit(r"(\{\{|\}\}|\{[^{}]+\}|[^{}]+)"), F.lit(1))
+    written as its type is rendered. ``parts`` has the template cut already (``parts_of``), once for all its entries."""
+    parts = parts_of(text) if parts is None else parts
 
     def one(part: Column) -> Column:
         name = F.substring(part, F.lit(2), F.length(part) - 2)

@@ -557,6 +557,16 @@ def test_templates_of_any_rules_and_messages_rebuilt(spark, tmp_path):
     assert len(back) == 5 and all(r.m == r.Message for r in back)
 
 
+def test_each_batch_parses_its_own_lines(spark, monkeypatch):
+    from sawmill import queries
+
+    seen, plain = [], queries.parse
+    monkeypatch.setattr(queries, "parse", lambda lines, *a, **b: (seen.append(lines.count()), plain(lines, *a, **b))[1])
+    found = queries.QUERIES["template_rebuild"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and sum(seen) == 1000 and min(seen) > 0 and found.count() == found.select("event_id").distinct().count() == 1000
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]  # templates are cut before the join
+
+
 def test_json_lines_edges(spark):
     parser = ParserConfig(message_regex=r"said (\w+)", fields_regexes=(FieldRule("code", "", "long"),), template_hashes=True)
     lines = ['{"ts": 1755500400, "msg": "a said hello", "code": 7}', '{"ts": "1755500400123", "msg": "code 8 here", "code": "8"}', '{"ts": 1755500400, "msg": "code 9 here", "code": 9}', '{"a": 1} x', '{"a": 1} {"b": 2}', '{"a": 1}]']
