@@ -142,12 +142,16 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
         lines = read_lines(spark, [r.place for r in changes if r.change != "Removed"])
         before = F.broadcast(known.join(spark.createDataFrame([(p,) for p in paths], "path string"), "path"))  # the changed files' rows
         sizes = spark.createDataFrame([(r.path, r.bytes, r.now) for r in changes if r.change != "Removed"], "path string, bytes long, mtime timestamp")
-        entries, rejects, seen = [], [], []
+        entries, rejects, seen, some_known = [], [], [], counts["Changed"] > 0
         for plugin, mine in routed(lines, routes):
-            fresh, late, read = _unread(mine, _starts(plugin), before, sizes)
+            if some_known:
+                fresh, late, read = _unread(mine, _starts(plugin), before, sizes)
+                rejects.append(late)
+            else:  # of files that no run has read every line is new
+                fresh, read = mine, _read_of(mine, _starts(plugin))
             e, r = parsed(fresh, plugin)
             entries.append(e)
-            rejects += [r, late]
+            rejects.append(r)
             seen.append(read)
         union = lambda some: reduce(DataFrame.unionByName, some)
         parts = {LANDING: union(entries), REJECTS: union(rejects)}
@@ -164,17 +168,22 @@ def ingest(spark: SparkSession, settings: Settings) -> dict[str, int]:
     return counts
 
 
+def _read_of(lines: DataFrame, start: str | None) -> DataFrame:
+    """What is known of files (path) when these lines, all of theirs, are read: counts of lines and entries, and hashes of the
+    first and last line, by partial aggregates; no line is shuffled or numbered."""
+    begins, place, line = F.col("value").rlike(r"^$" if start is None else start).cast("long"), F.struct("block", "pos"), F.xxhash64("value")
+    return lines.groupBy(F.col("source").alias("path")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(begins).alias("entries"), F.min_by(line, place).alias("head"), F.max_by(line, place).alias("last")
+    )
+
+
 def _unread(lines: DataFrame, start: str | None, before: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines that no run has read, rejects of those that came too late, what is then known of the files).
 
     Lines are numbered over a file's blocks, so a file of any size is dealt out. A file whose first line
     differs from the one known, or that is shorter than what was read, is new.
     """
-    rows = numbered(lines, start).withColumn("_hash", F.xxhash64("value"))
-    place = F.struct("block", "pos")
-    read = rows.groupBy("source").agg(
-        F.max("line").alias("lines"), F.max("entry").alias("entries"), F.min_by("_hash", place).alias("head"), F.max_by("_hash", place).alias("last")
-    )
+    rows, read = numbered(lines, start).withColumn("_hash", F.xxhash64("value")), _read_of(lines, start).withColumnRenamed("path", "source")
     same = (F.col("k.head") == F.col("r.head")) & (F.col("s.bytes") >= F.col("k.bytes"))
     marks = read.alias("r").join(before.alias("k"), F.col("k.path") == F.col("r.source")).join(F.broadcast(sizes).alias("s"), F.col("s.path") == F.col("r.source")).where(same)
     marks = marks.select(F.col("source").alias("_s"), F.col("k.lines").alias("_lines"), F.col("k.entries").alias("_entries"), F.col("k.last").alias("_last"))

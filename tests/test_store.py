@@ -458,6 +458,20 @@ def test_ingest_again_changed_and_removed_files(spark, tmp_path):
     assert tracked.current().count() == 1 and len(tracked.files()) >= 1
 
 
+def test_new_files_are_not_numbered(spark, tmp_path, monkeypatch):
+    from sawmill.streaming import ingest as module
+
+    called, plain = [], module.numbered
+    monkeypatch.setattr(module, "numbered", lambda *a: (called.append(1), plain(*a))[1])
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_text("orphan\n2025-08-18T01:00:00Z INFO status=1\n more\n2025-08-18T02:00:00Z INFO status=2\n")
+    settings = Settings((str(logs),), str(tmp_path / "d"), (Plugin(include=("*.log",), parser=CONFIG),))
+    ingest(spark, settings)
+    row = tracked_files(spark, settings.data_path).current().first()
+    assert not called and (row.lines, row.entries) == (4, 2) and len(messages(spark, settings)) == 2
+
+
 def test_interrupted_ingest_is_ended_or_dropped(spark, tmp_path, monkeypatch):
     from sawmill.sources import publish
 
